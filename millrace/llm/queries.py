@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import pieces, tokencount, tokenstore
 from millrace.llm.runtime import ship
 from millrace.llm.substrings import remove_repeats
 
@@ -16,6 +19,37 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file(name: str) -> bytes:
+    """A public tokenizer file, read by the driver; MILLRACE_TOKENIZERS names another folder."""
+    folder = os.environ.get("MILLRACE_TOKENIZERS")
+    if folder:
+        return (Path(folder) / name).read_bytes()
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    folder = tokenstore.store_folder(docs)
+    manifest = tokenstore.write_shards(docs, tokenizer_file("byte_bpe_50k.json"), folder)
+    return tokenstore.read_shards(manifest, folder)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -23,6 +57,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_token_store": op7_token_store,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
