@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import pieces, tokencount, tokenstore
+from millrace.llm.neardup import near_duplicates
 from millrace.llm.runtime import ship
 from millrace.llm.substrings import remove_repeats
 
@@ -29,6 +30,10 @@ def tokenizer_file(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     folder = tokenstore.store_folder(docs)
@@ -57,6 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_near_duplicates": op4_near_duplicates,
         "op7_token_store": op7_token_store,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
