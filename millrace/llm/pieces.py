@@ -225,7 +225,7 @@ class Pieces:
             data = np.frombuffer(b"".join(texts), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         full, at = led_by_space(data, offsets)
-        starts, ends, row = space_units(full, at, both=False)
+        starts, ends, row = space_units(full, at)
         ids, counts = self.units(full, starts, ends)
         out = np.zeros(len(offsets), np.int64)
         np.cumsum(np.bincount(row, weights=counts, minlength=len(offsets) - 1).astype(np.int64), out=out[1:])

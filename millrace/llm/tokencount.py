@@ -131,7 +131,7 @@ class LongestMatch:
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
         full, at = led_by_space(data, offsets)
-        starts, ends, row = space_units(full, at, both=False)
+        starts, ends, row = space_units(full, at)
         lengths, _ = self.units(full, starts, ends)
         return np.bincount(row, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)
 

@@ -1,7 +1,7 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 A shard is two files. ``<name>.ids`` holds the ids of its documents one after another as raw
-little-endian unsigned 32-bit integers. ``<name>.idx`` is an .npz of the document keys in order, the
+little-endian unsigned integers, of 16 bits if the vocabulary has no larger id, else of 32. ``<name>.idx`` is an .npz of the document keys in order, the
 offset of each (in ids), and a minimal perfect hash over the distinct keys: levels of bit arrays
 (a key stays at the first level at which it is alone in its bit; its number is the count of bits
 before it), with a stored 32-bit fingerprint and the key's first position at each number. A lookup
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.runtime import BLOCK_BYTES, shared_dir, stored, text_bytes
-from millrace.llm.units import Units, ragged, space_units
+from millrace.llm.units import Units, pretoken_units, ragged
 
 MANIFEST = "shard long, name string, first_key long, n_docs long, n_ids long"
 #: Bits for each key at a level of the hash.
@@ -50,30 +50,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(raw)
         size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.length = np.array([len(added[i].encode()) if i in added else len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
+        self.added = [t.encode() for t in added.values() if t]
         self.units = Units(self._encode)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # units that begin with a space and go on with something else can stand after one another
-        led = [k for k, u in enumerate(units) if len(u) > 1 and u[0] == 32 and u[1] != 32]
-        alone = sorted(set(range(len(units))) - set(led))
-        texts = [b"".join(units[k] for k in led[i : i + JOINED]).decode("utf-8") for i in range(0, len(led), JOINED)]
-        texts += [units[k].decode("utf-8") for k in alone]
-        ids = np.array([i for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids], np.int32)
-        order = np.array(led + alone, np.int64)
-        size = np.array([len(units[k]) for k in order], np.int64)
+        # many units go as one string: those led by a space stand after one another, those of
+        # visible ASCII ends stand on lines of their own, whose line ends are left out again
+        led, lines, alone = [], [], []
+        for k, u in enumerate(units):
+            if len(u) > 1 and u[0] == 32 and 32 < u[1] < 127 and 32 < u[-1] < 127:
+                led.append(k)
+            elif 32 < u[0] < 127 and 32 < u[-1] < 127:
+                lines.append(k)
+            else:
+                alone.append(k)
+        texts = [b"".join(units[k] for k in led[i : i + JOINED]) for i in range(0, len(led), JOINED)]
+        texts += [b"".join(b"\n" + units[k] for k in lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)]
+        texts += [units[k] for k in alone]
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        ids = np.fromiter((i for e in got for i in e.ids), np.int32)
+        order = np.array(led + lines + alone, np.int64)
+        ends = np.array([len(units[k]) for k in order], np.int64)
+        ends[len(led) : len(led) + len(lines)] += 1
         at = np.concatenate([[0], np.cumsum(self.length[ids])])
-        cuts = np.searchsorted(at, np.concatenate([[0], np.cumsum(size)]))
-        counts = np.diff(cuts)
+        cuts = np.searchsorted(at, np.concatenate([[0], np.cumsum(ends)]))
+        first, counts = cuts[:-1].copy(), np.diff(cuts)
+        first[len(led) : len(led) + len(lines)] += 1
+        counts[len(led) : len(led) + len(lines)] -= 1
         back = np.argsort(order)
-        return ids[ragged(cuts[:-1][back], counts[back])], counts[back]
+        return ids[ragged(first[back], counts[back])], counts[back]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and id offsets; ``end_id`` closes each text."""
         part, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        starts, ends, row = space_units(part, at, both=True) if len(part) else (np.zeros(0, np.int64),) * 3
-        ids, counts = self.units(part, starts, ends)
+        raw = part.tobytes()
+        if any(t in raw for t in self.added):
+            # strings of added tokens are found before anything else; such texts aren't cut
+            got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
+            ids, row = np.fromiter((i for e in got for i in e.ids), np.int32), np.arange(len(got))
+            counts = np.array([len(e.ids) for e in got], np.int64)
+        else:
+            starts, ends, row = pretoken_units(part, at) if len(part) else (np.zeros(0, np.int64),) * 3
+            ids, counts = self.units(part, starts, ends)
         per = np.bincount(row, weights=counts, minlength=len(at) - 1).astype(np.int64)
         more = int(end_id is not None)
         out = np.zeros(len(at), np.int64)
@@ -153,6 +174,7 @@ class Shard:
         with fs.open_input_stream(f"{base}/{name}.idx") as f:
             x = np.load(io.BytesIO(f.read()))
             self.keys, self.is_null, self.offsets, self.prints, self.position = (x[k] for k in ("keys", "is_null", "offsets", "prints", "position"))
+            self.kind = np.dtype(str(x["kind"]))
             cuts = np.cumsum(x["sizes"])
             levels = np.split(np.unpackbits(x["bits"], count=int(cuts[-1]) if len(cuts) else 0).astype(bool), cuts[:-1]) if len(cuts) else []
         self.hash = PerfectHash(levels)
@@ -167,14 +189,15 @@ class Shard:
 
     def ids(self, position: int) -> np.ndarray:
         a, b = int(self.offsets[position]), int(self.offsets[position + 1])
-        return np.frombuffer(self.file.read_at(4 * (b - a), 4 * a), "<u4")
+        width = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(width * (b - a), width * a), self.kind)
 
     def get(self, key: int) -> np.ndarray | None:
         at = int(self.find(np.array([key], np.int64))[0])
         return None if at < 0 else self.ids(at)
 
 
-def _index(keys: np.ndarray, is_null: np.ndarray, offsets: np.ndarray) -> bytes:
+def _index(keys: np.ndarray, is_null: np.ndarray, offsets: np.ndarray, kind: str) -> bytes:
     real = np.flatnonzero(~is_null)
     distinct, first = np.unique(keys[real], return_index=True)
     mph = PerfectHash.build(distinct)
@@ -182,7 +205,7 @@ def _index(keys: np.ndarray, is_null: np.ndarray, offsets: np.ndarray) -> bytes:
     prints, position = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64)
     prints[number], position[number] = fingerprint(distinct), real[first]
     bits = np.packbits(np.concatenate(mph.levels)) if mph.levels else np.zeros(0, np.uint8)
-    np.savez(out := io.BytesIO(), keys=keys, is_null=is_null, offsets=offsets, prints=prints, position=position, sizes=np.array(mph.sizes, np.int64), bits=bits)
+    np.savez(out := io.BytesIO(), keys=keys, is_null=is_null, offsets=offsets, prints=prints, position=position, sizes=np.array(mph.sizes, np.int64), bits=bits, kind=np.array(kind))
     return out.getvalue()
 
 
@@ -207,14 +230,14 @@ def write_shards(docs: DataFrame, tokenizer: bytes, folder: str, end_id: int | N
                 out = fs.open_output_stream(f"{base_path}/{name}.ids")
             for lo, hi in W.pieces(offsets):
                 ids, ends = encoder.encode(data, offsets[lo : hi + 1], end_id)
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(encoder.kind).tobytes())
                 sizes.append(np.diff(ends))
         if out is None or not sum(map(len, keys)):
             return
         out.close()
         key, null, size = np.concatenate(keys), np.concatenate(nulls), np.concatenate(sizes)
         with fs.open_output_stream(f"{base_path}/{name}.idx") as f:
-            f.write(_index(key, null, np.concatenate([[0], np.cumsum(size)])))
+            f.write(_index(key, null, np.concatenate([[0], np.cumsum(size)]), encoder.kind))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([None if null[0] else int(key[0])], pa.int64()), pa.array([len(key)], pa.int64()), pa.array([int(size.sum())], pa.int64())], names=["shard", "name", "first_key", "n_docs", "n_ids"])
 
     ordered = base.repartitionByRange(parts, "__id").sortWithinPartitions("__id")
@@ -234,7 +257,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 found = shard.find(shard.keys[~shard.is_null])
                 if (found < 0).any() or (shard.keys[found] != shard.keys[~shard.is_null]).any():
                     raise ValueError(f"the index of shard {name} doesn't lead to its keys")
-                crc = np.array([zlib.crc32(shard.file.read_at(int(b - a) * 4, int(a) * 4)) for a, b in zip(shard.offsets[:-1], shard.offsets[1:], strict=True)], np.int64)
+                crc = np.array([zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in range(n)], np.int64)
                 key = pa.array(shard.keys, pa.int64(), mask=shard.is_null)
                 yield pa.RecordBatch.from_arrays([key, pa.array(shard.offsets[:n] + before), pa.array(np.diff(shard.offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -94,21 +94,41 @@ def led_by_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, at
 
 
-def space_units(data: np.ndarray, offsets: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units begin with a text, and at a space; ``both``: one before an ASCII byte that isn't white or a byte
-    that can't begin white space (the last of the white bytes goes with what follows), else the first of a run of spaces.
+def space_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units begin with a text and at the first of a run of spaces; starts, ends and the row of each."""
+    cut = data == 32
+    cut[1:] &= data[:-1] != 32
+    return _units(cut, data, offsets)
+
+
+_SHARP = np.zeros(256, bool)
+_SHARP[33:127] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = _SHARP & ~_LETTER
+_MARK[48:58] = False
+_TAB = W.SPACE.copy()
+_TAB[32] = False
+#: Bytes that surely begin something that isn't white space.
+_FULL = ~W.SPACE & ~np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
+
 
-    Returns starts, ends and the row of each unit.
+def pretoken_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units that the byte-level pattern (optional space and letters, digits or marks; white space) never joins.
+
+    They begin with a text, at a space before what isn't white space, at white space after a visible
+    ASCII byte, at a visible one after a single tab or line end, and at an ASCII mark after a letter.
     """
-    cut = data == 32
-    if both:
-        fine = ~W.SPACE & ~np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
-        cut[:-1] &= fine[data[1:]]
-        cut[-1:] = False
-    else:
-        cut[1:] &= data[:-1] != 32
+    cut = np.zeros(len(data), bool)
+    if len(data) > 1:
+        a, b = data[:-1], data[1:]
+        cut[:-1] |= (a == 32) & _FULL[b]
+        cut[1:] |= (_SHARP[a] & W.SPACE[b]) | (_LETTER[a] & _MARK[b])
+        cut[2:] |= _SHARP[a[:-1]] & _TAB[a[1:]] & _SHARP[b[1:]]
+    return _units(cut, data, offsets)
+
+
+def _units(cut: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(cut)
-    # a space that ends one text isn't cut off from it by the next text's first byte
-    ends = np.append(starts[1:], len(data))
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1

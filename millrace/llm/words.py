@@ -87,15 +87,15 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row (and the end) the number of its first word.
 
-    ``offsets`` start at 0 and end at ``len(data)``.
+    ``offsets`` start at 0 and end at ``len(data)``; ``space``: which bytes part words.
     """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    full = ~SPACE[data]
+    full = ~space[data]
     first = full.copy()
     first[1:] &= ~full[:-1]
     cuts = offsets[(offsets > 0) & (offsets < len(data))]
