@@ -74,7 +74,8 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node with an edge reaches. ``edges`` has u and v; loops and repeats may occur."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e = stored(e.mapInArrow(_local, "u long, v long"), "edges")
+    # all edges of a node's larger end meet in one task, so its forest has the node once
+    e = stored(e.repartition("u").mapInArrow(_local, "u long, v long"), "edges")
     mark = _mark(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
