@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pieces, tokencount, tokenstore
+from millrace.llm import chunking, maincontent, pieces, tokencount, tokenstore, toxicity
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.runtime import ship
 from millrace.llm.substrings import remove_repeats
@@ -30,10 +30,26 @@ def tokenizer_file(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.compare_with_next(_read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.learned(docs, _read(spark, sf_dir, "labels"), fold != 0)
+    out = toxicity.with_scores(docs, model)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("toxic").alias("over_threshold"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     folder = tokenstore.store_folder(docs)
@@ -62,7 +78,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_toxicity": op6_toxicity,
         "op7_token_store": op7_token_store,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
