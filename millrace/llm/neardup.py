@@ -30,13 +30,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.components import components
-from millrace.llm.runtime import stored
+from millrace.llm.runtime import small_side, stored
 
 CHUNKS, CHUNK = 10, 6
 #: Shingles that a task compares at once.
 TASK_SHINGLES = 4_000_000
-#: Rows of a table that may be broadcast (two or three longs each); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 _rng = np.random.RandomState(20240607)
 _FACTORS = (_rng.randint(0, 1 << 62, CHUNKS * CHUNK).astype(W.U64) << W.U64(1)) | W.U64(1)
@@ -212,11 +210,6 @@ def _confirm(n: int, percent: int):
     return run
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if it is counted to have few enough rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, maincontent, pieces, tokencount, tokenstore, toxicity
+from millrace.llm import chunking, decontaminate, maincontent, pieces, tokencount, tokenstore, toxicity
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.runtime import ship
 from millrace.llm.substrings import remove_repeats
@@ -34,6 +34,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maincontent.extract(_read(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -79,6 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
+        "op2_decontamination": op2_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
@@ -89,4 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE_SQL,
+}

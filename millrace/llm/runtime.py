@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a block of documents that is worked on together.
 BLOCK_BYTES = 16 << 20
+#: Rows of a table that may be broadcast (a few longs each); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +56,11 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
 
 
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have few enough rows, as it is if not."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def block_of(key: str, n: int) -> Column:
     """A block number from 0 to n - 1, the same in every run."""
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
