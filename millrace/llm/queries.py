@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, decontaminate, maincontent, pieces, tokencount, tokenstore, toxicity
+from millrace.llm import chunking, decontaminate, lmscore, maincontent, pieces, tokencount, tokenstore, toxicity
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.runtime import ship
 from millrace.llm.substrings import remove_repeats
@@ -38,6 +38,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = lmscore.learn(docs.where(lmscore.fold("doc_id") != 1))
+    out = lmscore.score(docs, model)
+    return out.select("doc_id", F.coalesce(lmscore.fold("doc_id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -48,7 +55,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    fold = lmscore.fold("doc_id")
     model = toxicity.learned(docs, _read(spark, sf_dir, "labels"), fold != 0)
     out = toxicity.with_scores(docs, model)
     return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("toxic").alias("over_threshold"))
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
         "op2_decontamination": op2_decontamination,
+        "op3_lm_scores": op3_lm_scores,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
