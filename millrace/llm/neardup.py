@@ -1,12 +1,12 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index, links confirmed on full sets.
 
 A document's set is its distinct word shingles. Documents with equal sets (128-bit sums of shingle
-hashes) are one class, and only a class's first document goes on. Its signature has 60 components
-of 16 bits, in 10 chunks of 6, and two classes are candidates if some chunk differs in one component
+hashes) are one class, and only a class's first document goes on. Its signature has components
+of 16 bits in chunks of 6, and two classes are candidates if some chunk differs in one component
 at most: of every chunk the six ways to leave one component out are looked up (allowed chunk
 errors). By the pigeonhole principle that finds every pair of signatures that differ in fewer
-than 20 components (two a chunk). At a similarity of 0.85 a pair is missed with a probability of
-about 3e-7, above it with less.
+components than twice the chunks. There are so many chunks that a pair just at the least similarity
+is missed with a probability under 1e-6 (10 chunks for 0.85, 13 for 0.8), above it with less.
 
 Members of a look-up group are tied to its smallest one as rows are read in order, never paired.
 Groups that hang together so are compared within: their texts come together once, each document is
@@ -21,6 +21,7 @@ columns are ignored unless named in ``carry``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,21 @@ from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.llm.runtime import small_side, stored
 
-CHUNKS, CHUNK = 10, 6
+CHUNK, MISSED = 6, 1e-6
 #: Shingles that a task compares at once.
 TASK_SHINGLES = 4_000_000
 
+_MOST = 60  # chunks
 _rng = np.random.RandomState(20240607)
-_FACTORS = (_rng.randint(0, 1 << 62, CHUNKS * CHUNK).astype(W.U64) << W.U64(1)) | W.U64(1)
-_SLOTS = W.mix(np.arange(1, CHUNKS * CHUNK * CHUNK + 1).astype(W.U64) * W.U64(0x9E3779B97F4A7C15))
+_FACTORS = (_rng.randint(0, 1 << 62, _MOST * CHUNK).astype(W.U64) << W.U64(1)) | W.U64(1)
+_SLOTS = W.mix(np.arange(1, _MOST * CHUNK + 1).astype(W.U64) * W.U64(0x9E3779B97F4A7C15)).reshape(_MOST, CHUNK)
+
+
+def chunks_for(percent: int) -> int:
+    """Chunks that leave a pair of this similarity unfound with a probability under MISSED."""
+    j = percent / 100
+    found = j**CHUNK + CHUNK * j ** (CHUNK - 1) * (1 - j)
+    return 1 if found >= 1 else min(_MOST, math.ceil(math.log(MISSED) / math.log(1 - found)))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, both: bool = False):
@@ -66,30 +75,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int, both: bool = False):
     return rows[at], *(x[at] for x in found)
 
 
-def signatures(rows: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
+def signatures(rows: np.ndarray, h: np.ndarray, n_rows: int, chunks: int) -> np.ndarray:
     """16-bit components, a line for each row; rows without shingles have zeros."""
-    out = np.zeros((n_rows, len(_FACTORS)), np.uint16)
+    out = np.zeros((n_rows, chunks * CHUNK), np.uint16)
     if len(rows):
         new = np.flatnonzero(np.diff(rows, prepend=-1))
-        for k, a in enumerate(_FACTORS):
+        for k, a in enumerate(_FACTORS[: chunks * CHUNK]):
             out[rows[new], k] = W.mix(np.minimum.reduceat(h * a, new)) >> W.U64(48)
     return out
 
 
 def look_ups(signature: np.ndarray) -> np.ndarray:
-    """The 60 keys of each signature: a chunk with one component left out."""
-    s = signature.reshape(-1, CHUNKS, CHUNK).astype(W.U64)
+    """The keys of each signature: every chunk with every one component left out."""
+    s = signature.reshape(len(signature), -1, CHUNK).astype(W.U64)
     keys = []
     for left in range(CHUNK):
         h = np.zeros(s.shape[:2], W.U64)
         for k in range(CHUNK):
             if k != left:
                 h = W.mix(h ^ (s[:, :, k] + W.U64(k << 20)))
-        keys.append(h + _SLOTS[left * CHUNKS : (left + 1) * CHUNKS])
+        keys.append(h + _SLOTS[: s.shape[1], left])
     return W.mix(np.stack(keys, 2)).reshape(len(s), -1)
 
 
-def _sign(n: int):
+def _sign(n: int, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.column(batch, "__text")
@@ -103,7 +112,7 @@ def _sign(n: int):
                     if len(new):
                         s[rows[new]] = np.add.reduceat(W.mix(h), new)
                     sums.append(pa.array(s.view(np.int64)))
-                signed = pa.array([x.tobytes() for x in signatures(rows, h1, m)], pa.binary())
+                signed = pa.array([x.tobytes() for x in signatures(rows, h1, m, chunks)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("__id")[lo:hi], pa.array(size.astype(np.int64)), *sums, signed], names=["id", "n", "f1", "f2", "signature"])
 
     return run
@@ -216,7 +225,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Texts are linked if 100 * shared shingles >= ``percent`` * shingles of either.
     """
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    signed = stored(base.mapInArrow(_sign(n), "id long, n long, f1 long, f2 long, signature binary"), "signed")
+    signed = stored(base.mapInArrow(_sign(n, chunks_for(percent)), "id long, n long, f1 long, f2 long, signature binary"), "signed")
     one = signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "signature")).alias("s"))
     classes = stored(one.select("f1", "f2", "n", F.col("s.id").alias("rep"), F.col("s.signature").alias("signature")), "classes")
     keys = classes.select("rep", "signature").mapInArrow(_expand, "key long, id long")

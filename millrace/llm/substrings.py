@@ -209,7 +209,7 @@ def _group_exactly(table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _remove(n: int, carry: list[str], schema: pa.Schema):
+def _remove(n: int, carry: list[str], names: list[str], untouched: bool):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         table = table.sort_by("__id")
         ids = W.int_column(table, "__id", LAST)
@@ -239,7 +239,11 @@ def _remove(n: int, carry: list[str], schema: pa.Schema):
                 gone = np.cumsum(step[:-1]) > 0
             lost = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(first[:-1], len(gone))) * (counts > 0)
             for k in range(hi - lo):
-                w = raw[at[k] : at[k + 1]].split()
+                text = raw[at[k] : at[k + 1]]
+                if untouched and not lost[k]:
+                    kept.append(text)
+                    continue
+                w = text.split()
                 if lost[k]:
                     stay = ~gone[first[k] : first[k + 1]]
                     w = [x for x, s in zip(w, stay.tolist(), strict=True) if s]
@@ -248,16 +252,17 @@ def _remove(n: int, carry: list[str], schema: pa.Schema):
             n_removed.append(lost)
         flat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         made = [table.column("__id"), pa.array(flat(n_words)), pa.array(flat(n_removed)), pa.array(kept, pa.binary()).cast(pa.string())]
-        return pa.table([*made, *(table.column(f"__c{k}") for k in range(len(carry)))], names=schema)
+        return pa.table([*made, *(table.column(f"__c{k}") for k in range(len(carry)))], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), block_bytes: int = BLOCK_BYTES, range_cells: int = RANGE_CELLS) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), untouched: bool = False, block_bytes: int = BLOCK_BYTES, range_cells: int = RANGE_CELLS) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_text (kept words joined by a space), and the columns of ``carry``.
 
     A word goes if a window of ``n`` consecutive words that covers it also starts in a document
-    with a smaller id; windows are judged on the input. See the module for null and empty cases.
+    with a smaller id; windows are judged on the input. ``untouched``: a text that loses nothing
+    comes back as it was, white space and all. See the module for null and empty cases.
     """
     carry = list(carry)
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)))
@@ -272,4 +277,4 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     exact = by_block.cogroup(sketch.groupBy("__block")).applyInArrow(_suspects(n, bits, range_bits, key_bits), REPLY).groupBy("__range").applyInArrow(_group_exactly, REPLY)
     names = [id_col, "n_words", "n_removed", "kept_text", *carry]
     types = ", ".join(f"`{c}` {t}" for c, t in zip(names, ["long", "long", "long", "string", *(base.schema[f"__c{k}"].dataType.simpleString() for k in range(len(carry)))], strict=True))
-    return by_block.cogroup(exact.groupBy("__block")).applyInArrow(_remove(n, carry, names), types)
+    return by_block.cogroup(exact.groupBy("__block")).applyInArrow(_remove(n, carry, names, untouched), types)
