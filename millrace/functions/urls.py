@@ -1,0 +1,44 @@
+"""Verdicts on web addresses."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Site labels whose pages carry no running text.
+SITES = ("youtube", "instagram", "imgur", "flickr", "vimeo", "soundcloud", "gfycat", "giphy", "twitch", "example")
+#: File endings of media, archives and binaries.
+ENDINGS = (".3gp", ".7z", ".ai", ".aif", ".apk", ".avi", ".bin", ".bmp", ".css", ".csv", ".dat", ".deb", ".doc", ".docx", ".exe", ".flv", ".gif", ".gz", ".ico", ".iso", ".jar", ".jpeg", ".jpg", ".js", ".mov", ".mp3", ".mp4", ".mpg", ".ogg", ".pdf", ".png", ".ppt", ".pptx", ".psd", ".rar", ".svg", ".swf", ".tar", ".tif", ".tiff", ".wav", ".webm", ".webp", ".wmv", ".xls", ".xlsx", ".zip")
+SHORT = 8
+WELL_FORMED = r"^https?://([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]*(:[0-9]+)?([/?][^ ]*)?$"
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/:?#]*)", 1))
+
+
+def site_label(url: Column) -> Column:
+    """The label before the last one of the host; the host where it has one label."""
+    parts = F.split(host(url), r"\.")
+    return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.element_at(parts, 1))
+
+
+def blocked_site(url: Column) -> Column:
+    return site_label(url).isin(*SITES)
+
+
+def blocked_ending(url: Column) -> Column:
+    return F.lower(F.element_at(F.split(url, r"\?"), 1)).rlike("(" + "|".join(x.replace(".", r"\.") for x in ENDINGS) + ")$")
+
+
+def short(url: Column) -> Column:
+    return F.length(url) <= SHORT
+
+
+def malformed(url: Column) -> Column:
+    return ~url.rlike(WELL_FORMED)
+
+
+def verdict(url: Column, nth: Column) -> Column:
+    """The first rule that an address breaks; ``nth``: its number among equal ones."""
+    return F.when(blocked_site(url), "domain").when(blocked_ending(url), "extension").when(short(url), "short").when(malformed(url), "malformed").when(nth > 1, "duplicate").otherwise("ok")

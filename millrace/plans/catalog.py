@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from millrace.plans.base import REGISTRY
+
+for _name in ("cleaning", "duplicates", "sampling", "evaluation", "retrieval", "streams"):
+    import_module(f"millrace.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters by source and language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("total_chars"))
+    return REGISTRY["url_verdict"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"corpus_profile": flagship}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"corpus_profile": "SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM documents GROUP BY source, lang"}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
