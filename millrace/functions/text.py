@@ -101,7 +101,9 @@ def ngrams(w: Column, n: int) -> Column:
 
 def char_shingles(c: Column, n: int = 5) -> Column:
     """Distinct n-character shingles; as in the original rule the last one is left out."""
-    return F.when(F.length(c) > n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    # characters as an array: a substring by position would walk the text from its start each time
+    cut = F.transform(F.array(F.split(c, "")), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - n, F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(n)), "")))
+    return F.array_distinct(F.get(cut, F.lit(0)))
 
 
 def word_id(c: Column, vocabulary: int = 50000) -> Column:
