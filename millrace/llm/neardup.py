@@ -37,7 +37,7 @@ CHUNK, MISSED = 6, 1e-6
 #: Shingles that a task compares at once.
 TASK_SHINGLES = 4_000_000
 
-_MOST = 60  # chunks
+_MOST = 128  # chunks; enough for a similarity of 0.5
 _rng = np.random.RandomState(20240607)
 _FACTORS = (_rng.randint(0, 1 << 62, _MOST * CHUNK).astype(W.U64) << W.U64(1)) | W.U64(1)
 _SLOTS = W.mix(np.arange(1, _MOST * CHUNK + 1).astype(W.U64) * W.U64(0x9E3779B97F4A7C15)).reshape(_MOST, CHUNK)
@@ -47,7 +47,10 @@ def chunks_for(percent: int) -> int:
     """Chunks that leave a pair of this similarity unfound with a probability under MISSED."""
     j = percent / 100
     found = j**CHUNK + CHUNK * j ** (CHUNK - 1) * (1 - j)
-    return 1 if found >= 1 else min(_MOST, math.ceil(math.log(MISSED) / math.log(1 - found)))
+    chunks = 1 if found >= 1 else math.ceil(math.log(MISSED) / math.log(1 - found))
+    if chunks > _MOST:
+        raise ValueError(f"a similarity of {percent} % needs {chunks} chunks; {_MOST} are the most")
+    return chunks
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, both: bool = False):

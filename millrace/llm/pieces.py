@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.units import Units, led_by_space, ragged, space_units
+from millrace.llm.units import Units, led_by_space, marks_as_spaces, ragged, space_units
 
 MARK = "▁"
 #: Symbols from here on are characters outside the vocabulary.
@@ -219,12 +219,7 @@ class Pieces:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and id offsets of texts given by bytes and row offsets."""
-        raw = data[offsets[0] : offsets[-1]]
-        if len(raw) > 2 and (np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81))).any():
-            texts = [raw[a - offsets[0] : b - offsets[0]].tobytes().replace(MARK.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        full, at = led_by_space(data, offsets)
+        full, at = led_by_space(*marks_as_spaces(data, offsets))
         starts, ends, row = space_units(full, at)
         ids, counts = self.units(full, starts, ends)
         out = np.zeros(len(offsets), np.int64)

@@ -8,7 +8,7 @@ and each byte is read once. All distinct words of a batch walk through the autom
 
 A word is a space-led unit: a run of spaces and what follows it, the text's start having one
 space more, spaces written as U+2581 as in the vocabulary. Defined cases: null and empty texts
-have 0 tokens; characters outside the vocabulary count one token a byte.
+have 0 tokens; U+2581 in a text counts as a space; characters outside the vocabulary count one token a byte.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.units import Units, led_by_space, space_units
+from millrace.llm.units import Units, led_by_space, marks_as_spaces, space_units
 
 MARK = "▁".encode()
 #: Longer words walk alone.
@@ -130,7 +130,7 @@ class LongestMatch:
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
-        full, at = led_by_space(data, offsets)
+        full, at = led_by_space(*marks_as_spaces(data, offsets))
         starts, ends, row = space_units(full, at)
         lengths, _ = self.units(full, starts, ends)
         return np.bincount(row, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)

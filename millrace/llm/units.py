@@ -81,6 +81,15 @@ class Units:
         return self.ids[ragged(self.offset[slots], counts)], counts
 
 
+def marks_as_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with U+2581, which stands for a space in vocabularies, made spaces."""
+    raw = data[offsets[0] : offsets[-1]]
+    if len(raw) < 3 or not ((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)).any():
+        return data, offsets
+    texts = [data[a:b].tobytes().replace(b"\xe2\x96\x81", b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def led_by_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a space before each that isn't empty; their bytes and offsets."""
     lengths = np.diff(offsets)

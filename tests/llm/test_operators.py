@@ -1,0 +1,326 @@
+"""The ten operators against plain versions, on rows with nulls, empty and long texts, repeats and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import chunking, decontaminate, lmscore, maincontent, neardup, pieces, substrings, tokencount, tokenstore, toxicity
+from millrace.llm.components import components
+from millrace.llm.queries import tokenizer_file
+from millrace.llm.runtime import ship
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score string, __text string, block int, Text2 string"
+
+
+def _lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def _texts():
+    base = " ".join(f"word{k % 37} x{k}" for k in range(60))
+    near = base.replace("x7 ", "y7 ").replace("word5 x5", "word5 X5")
+    long = " ".join(f"l{k * k % 9973}" for k in range(60_000))
+    return [
+        (1, base), (2, base), (3, near), (4, None), (5, ""), (6, "  \n\t "), (7, "one"), (8, "one two"), (9, long), (10, "pre " + base + "\n post"),
+        (11, "an idiot said it"), (12, "Élève naïve 日本語 🤗 ▁   x"), (12, "Élève naïve 日本語 🤗 ▁   x"), (None, base), (14, "a" * 3000), (15, "Only here: " + " ".join(f"q{k}" for k in range(40))), (16, long[:5000] + " " + base),
+    ]
+
+
+def _docs(spark, rows=None):
+    rows = _texts() if rows is None else rows
+    return spark.createDataFrame([(i, t, "en" if i != 8 else None, None, len(t or ""), 5, "s", "clash", 3, "u") for i, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+def _bytes(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
+
+
+def test_substrings(spark):
+    got = sorted(map(tuple, substrings.remove_repeats(_docs(spark), block_bytes=50_000, range_cells=1 << 12).collect()), key=str)
+    first, expected = {}, []
+    last = 1 << 62
+    rows = sorted(_texts(), key=lambda r: last if r[0] is None else r[0])
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), last if i is None else i)
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < (last if i is None else i):
+                gone[k : k + 13] = [True] * 13
+        expected.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    assert got == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("n, percent, size", [(3, 85, 4_000_000), (5, 80, 100)])
+def test_near_duplicates(spark, n, percent, size):
+    got = {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(_docs(spark), n, percent, task_shingles=size).collect()}
+    sets = {}
+    for i, t in _texts():
+        w = WORD.findall(_lower(t))
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    ids = sorted(i for i in sets if i is not None)
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    assert got.pop(None) == (len(sets[None]), None, True)
+    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def test_chunks_for_a_miss_under_one_in_a_million():
+    for percent in (50, 80, 85, 95, 100):
+        j = percent / 100
+        assert (1 - (j**6 + 6 * j**5 * (1 - j))) ** neardup.chunks_for(percent) <= 1e-6
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (1002, 1001), (7, 7), (1001, 1000)]
+    got = dict(components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect())
+    assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_sentencepiece(spark):
+    import sentencepiece
+
+    raw = tokenizer_file("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    got = sorted(map(tuple, pieces.encode(_docs(spark), raw).collect()), key=str)
+    assert got == sorted([(i, sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for i, t in _texts()], key=str)
+
+
+_MODEL = {}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab er tin\n▁é日🤗.1 \t\x00"), max_size=150), min_size=1, max_size=4))
+def test_sentencepiece_like_the_library(texts):
+    import sentencepiece
+
+    if not _MODEL:
+        raw = tokenizer_file("piece_bpe_32k.model")
+        _MODEL["m"], _MODEL["sp"] = pieces.Pieces(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    m, sp = _MODEL["m"], _MODEL["sp"]
+    ids, at = m.encode(*_bytes(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == sp.encode(texts)
+    assert [x.decode() for x in m.decode(ids, at)] == [sp.decode(sp.encode(t)) for t in texts]
+
+
+def test_token_store(spark):
+    from tokenizers import Tokenizer
+
+    raw = tokenizer_file("byte_bpe_50k.json")
+    tk = Tokenizer.from_buffer(raw)
+    docs = _docs(spark)
+    folder = tokenstore.store_folder(docs)
+    manifest = tokenstore.write_shards(docs, raw, folder, shard_bytes=100_000)
+    got = [tuple(r) for r in tokenstore.read_shards(manifest, folder).orderBy("start").collect()]
+    expected, start = [], 0
+    for i, t in sorted(_texts(), key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array([*tk.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == expected
+    shards = [tokenstore.Shard(folder, r["name"]) for r in manifest.collect()]
+    for key, text in ((3, _texts()[2][1]), (7, "one")):
+        found = [x for s in shards if (x := s.get(key)) is not None]
+        assert [f.tolist() for f in found] == [[*tk.encode(text, add_special_tokens=False).ids, 0]]
+    assert all(s.get(99_999) is None for s in shards)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab't sll\n\t é日🤗.,1\xa0\x1c\x85<|>"), max_size=60), min_size=1, max_size=4))
+def test_token_units_like_the_library(texts):
+    from tokenizers import Tokenizer
+
+    if "e" not in _MODEL:
+        raw = tokenizer_file("byte_bpe_50k.json")
+        _MODEL["e"], _MODEL["tk"] = tokenstore.Encoder(raw), Tokenizer.from_buffer(raw)
+    texts = [*texts, "x<|endoftext|>y"]
+    for own in ([texts[0]], texts):
+        ids, at = _MODEL["e"].encode(*_bytes(own), 0)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*_MODEL["tk"].encode(t, add_special_tokens=False).ids, 0] for t in own]
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.RandomState(1).randint(-(1 << 60), 1 << 60, 20_000))
+    h = tokenstore.PerfectHash.build(keys)
+    assert sorted(h.numbers(keys).tolist()) == list(range(len(keys)))
+    assert not len(tokenstore.PerfectHash.build(keys[:0]).numbers(keys[:0]))
+
+
+def test_token_counts(spark):
+    raw = tokenizer_file("piece_bpe_32k.model")
+    vocabulary = set(tokencount.vocabulary_of(raw)) | {bytes([b]) for b in range(256)}
+    longest = max(map(len, vocabulary))
+
+    def plain(t):
+        n = 0
+        for unit in re.findall("▁+[^▁]*", (" " + t).replace(" ", "▁")) if t else []:
+            b, k = unit.encode(), 0
+            while k < len(b):
+                k += next(m for m in range(min(longest, len(b) - k), 0, -1) if b[k : k + m] in vocabulary)
+                n += 1
+        return n
+
+    got = sorted(map(tuple, tokencount.token_counts(_docs(spark), raw).collect()), key=str)
+    assert got == sorted([(i, len((t or "").encode()), plain(t or "")) for i, t in _texts()], key=str)
+
+
+def test_fingerprints(spark):
+    got = {}
+    for r in chunking.compare_with_next(_docs(spark), block_bytes=20_000).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(_texts())
+    rows = sorted(_texts(), key=lambda r: (r[0] is not None, r[0] or 0))
+    by_text = {}
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1] or ""
+        e = chunking.edited(t or "", following)
+        r = next(x for x in got[i] if x["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest())
+        assert r["n_chars"] == len(t or "")
+        assert by_text.setdefault(t or "", r["fingerprint"]) == r["fingerprint"]
+        assert r["near_edited"] == pytest.approx(chunking.containment(chunking.read_hex(r["fingerprint"]), chunking.read_hex(r["edited_fingerprint"])))
+        assert 0 <= r["near_next"] <= 1
+    assert by_text[""] == ""
+
+
+def test_chunks_resist_shifts():
+    rng = np.random.RandomState(3)
+    text = "".join(chr(97 + x) for x in rng.randint(0, 26, 20_000))
+    code, at = chunking.chunks(*_bytes([text, "inserted " + text, text[:10_000]]))
+    a, b, c = (code[at[k] : at[k + 1]] for k in range(3))
+    assert chunking.containment(a, b) > 0.98 and chunking.containment(c, a) > 0.98 and 0.45 < chunking.containment(a, c) < 0.55
+
+
+def test_lm_scores(spark):
+    docs = _docs(spark)
+    model = lmscore.learn(docs.where("doc_id < 11"), filter_bits=20)
+    got = sorted(map(tuple, lmscore.score(docs, model, block_bytes=50_000).collect()), key=str)
+    tokens = {k: [*WORD.findall(_lower(t)), "\n"] for k, (_, t) in enumerate(_texts())}
+    train = [k for k, (i, _) in enumerate(_texts()) if i is not None and i < 11]
+    one, two = Counter(), Counter()
+    for k in train:
+        one.update(tokens[k])
+        two.update(zip(["\n", *tokens[k]], tokens[k], strict=False))
+    n, v = sum(one.values()), len(one)
+    expected = []
+    for k, (i, _) in enumerate(_texts()):
+        p = np.array([(one[w] + 0.5) / (n + 0.5 * (v + 1)) for w in tokens[k]])
+        before = np.array([one[w] for w in ["\n", *tokens[k][:-1]]])
+        c = np.array([two[x] for x in zip(["\n", *tokens[k]], tokens[k], strict=False)])
+        low = np.array([max([m for m in lmscore._LEAST_COUNT if m <= x], default=0) for x in c.tolist()])
+        q = np.where(before > 0, 0.15 * np.minimum(1, low / np.maximum(before, 1)) + 0.85 * p, p)
+        expected.append((i, len(tokens[k]), sum(w in one for w in tokens[k]), n, np.log10(p).sum(), np.log10(q).sum()))
+    for a, b in zip(got, sorted(expected, key=lambda r: str(next(g for g in got if g[:4] == r[:4]))), strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[5] == pytest.approx(b[5], rel=0.02, abs=0.3)
+
+
+def test_bloom_never_underestimates():
+    rng = np.random.RandomState(0)
+    pairs = rng.randint(0, 1 << 62, 3000).astype(np.uint64)
+    levels = rng.randint(1, 9, 3000)
+    short = lmscore._short(pairs, 0)
+    f = lmscore.LogBloom(np.frombuffer(lmscore.LogBloom.segment_of(short, levels, 1 << 18, 2), np.uint8), 1 << 18, 0, 2)
+    got = f.levels(pairs)
+    assert (got[levels >= 2] >= levels[levels >= 2]).all()
+    assert (f.levels(rng.randint(0, 1 << 62, 5000).astype(np.uint64)) == 0).mean() > 0.97
+
+
+def test_decontamination(spark):
+    item = " ".join(f"b{k}" for k in range(30))
+    texts = [(1, "intro " + item + " outro"), (2, "x " + item.upper().replace(" ", ",  ") + "!!"), (3, item.replace("b3 ", "c ").replace("b9 ", "c ")), (4, item[: len(item) // 2]), (5, None), (6, ""), (7, item), (None, item), (8, "a b c"), (8, "a b c"), (9, "far away words only here and there")]
+    bench = spark.createDataFrame([(1, item), (2, "a b c"), (3, None), (4, ""), (None, item)], "item_id long, text string")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in decontaminate.contaminated(_docs(spark, texts), bench).collect()}
+    assert got == {(1, 1): (1, 30, 1.0), (2, 1): (1, 30, 1.0), (7, 1): (0, 30, 1.0), (8, 2): (0, 3, 1.0)}
+    assert not decontaminate.contaminated(_docs(spark, texts), bench.limit(0)).count()
+    assert not decontaminate.contaminated(_docs(spark, []), bench).count()
+
+
+def test_toxicity(spark):
+    rng = np.random.RandomState(2)
+    plain = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(plain, 40))
+        if toxic := i % 4 == 0:
+            w.insert(rng.randint(40), rng.choice(["idiot", "moron", "lostraei", "lostraun"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic * 1))
+    labels += [(9999, 1), (None, 0), (3, None)]
+    docs = _docs(spark, rows + _texts()[3:6] + [(500, "such a lostrasp " + rows[1][1])])
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learned(docs, table, lmscore.fold("doc_id") != 0)
+    got = toxicity.with_scores(docs, model).collect()
+    held = [r for r in got if r["doc_id"] is not None and 6 < r["doc_id"] < 400 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == docs.count()
+    assert next(r for r in got if r["doc_id"] == 500)["score"] > 0.5
+    none = toxicity.learned(docs, table.limit(0))
+    assert {r["score"] < 0.01 for r in toxicity.with_scores(docs, none).collect()} == {True}
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div id="top"><ul class=menu><li><a href=/a>Home</a><li><a href=/b>About</a></ul></div>
+<div class="cookie-notice">We use cookies. Accept all of them.</div><!-- no --><div class="post"><h1>Title &amp; more</h1><p>First long paragraph with many words in it, and a <a href=x>link</a>,
+going on. It ends<br>here.<p>Short.<div class="ad">Buy now! Great stuff that you need.</div><p>Second long paragraph with more words in it than you would think. Yes.</div>
+<section id="comments"><article class=comment><p>Nice post, I did like it a lot, thanks for writing it.</p></article></section><form>Name <button>Send</button></form>
+<footer>Copyright 2020 <a href=/i>Imprint</a></footer><script>var t="</p>";</script></body></html>"""
+
+
+def test_main_text(spark):
+    want = "Title & more\nFirst long paragraph with many words in it, and a link, going on. It ends here.\nShort.\nSecond long paragraph with more words in it than you would think. Yes."
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<article>a < b <b>c</b>d\n\te<br>f"), (5, "u", "<p"), (5, "u", "<p"), (None, "u", "<!-- open")], "page_id long, url string, html string")
+    got = sorted(map(tuple, maincontent.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", want, len(want)), (2, None, "", 0), (3, "u", "", 0), (4, "u", "a < b cd e f", 12), (5, "u", "", 0), (5, "u", "", 0), (None, "u", "", 0)], key=str)
+    assert not maincontent.extract(pages.limit(0)).count()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_min_cut_is_minimal(data):
+    n = data.draw(st.integers(1, 8))
+    cost = st.integers(0, 12)
+    good, bad = data.draw(st.lists(cost, min_size=n, max_size=n)), data.draw(st.lists(cost, min_size=n, max_size=n))
+    edges = [(i, j, data.draw(st.integers(0, 6))) for i in range(n) for j in range(i) if data.draw(st.booleans())]
+
+    def value(keep):
+        return sum(b if k else g for g, b, k in zip(good, bad, keep, strict=True)) + sum(w for i, j, w in edges if keep[i] != keep[j])
+
+    got = maincontent.min_cut([float(x) for x in good], [float(x) for x in bad], [(i, j, float(w)) for i, j, w in edges])
+    assert value(got) == min(value([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
+
+
+def test_empty_tables(spark):
+    docs = _docs(spark).limit(0)
+    raw, model = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    folder = tokenstore.store_folder(docs)
+    frames = [
+        substrings.remove_repeats(docs), neardup.near_duplicates(docs), pieces.encode(docs, model), tokencount.token_counts(docs, model), chunking.compare_with_next(docs),
+        lmscore.score(docs, lmscore.learn(docs)), tokenstore.read_shards(tokenstore.write_shards(docs, raw, folder), folder),
+    ]
+    assert [f.count() for f in frames] == [0] * len(frames)
+    untrained = lmscore.score(_docs(spark), lmscore.learn(docs)).collect()
+    assert {r["base_score"] for r in untrained} == {0.0}

@@ -1,0 +1,58 @@
+"""The pipeline: planted cases go, clean rows stay, stages bear odd rows."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+
+
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    """A folder of tables with planted cases, and what is expected of each document."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    rng = np.random.RandomState(4)
+    words = [f"w{k}" for k in range(4000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    docs, labels, expected = [], [], {}
+    for i in range(120):
+        t = text(80)
+        if i % 6 == 5:
+            t = t[:100] + " idiot moron scum " + t[100:]
+        docs.append((i, t, "en", "a", len(t)))
+        labels.append((i, 1, int(i % 6 == 5)))
+        expected[i] = None if i % 6 == 5 else t
+    item, passage = text(30), text(60)
+    more = {200: docs[0][1], 201: docs[1][1].replace(docs[1][1].split()[40], "changed"), 202: text(20) + " " + item + " " + text(20), 203: text(50) + " " + passage, 204: text(50) + "\n" + passage, 205: None, 206: ""}
+    for i, t in more.items():
+        docs.append((i, t, None, "b", len(t) if t else None))
+        expected[i] = t
+    docs.append(docs[2])
+    docs.append((None, text(30), "en", "a", 3))
+    expected[None] = docs[-1][1]
+    expected[200] = expected[201] = expected[202] = None
+    expected[204] = more[204].split("\n")[0]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at, {k: v for k, v in expected.items() if v is not None or k == 205}
+
+
+def test_run(spark, made):
+    at, expected = made
+    rows = P.run(spark, at).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == len(got)
+    assert {k: v or "" for k, v in expected.items()} == got
+    assert all((r["n_tokens"] == len(r["ids"])) for r in rows)
+
+
+def test_stages_keep_columns_and_bear_clashes(spark, made):
+    at, _ = made
+    docs = spark.read.parquet(f"{at}/documents.parquet").limit(20)
+    wide = docs.selectExpr("*", "1 AS id", "'x' AS kept", "2 AS score", "3 AS toxic", "4 AS kept_text", "5 AS n_removed", "'y' AS `__block`", "6 AS c1", "7 AS ids0")
+    for name, stage in P.STAGES:
+        out = stage(spark, wide, at)
+        assert out.columns[: len(wide.columns)] == wide.columns, name
+        assert out.where("kept <> 'x' OR c1 <> 6").count() == 0
+        empty = stage(spark, docs.limit(0), at)
+        assert empty.count() == 0, name
