@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,3 +32,18 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def sql_query(name: str, text: str, duck: str | None = None) -> None:
+    """Register Spark SQL over the tables; the check runs ``duck`` or the same text."""
+    if name in REGISTRY:
+        raise ValueError(f"{name} is registered twice")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+        return spark.sql(text) if not used else spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", text))
+
+    REGISTRY[name] = (run, duck or text)
