@@ -96,7 +96,9 @@ def sentences(c: Column) -> Column:
 
 def ngrams(w: Column, n: int) -> Column:
     """All n words in a row, joined by spaces; none if there are fewer."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # the list goes through a one-element array, so that an expression for it is worked out once
+    cut = F.transform(F.array(w), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
+    return F.coalesce(F.get(cut, F.lit(0)), F.array().cast("array<string>"))
 
 
 def char_shingles(c: Column, n: int = 5) -> Column:

@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Site labels whose pages carry no running text.
-SITES = ("youtube", "instagram", "imgur", "flickr", "vimeo", "soundcloud", "gfycat", "giphy", "twitch", "example")
-#: File endings of media, archives and binaries.
-ENDINGS = (".3gp", ".7z", ".ai", ".aif", ".apk", ".avi", ".bin", ".bmp", ".css", ".csv", ".dat", ".deb", ".doc", ".docx", ".exe", ".flv", ".gif", ".gz", ".ico", ".iso", ".jar", ".jpeg", ".jpg", ".js", ".mov", ".mp3", ".mp4", ".mpg", ".ogg", ".pdf", ".png", ".ppt", ".pptx", ".psd", ".rar", ".svg", ".swf", ".tar", ".tif", ".tiff", ".wav", ".webm", ".webp", ".wmv", ".xls", ".xlsx", ".zip")
+# Results depend on these lists and the pattern being as they are.
+#: Site labels whose pages carry no running text or nothing fit for training.
+SITES = (
+    "500px", "aapks", "akamaihd", "amazon", "apple", "artifactfire", "artstation", "awwni", "bandcamp", "battleforthenet", "coinscalendar",
+    "dailymotion", "deviantart", "discord", "discordapp", "dlapkandroid", "dropbox", "e621", "ebay", "edealinfo", "erome", "eroshare", "explosm",
+    "facebook", "fbcdn", "flickr", "furaffinity", "futhead", "gatopardo", "gfycat", "gifsound", "gifsoup", "giphy", "github", "google", "gunprime",
+    "gyazo", "horsefucker", "hotdealstar", "imagefap", "imageshack", "imgflip", "imgur", "instagram", "karmadecay", "kryptocal", "kym-cdn",
+    "liveleak", "livememe", "lmgtfy", "magaimg", "memegenerator", "minorplanetcenter", "minus", "mobafire", "morejpeg", "nocookie", "pcpartpicker",
+    "photobucket", "pinimg", "pinterest", "pixiv", "pornhub", "prntscr", "puu", "qkme", "quickmeme", "radd", "redd", "reddit", "reddit-stream",
+    "redditlog", "redditmedia", "reddituploads", "redtube", "reupp", "reverb", "roanoke", "rollingstone", "sli", "soundcloud", "soundgasm",
+    "spankbang", "spotify", "strawpoll", "streamable", "timeanddate", "tinypic", "touhouradio", "tumblr", "twimg", "twitch", "twitter", "vid",
+    "vimeo", "vine", "vkaao", "vocaroo", "voyagefusion", "walmart", "wciu", "wikimedia", "wikipedia", "xhamster", "xkcd", "xvideos", "youtu",
+    "youtube", "youtubedoubler", "ytimg", "zillexplorer",
+)
+#: File endings of media, archives, programs and data.
+ENDINGS = (
+    ".3gp", ".7z", ".ai", ".aif", ".apk", ".app", ".avi", ".bin", ".bmp", ".bz2", ".css", ".csv", ".dat", ".deb", ".dmg", ".doc", ".docx", ".exe",
+    ".gif", ".gifv", ".gz", ".iso", ".jar", ".jpeg", ".jpg", ".js", ".log", ".mid", ".midi", ".mkv", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".ogg",
+    ".ogv", ".otf", ".pdf", ".pkg", ".png", ".pps", ".ppt", ".pptx", ".psd", ".py", ".qt", ".ram", ".rar", ".sql", ".svg", ".swf", ".tar.gz", ".tar",
+    ".tgz", ".tiff", ".ttf", ".txt", ".wav", ".webm", ".wma", ".wmv", ".xls", ".xlsx", ".xml", ".xz", ".zip",
+)
+#: Addresses of at most so many characters are no addresses.
 SHORT = 8
-WELL_FORMED = r"^https?://([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]*(:[0-9]+)?([/?][^ ]*)?$"
+#: An address with a host name or four numbers, a port, and a path or query without white space.
+WELL_FORMED = r"(?i)^https?://(([A-Z0-9]([A-Z0-9-]{0,61}[A-Z0-9])?\.)+([A-Z]{2,6}\.?|[A-Z0-9-]{2,}\.?)|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(:\d+)?(/?|[/?]\S+)$"
 
 
 def host(url: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -34,16 +35,28 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+def unit_duck(x: str) -> str:
+    """A number from 0 to 1 that depends on the text of ``x`` alone, in DuckDB's SQL."""
+    return f"(CAST('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 7) AS BIGINT) / 268435456.0)"
+
+
+def unit(x: Column) -> Column:
+    """The same as a column."""
+    return F.conv(F.substring(F.md5(x.cast("string").cast("binary")), 1, 7), 16, 10).cast("double") / 268435456.0
+
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def sql_query(name: str, text: str, duck: str | None = None) -> None:
-    """Register Spark SQL over the tables; the check runs ``duck`` or the same text."""
+    """Register Spark SQL over the tables; the check runs ``duck`` or the same text. unit(x) is known to both."""
     if name in REGISTRY:
         raise ValueError(f"{name} is registered twice")
+    duck = re.sub(r"\bunit\(([^()]*)\)", lambda m: unit_duck(m[1]), duck or text)
+    text = re.sub(r"\bunit\(([^()]*)\)", r"(CAST(conv(substr(md5(CAST(\1 AS STRING)), 1, 7), 16, 10) AS DOUBLE) / 268435456.0D)", text)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
         return spark.sql(text) if not used else spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", text))
 
-    REGISTRY[name] = (run, duck or text)
+    REGISTRY[name] = (run, duck)

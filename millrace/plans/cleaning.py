@@ -12,7 +12,7 @@ from millrace.plans.base import Tables, query
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1))"
 _SITES = ", ".join(f"'{x}'" for x in U.SITES)
-_ENDINGS = "|".join("\\" + x for x in U.ENDINGS)
+_ENDINGS = "|".join(x.replace(".", "\\.") for x in U.ENDINGS)
 _LABEL = f"(CASE WHEN len(string_split({_HOST}, '.')) > 1 THEN string_split({_HOST}, '.')[-2] ELSE {_HOST} END)"
 _DOMAIN = f"({_LABEL} IN ({_SITES}))"
 _EXT = f"regexp_matches(lower(string_split(url, '?')[1]), '({_ENDINGS})$')"
