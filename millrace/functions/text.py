@@ -116,3 +116,8 @@ def word_id(c: Column, vocabulary: int = 50000) -> Column:
 def key_order(*parts: Column | str) -> Column:
     """A shuffling order that depends on the parts alone."""
     return F.md5(F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts)).cast("binary"))
+
+
+def join_pieces(pieces: Column) -> Column:
+    """Words from word pieces: a piece that begins with ## goes on the one before it."""
+    return F.replace(F.array_join(pieces, " "), F.lit(" ##"), F.lit(""))

@@ -94,7 +94,8 @@ def bleu(df: DataFrame, pred: Column, gold: Column, order: int = 4) -> DataFrame
 def chrf(df: DataFrame, pred: Column, gold: Column, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF in percent: F-beta of character n-grams (white space left out), averaged over orders."""
     chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("side"), chars(pred).alias("c")), F.struct(F.lit(1).alias("side"), chars(gold).alias("c")))).alias("x")).select("row", "x.*")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), chars(pred).alias("a"), chars(gold).alias("b"))
+    rows = rows.select("row", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("b").alias("c")))))
     grams = rows.select("row", "side", F.posexplode(F.array(*(T.ngrams(F.col("c"), n) for n in range(1, order + 1)))).alias("n", "g")).select("row", "side", "n", F.explode("g").alias("g"))
     own = grams.groupBy("row", "n", "g").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("p"), F.sum("side").alias("q"))
     s = own.groupBy("n").agg(*(F.sum(c).cast("double").alias(k) for c, k in ((F.least("p", "q"), "m"), (F.col("p"), "p"), (F.col("q"), "q"))))

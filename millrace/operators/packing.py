@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of the id range that are summed as one group.
@@ -52,7 +52,7 @@ def split_by_place(df: DataFrame, key: str, ends: list[tuple[str, float]]) -> Da
     r = running(df, key, {"r": F.lit(1)})
     name = F.lit(ends[-1][0])
     for split, end in reversed(ends[:-1]):
-        name = F.when(F.col("r_before") < round(end * n), split).otherwise(name)
+        name = F.when(F.col("r_before") < round(end * n), split).otherwise(name)  # halves to even, as in the size rule
     return r.select(key, name.alias("split"))
 
 
@@ -80,3 +80,27 @@ def chatml(turns: DataFrame, conversation: str, turn: str, role: str, text: str)
     part = F.concat(F.lit("<|im_start|>"), F.col(role), F.lit("\n"), F.col(text), F.lit("<|im_end|>"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(turn), part.alias("p"))))
     return turns.groupBy(conversation).agg(F.array_join(F.transform(rows, lambda x: x["p"]), "\n").alias("prompt"))
+
+
+def rolling(df: DataFrame, size: str, length: int, context: int) -> DataFrame:
+    """Evaluation windows: k, input_start (-1: a start token first), pred_start and pred_end.
+
+    The first window predicts its whole length, later ones ``length - context + 1`` tokens more each.
+    """
+    hop = length - context + 1
+    last = F.when(F.col(size) <= length, F.lit(0)).otherwise(F.ceil((F.col(size) - length) / F.lit(float(hop)))).cast("bigint")
+    w = df.where(F.col(size) > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    end = F.least(F.col(size), F.lit(length) + F.col("k") * hop)
+    first = F.col("k") == 0
+    w = w.withColumn("pred_start", F.when(first, F.lit(0).cast("bigint")).otherwise(length + (F.col("k") - 1) * hop)).withColumn("pred_end", end)
+    return w.withColumn("input_start", F.when(first, F.lit(-1).cast("bigint")).otherwise(end - (length + 1)))
+
+
+def split_overlaps(spark: SparkSession, ends: list[float], others: list[float]) -> DataFrame:
+    """The overlap of every two parts of two splits of 0 to 1; null where there is none."""
+    rows = []
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        for j, (c, d) in enumerate(zip(others[:-1], others[1:], strict=True)):
+            lo, hi = max(a, c), min(b, d)
+            rows.append((i, j, lo if lo < hi else None, hi if lo < hi else None))
+    return spark.createDataFrame(rows, "split int, other int, start double, end double")

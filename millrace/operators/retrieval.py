@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are multiplied with a batch at once; their vectors are what is broadcast.
+#: Queries that are multiplied with a batch at once; at most so many vectors are broadcast.
 QUERY_BLOCK = 4096
+#: Rows that one task compares with a block of queries.
+ROW_PART = 65536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,47 +30,60 @@ def _matrix(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
-def top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", same: bool = False, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+def _best(ids: np.ndarray, q: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: str, same: bool) -> pa.RecordBatch:
+    """The k best of all batches for each query, ties by id."""
+    best_d, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+    norm = (q * q).sum(1)[:, None]
+    for own, x in batches:
+        for a in range(0, len(own) if len(ids) else 0, 4096):
+            o, y = own[a : a + 4096], x[a : a + 4096]
+            d = -(q @ y.T) if metric == "ip" else norm + (y * y).sum(1)[None, :] - 2 * (q @ y.T)
+            d = np.round(d, 9)
+            if not same:
+                d[ids[:, None] == o[None, :]] = np.inf
+            d = np.concatenate([best_d, d], 1)
+            i = np.concatenate([best_i, np.broadcast_to(o, (len(ids), len(o)))], 1)
+            order = np.lexsort((i, d))[:, :k]
+            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+    keep = np.isfinite(best_d).reshape(-1)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])[keep], pa.int64()), pa.array(best_i.reshape(-1)[keep], pa.int64()), pa.array(best_d.reshape(-1)[keep], pa.float64())], names=["query", "id", "distance"])
+
+
+FOUND = "query bigint, id bigint, distance double"
+
+
+def top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", same: bool = False, id_col: str = "id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """The exact k nearest of ``base`` for every query: query, id, distance and rank (from 1), ties by id.
 
-    Queries are a stated set; they are taken in blocks of QUERY_BLOCK (sorted by id), each block is
-    sent to all tasks and multiplied with their batches. A task keeps k rows a query, so what is
-    shuffled is k rows a query and task. ``metric``: l2 (squared distance) or ip (inner product,
-    largest first). ``same``: whether a query may find its own id. Rows with a null id or vector are left out.
+    Up to ``query_block`` queries (they are counted) are sent to all tasks. More of them are dealt into
+    blocks, rows into parts, and each block meets each part in a task of its own. Either way a task
+    keeps k rows a query, so what is shuffled at last is k rows a query and task. ``metric``: l2
+    (squared distance) or ip (inner product, largest first). ``same``: whether a query may find its own
+    id. Rows with a null id or vector are left out; repeated queries count once.
     """
     spark = base.sparkSession
     rows = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    wanted = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").distinct()
-    out = None
-    table = wanted.orderBy("id").toArrow()
-    for lo in range(0, max(1, table.num_rows), QUERY_BLOCK):
-        part = table.slice(lo, QUERY_BLOCK)
-        sent = spark.sparkContext.broadcast((part.column("id").to_numpy(), _matrix(part.column("v"))))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    wanted = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").dropDuplicates(["id"])
+    n = wanted.count()
+    if n <= query_block:
+        table = wanted.toArrow()
+        sent = spark.sparkContext.broadcast((table.column("id").to_numpy(), _matrix(table.column("v"))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best_d, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-            norm = (q * q).sum(1)[:, None]
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-                for a in range(0, len(own), 4096):
-                    o, y = own[a : a + 4096], x[a : a + 4096]
-                    d = -(q @ y.T) if metric == "ip" else norm + (y * y).sum(1)[None, :] - 2 * (q @ y.T)
-                    d = np.round(d, 9)
-                    if not same:
-                        d[ids[:, None] == o[None, :]] = np.inf
-                    d = np.concatenate([best_d, d], 1)
-                    i = np.concatenate([best_i, np.broadcast_to(o, (len(ids), len(o)))], 1)
-                    order = np.lexsort((i, d))[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            m = best_d.shape[1]
-            keep = np.isfinite(best_d).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)[keep], pa.int64()), pa.array(best_i.reshape(-1)[keep], pa.int64()), pa.array(best_d.reshape(-1)[keep], pa.float64())], names=["query", "id", "distance"])
-
-        found = rows.mapInArrow(run, "query bigint, id bigint, distance double")
-        out = found if out is None else out.union(found)
+            yield _best(ids, q, ((b.column("id").to_numpy(), _matrix(b.column("v"))) for b in batches if b.num_rows), k, metric, same)
+
+        out = rows.mapInArrow(run, FOUND)
+    else:
+        blocks, parts = -(-n // query_block), max(1, -(-rows.count() // ROW_PART))
+        deal = lambda df, own, m, other, count: df.select("*", F.pmod(F.xxhash64("id"), F.lit(m)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(other))
+        q, x = deal(wanted, "block", blocks, "part", parts), deal(rows, "part", parts, "block", blocks)
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            both = _best(a.column("id").to_numpy(), _matrix(a.column("v")), iter([(b.column("id").to_numpy(), _matrix(b.column("v")))] if b.num_rows else []), k, metric, same)
+            return pa.Table.from_batches([both])
+
+        out = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInArrow(meet, FOUND)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))
     d = -F.col("distance") if metric == "ip" else F.col("distance")
     return ranked.where(F.col("rank") <= k).select("query", "id", d.alias("distance"), "rank")

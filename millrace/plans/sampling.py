@@ -26,7 +26,7 @@ def idx_layout(t: Tables):
 
 @query("encode_docs", f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(w, lambda x: {_ID.format('x')})) AS BIGINT) AS id_sum FROM (SELECT doc_id, {_W} AS w FROM documents)")
 def encode_docs(t: Tables):
-    w = t.documents.select("doc_id", F.transform(T.words(F.col("text")), T.word_id).alias("ids"))
+    w = t.documents.select("doc_id", F.transform(T.words(F.col("text")), lambda x: T.word_id(x)).alias("ids"))
     return w.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
