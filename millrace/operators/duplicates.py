@@ -44,25 +44,36 @@ def bands(signature: Column, n_bands: int, seeds: int) -> Column:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, seeds: int = 100) -> DataFrame:
-    """key, shingles and signature of each text."""
+    """key, shingles, signature and rep of each text; rep is the smallest key of the texts with the same shingles.
+
+    Only representatives carry shingles and a signature from here on, so copies, however many, are
+    compared with nothing. Texts without shingles have neither and are their own representatives.
+    """
     s = df.select(F.col(key).alias("key"), T.char_shingles(F.col(text)).alias("shingles"))
-    return s.withColumn("signature", minhash(shingle_codes(F.col("shingles")), seeds))
+    same = F.when(F.size("shingles") > 0, F.md5(F.array_join(F.array_sort("shingles"), "\u0001").cast("binary")))
+    s = s.withColumn("same", same)
+    rep = s.where("same IS NOT NULL").groupBy("same").agg(F.min("key").alias("rep"))
+    s = s.join(rep, "same", "left").withColumn("rep", F.coalesce("rep", "key"))
+    own = F.col("key") == F.col("rep")
+    return s.select("key", "rep", F.when(own, F.col("shingles")).alias("shingles")).withColumn("signature", F.when(own, minhash(shingle_codes(F.coalesce("shingles", F.array().cast("array<string>"))), seeds)))
 
 
 def candidates(prints: DataFrame, n_bands: int = 10, seeds: int = 100) -> DataFrame:
-    """Distinct pairs (a < b) that share a bucket of some band."""
+    """Distinct pairs (a < b) of representatives that share a bucket of some band, and each copy with its representative."""
     rows = prints.where("signature IS NOT NULL").select("key", F.inline(bands(F.col("signature"), n_bands, seeds)))
     a, b = rows.withColumnRenamed("key", "a"), rows.withColumnRenamed("key", "b")
-    return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    near = a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    return near.union(prints.where("key <> rep").select("rep", "key"))
 
 
 def jaccard(pairs: DataFrame, prints: DataFrame, over: float = 0.5) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity over ``over``."""
-    p = prints.select("key", "shingles")
-    x = pairs.join(p.toDF("a", "sa"), "a").join(p.toDF("b", "sb"), "b")
+    """Pairs whose shingle sets have a Jaccard similarity over ``over``; a copy and its representative have 1."""
+    p = prints.select("key", "rep", "shingles")
+    copy = pairs.join(prints.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b")), ["a", "b"], "left_semi").select("a", "b", F.lit(1.0).alias("jaccard"))
+    x = pairs.join(p.where("key = rep").select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(p.where("key = rep").select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     sim = both / (F.size("sa") + F.size("sb") - both).cast("double")
-    return x.select("a", "b", sim.alias("jaccard")).where(F.col("jaccard") > over)
+    return x.select("a", "b", sim.alias("jaccard")).union(copy).where(F.col("jaccard") > over)
 
 
 def word_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
