@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model, weight: float = WEIGHT, id_col: str = "
     """Per row: id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text)."""
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     blocks = max(1, -(-text_bytes(base, "__text") // block_bytes))
-    by_block = base.withColumn("__block", block_of("__id", blocks)).groupBy("__block")
+    by_block = base.withColumn("__block", block_of(blocks, "__id", "__text")).groupBy("__block")
     request = "__block int, __range int, __payload binary"
     asked = by_block.applyInArrow(_ask(model.bits), request).groupBy("__range")
     answers = asked.cogroup(model.words.groupBy("__range")).applyInArrow(_answer, request)

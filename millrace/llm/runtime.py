@@ -61,6 +61,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def block_of(key: str, n: int) -> Column:
-    """A block number from 0 to n - 1, the same in every run."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+def block_of(n: int, *columns: str) -> Column:
+    """A block number from 0 to n - 1 by a hash of the columns: the same in every run, and no id, or lack of one, fills a block."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")

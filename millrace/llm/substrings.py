@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     bits = max(10, (max(1, size * CELLS_PER_WORD // 6) - 1).bit_length())
     range_bits = min(bits, (range_cells - 1).bit_length())
     key_bits = max(0, (size >> 25).bit_length())
-    base = base.withColumn("__block", block_of("__id", blocks))
+    base = base.withColumn("__block", block_of(blocks, "__id", "__text"))
     by_block = base.groupBy("__block")
     sketch = by_block.applyInArrow(_sketch(n, bits, range_bits), REPLY).groupBy("__range").applyInArrow(_merge_sketch(range_bits), REPLY)
     exact = by_block.cogroup(sketch.groupBy("__block")).applyInArrow(_suspects(n, bits, range_bits, key_bits), REPLY).groupBy("__range").applyInArrow(_group_exactly, REPLY)
