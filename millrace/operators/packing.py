@@ -5,24 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of the id range that are summed as one group.
-GROUP = 4096
-
-
-def running(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
-    """For each of ``sums`` its total over all rows with a smaller key, as ``<name>_before``.
-
-    Keys are whole numbers. They are grouped by ranges of GROUP; totals of ranges are run over in a
-    small table, and rows only within their range, so no task holds the table.
-    """
-    group = F.floor(F.col(order) / GROUP)
-    own = df.select("*", group.alias("__g"), *(c.cast("bigint").alias(f"__{k}") for k, c in sums.items()))
-    totals = own.groupBy("__g").agg(*(F.sum(f"__{k}").alias(f"__t_{k}") for k in sums))
-    before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__g", *(F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__s_{k}") for k in sums))
-    inside = Window.partitionBy("__g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return own.join(starts, "__g").select(*df.columns, *((F.col(f"__s_{k}") + F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0))).alias(f"{k}_before") for k in sums))
-
+from millrace.operators.ranking import ranked, running
 
 def pack(lengths: DataFrame, key: str, size: str, length: int) -> DataFrame:
     """Fixed samples over the documents laid end to end: sample_id, document, and the document's tokens in it."""
@@ -47,12 +30,11 @@ def overlapping(df: DataFrame, size: str, length: int, hop: int) -> DataFrame:
 
 
 def split_by_place(df: DataFrame, key: str, ends: list[tuple[str, float]]) -> DataFrame:
-    """The split of each row by its place in key order; ``ends``: names and where their shares end."""
-    n = df.count()
-    r = running(df, key, {"r": F.lit(1)})
+    """The split of each row by its place in key order; ``ends``: names and where their shares end (halves round to even)."""
+    r = ranked(df, [], [key], "__place", "__n")
     name = F.lit(ends[-1][0])
     for split, end in reversed(ends[:-1]):
-        name = F.when(F.col("r_before") < round(end * n), split).otherwise(name)  # halves to even, as in the size rule
+        name = F.when(F.col("__place") - 1 < F.bround(F.lit(end) * F.col("__n"), 0), split).otherwise(name)
     return r.select(key, name.alias("split"))
 
 
@@ -104,3 +86,11 @@ def split_overlaps(spark: SparkSession, ends: list[float], others: list[float])
             lo, hi = max(a, c), min(b, d)
             rows.append((i, j, lo if lo < hi else None, hi if lo < hi else None))
     return spark.createDataFrame(rows, "split int, other int, start double, end double")
+
+
+def near_equal(df: DataFrame, keys: list[str], order: str, parts: int, name: str = "part") -> DataFrame:
+    """Parts (from 1) of nearly equal size in the order of each key's rows; the first ones take what is over."""
+    r = ranked(df, keys, [order], "__p", "__n")
+    p, size, more = F.col("__p") - 1, F.floor(F.col("__n") / parts), F.col("__n") % parts
+    part = F.when(p < more * (size + 1), F.floor(p / (size + 1))).otherwise(more + F.floor((p - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return r.withColumn(name, (part + 1).cast("int")).drop("__p", "__n")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from fnmatch import translate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.ranking import ranked
 
 SMALL_CHARS, SMALL_TOKENS = 8 * 128, 128
 
@@ -41,8 +42,8 @@ def cleanup_verdict(text: Column, lang: Column) -> Column:
 
 def add_id(df: DataFrame, prefix: str, order: str, name: str = "id") -> DataFrame:
     """``prefix``-numbered ids from 1, in the order of a key, for each prefix."""
-    nth = F.row_number().over(Window.partitionBy(prefix).orderBy(order))
-    return df.withColumn(name, F.format_string("%s-%010d", F.col(prefix), nth))
+    out = ranked(df, [prefix], [order], "__nth")
+    return out.withColumn(name, F.format_string("%s-%010d", F.col(prefix), "__nth")).drop("__nth")
 
 
 def preference_pairs(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -62,9 +63,8 @@ def match_names(df: DataFrame, name: str, patterns: list[str]) -> DataFrame:
 
 def fraction_per_class(df: DataFrame, label: str, order: str, share: float) -> DataFrame:
     """The first floor(share * size) rows of each class."""
-    w = Window.partitionBy(label)
-    ranked = df.withColumn("__nth", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
-    return ranked.where(F.col("__nth") <= F.floor(F.lit(share) * F.col("__n"))).drop("__nth", "__n")
+    out = ranked(df, [label], [order], "__nth", "__n")
+    return out.where(F.col("__nth") <= F.floor(F.lit(share) * F.col("__n"))).drop("__nth", "__n")
 
 
 def cut_at(text: Column, stops: list[str]) -> Column:

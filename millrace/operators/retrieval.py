@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import ranked
+
 #: Queries that are multiplied with a batch at once; at most so many vectors are broadcast.
 QUERY_BLOCK = 4096
 #: Rows that one task compares with a block of queries.
@@ -139,5 +141,4 @@ def grouped_top(df: DataFrame, keys: list[str], score: str, k: int, tie: str) ->
 
 def with_capacity(df: DataFrame, target: str, score: str, capacity: int, tie: str) -> DataFrame:
     """Rows that fit their target's capacity, the best-scored first; the others are marked as dropped."""
-    place = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(score), tie))
-    return df.withColumn("slot", place - 1).withColumn("dropped", F.col("slot") >= capacity)
+    return ranked(df, [target], [F.desc(score), tie], "slot").withColumn("slot", (F.col("slot") - 1).cast("int")).withColumn("dropped", F.col("slot") >= capacity)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import retrieval as R
+from millrace.operators.ranking import ranked
 from millrace.plans.base import Tables, query, sql_query, unit, unit_duck
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
@@ -178,8 +179,8 @@ def replicate_bins(t: Tables):
 
 @query("permute_restore", f"SELECT event_id, CAST(excl + row_number() OVER (PARTITION BY target ORDER BY event_id) - 1 AS BIGINT) AS place FROM {_EV} JOIN {_ENDS} USING (target)")
 def permute_restore(t: Tables):
-    nth = F.row_number().over(Window.partitionBy("target").orderBy("event_id"))
-    return _routed(t).join(_bins(t), "target").select("event_id", (F.col("excl") + nth - 1).alias("place"))
+    r = ranked(_routed(t), ["target"], ["event_id"], "nth")
+    return r.join(_bins(t), "target").select("event_id", (F.col("excl") + F.col("nth") - 1).alias("place"))
 
 
 @query("gather_scatter", f"SELECT target, count(*) AS n, round(sum(value * p), 4) AS total FROM {_EV} GROUP BY target")
@@ -189,7 +190,7 @@ def gather_scatter(t: Tables):
 
 @query("kv_sort", f"SELECT event_id, target, row_number() OVER (PARTITION BY target ORDER BY p, event_id) AS place FROM {_EV}")
 def kv_sort(t: Tables):
-    return _routed(t).select("event_id", "target", F.row_number().over(Window.partitionBy("target").orderBy("p", "event_id")).cast("bigint").alias("place"))
+    return ranked(_routed(t), ["target"], ["p", "event_id"]).select("event_id", "target", "place")
 
 
 sql_query("prompt_format", "SELECT item_id, concat('Question: ', text, chr(10), 'Answer:') AS prompt FROM benchmark")

@@ -10,6 +10,7 @@ from millrace.operators import contamination as C
 from millrace.operators import packing as K
 from millrace.operators import samples as S
 from millrace.operators.duplicates import word_ngrams as grams_of
+from millrace.operators.ranking import ranked, running
 from millrace.plans.base import Tables, query, sql_query
 
 _W = r"string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')"
@@ -131,19 +132,19 @@ def loss_mask(t: Tables):
 @query("shuffle_index", "SELECT CAST(range_id AS INT) AS range_id, doc_id, row_number() OVER (PARTITION BY range_id ORDER BY md5('5:' || doc_id), doc_id) AS place FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 1 ELSE 0 END AS range_id FROM documents)")
 def shuffle_index(t: Tables):
     d = t.documents.select("doc_id", F.when(F.col("doc_id") % 5 == 4, 1).otherwise(0).alias("range_id"))
-    return d.select("range_id", "doc_id", F.row_number().over(Window.partitionBy("range_id").orderBy(T.key_order("5", F.col("doc_id")), "doc_id")).cast("bigint").alias("place"))
+    return ranked(d, ["range_id"], [T.key_order("5", F.col("doc_id")), "doc_id"]).select("range_id", "doc_id", "place")
 
 
 @query("rank_batches_random", "SELECT CAST(doc_id % 4 AS BIGINT) AS rank, doc_id, CAST((row_number() OVER (PARTITION BY doc_id % 4 ORDER BY md5('3:' || doc_id), doc_id) - 1) // 8 AS BIGINT) AS step FROM documents")
 def rank_batches_random(t: Tables):
-    nth = F.row_number().over(Window.partitionBy(F.col("doc_id") % 4).orderBy(T.key_order("3", F.col("doc_id")), "doc_id"))
-    return t.documents.select((F.col("doc_id") % 4).alias("rank"), "doc_id", F.floor((nth - 1) / 8).alias("step"))
+    r = ranked(t.documents.select((F.col("doc_id") % 4).alias("rank"), "doc_id"), ["rank"], [T.key_order("3", F.col("doc_id")), "doc_id"], "nth")
+    return r.select("rank", "doc_id", F.floor((F.col("nth") - 1) / 8).alias("step"))
 
 
 @query("length_batches", "SELECT lang, doc_id, CAST((row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) - 1) // 16 AS BIGINT) AS batch FROM documents")
 def length_batches(t: Tables):
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "doc_id"))
-    return t.documents.select("lang", "doc_id", F.floor((nth - 1) / 16).alias("batch"))
+    d = t.documents.select("lang", "doc_id", F.length("text").alias("n"))
+    return ranked(d, ["lang"], [F.desc("n"), "doc_id"], "nth").select("lang", "doc_id", F.floor((F.col("nth") - 1) / 16).alias("batch"))
 
 
 sql_query("context_groups", "SELECT role, substr(text, 1, 3) AS context, count(*) AS n, min(conv_id) AS first_conv FROM conversations GROUP BY role, substr(text, 1, 3)")
@@ -151,12 +152,12 @@ sql_query("context_groups", "SELECT role, substr(text, 1, 3) AS context, count(*
 
 @query("merge_indexed", f"SELECT source, doc_id, CAST(sum(n) OVER (ORDER BY source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) * 4 AS byte_ptr FROM (SELECT source, doc_id, CAST(len({_W}) AS BIGINT) AS n FROM documents)")
 def merge_indexed(t: Tables):
-    # offsets inside a part, then the parts' totals run over in a small table
+    # offsets inside each part, then the parts' totals run over in a small table
     d = _words(t).select("source", "doc_id", F.size("w").cast("bigint").alias("n"))
     parts = d.groupBy("source").agg(F.sum("n").alias("total"))
     parts = parts.select("source", F.coalesce(F.sum("total").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return d.join(parts, "source").select("source", "doc_id", ((F.col("base") + own) * 4).alias("byte_ptr"))
+    own = running(d, "doc_id", {"own": F.col("n")}, ["source"])
+    return own.join(parts, "source").select("source", "doc_id", ((F.col("base") + F.col("own_before")) * 4).alias("byte_ptr"))
 
 
 _SPLIT = "SELECT doc_id, CASE WHEN r < round_even(0.969 * n, 0) THEN 'train' WHEN r < round_even(0.999 * n, 0) THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)"
@@ -186,7 +187,7 @@ def blend_exhaustive(t: Tables):
 
 @query("blend_lookup", "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, k AS sample_id, doc_id FROM d WHERE k < 10")
 def blend_lookup(t: Tables):
-    d = t.documents.select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("sample_id"))
+    d = ranked(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], "nth").select("source", "doc_id", (F.col("nth") - 1).alias("sample_id"))
     wanted = t.documents.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("sample_id"))
     return wanted.join(d, ["source", "sample_id"]).select("source", "sample_id", "doc_id")
 

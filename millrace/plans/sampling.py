@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import packing as K
+from millrace.operators import records as R
+from millrace.operators.ranking import ranked
 from millrace.plans.base import Tables, query, sql_query
 
 _W = r"string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')"
@@ -72,13 +74,13 @@ def chunk_counts(t: Tables):
 
 @query("shuffle_docs", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('1234:' || doc_id), doc_id) AS place FROM documents")
 def shuffle_docs(t: Tables):
-    return t.documents.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(T.key_order("1234", F.col("doc_id")), "doc_id")).cast("bigint").alias("place"))
+    return ranked(t.documents.select("doc_id", "lang"), ["lang"], [T.key_order("1234", F.col("doc_id")), "doc_id"]).select("doc_id", "place")
 
 
 @query("document_index", "SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || doc_id), doc_id) AS place FROM documents, unnest(range(0, 3)) AS t(epoch)")
 def document_index(t: Tables):
     e = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("epoch"))
-    return e.select("epoch", "doc_id", F.row_number().over(Window.partitionBy("epoch").orderBy(T.key_order("7", F.col("epoch"), F.col("doc_id")), "doc_id")).cast("bigint").alias("place"))
+    return ranked(e, ["epoch"], [T.key_order("7", F.col("epoch"), F.col("doc_id")), "doc_id"]).select("epoch", "doc_id", "place")
 
 
 @query("split_docs", "SELECT doc_id, CASE WHEN r < round(0.969 * n) THEN 'train' WHEN r < round(0.999 * n) THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)")
@@ -86,18 +88,16 @@ def split_docs(t: Tables):
     return K.split_by_place(t.documents.select("doc_id"), "doc_id", [("train", 0.969), ("valid", 0.999), ("test", 1.0)])
 
 
-@query("seq_partitions", "SELECT doc_id, CAST((r // ceil(n / 8.0)) AS BIGINT) AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)")
+@query("seq_partitions", "SELECT doc_id, CAST(floor(r / ceil(n / 8.0)) AS BIGINT) AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)")
 def seq_partitions(t: Tables):
-    n = t.documents.agg(F.count("*").alias("n"))
-    out = K.running(t.documents.select("doc_id"), "doc_id", {"r": F.lit(1)})
-    return out.join(F.broadcast(n)).select("doc_id", F.floor(F.col("r_before") / F.ceil(F.col("n") / 8.0)).alias("part"))
+    out = ranked(t.documents.select("doc_id"), [], ["doc_id"], "r", "n")
+    return out.select("doc_id", F.floor((F.col("r") - 1) / F.ceil(F.col("n") / 8.0)).alias("part"))
 
 
 @query("rank_batches", "SELECT doc_id, CAST(p // 32 AS BIGINT) AS step, CAST((p % 32) // 8 AS BIGINT) AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) WHERE p < n // 32 * 32")
 def rank_batches(t: Tables):
-    n = t.documents.count()
-    out = K.running(t.documents.select("doc_id"), "doc_id", {"p": F.lit(1)}).where(F.col("p_before") < n // 32 * 32)
-    return out.select("doc_id", F.floor(F.col("p_before") / 32).alias("step"), F.floor(F.col("p_before") % 32 / 8).alias("rank"))
+    out = ranked(t.documents.select("doc_id"), [], ["doc_id"], "r", "n").withColumn("p", F.col("r") - 1).where(F.col("p") < F.floor(F.col("n") / 32) * 32)
+    return out.select("doc_id", F.floor(F.col("p") / 32).alias("step"), F.floor(F.col("p") % 32 / 8).alias("rank"))
 
 
 _BLEND = "SELECT source, n_docs, n_docs / CAST(sum(n_docs) OVER () AS DOUBLE) AS weight, CAST(ceil(1000 * (n_docs / CAST(sum(n_docs) OVER () AS DOUBLE)) * 1.005) AS BIGINT) AS size FROM (SELECT source, count(*) AS n_docs FROM documents GROUP BY source)"
@@ -139,10 +139,20 @@ def dialog_context(t: Tables):
 
 sql_query("merge_union", "SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark' AS origin, item_id AS id, text FROM benchmark")
 sql_query("length_describe", "SELECT count(*) AS n, avg(length(text)) AS mean, stddev_samp(length(text)) AS std, min(length(text)) AS least, percentile(length(text), 0.25) AS p25, percentile(length(text), 0.5) AS p50, percentile(length(text), 0.75) AS p75, max(length(text)) AS most FROM conversations", "SELECT count(*) AS n, avg(length(text)) AS mean, stddev_samp(length(text)) AS std, min(length(text)) AS least, quantile_cont(length(text), 0.25) AS p25, quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.75) AS p75, max(length(text)) AS most FROM conversations")
-sql_query("split_ntile", "SELECT doc_id, ntile(4) OVER (PARTITION BY lang ORDER BY doc_id) AS part FROM documents")
+
+
+@query("split_ntile", "SELECT doc_id, CAST(ntile(4) OVER (PARTITION BY lang ORDER BY doc_id) AS INT) AS part FROM documents")
+def split_ntile(t: Tables):
+    return K.near_equal(t.documents.select("doc_id", "lang"), ["lang"], "doc_id", 4).select("doc_id", "part")
+
+
+@query("chunk_sampled", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) AS x WHERE r <= floor(n * 0.25)")
+def chunk_sampled(t: Tables):
+    return R.fraction_per_class(t.documents.select("source", "doc_id"), "source", "doc_id", 0.25)
+
+
 sql_query("fewshot_firstn", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) AS x WHERE r <= 5")
 sql_query("fewshot_sample", "SELECT lang, doc_id, md5(concat('11:', doc_id)) AS k FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('11:', doc_id)), doc_id) AS r FROM documents) AS x WHERE r <= 6")
-sql_query("chunk_sampled", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) AS x WHERE r <= floor(n * 0.25)")
 sql_query("missing_blocks", "SELECT d.block, count(*) AS n FROM (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS block, doc_id FROM documents) AS d LEFT JOIN (SELECT DISTINCT CAST(floor(doc_id / 100) AS BIGINT) AS block FROM labels WHERE toxic = 1) AS l ON d.block = l.block WHERE l.block IS NULL GROUP BY d.block")
 sql_query("blend_audit", "SELECT source, count(*) AS n_docs, least(count(*), 50) AS drawn, count(*) < 50 AS oversampled FROM documents GROUP BY source")
 sql_query("regroup_docs", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
