@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round is two aggregations and two joins on node keys and ends in a table in the shared folder.
+Each round is two aggregations and two joins on node keys and ends in a table in the shared folder. A node that
+many others hang on is never a join's key while it is the smallest of its group.
 Before it, every task replaces its own edges by a spanning forest (union-find over what it holds),
 so that few rounds are left. Only one row of counts reaches the driver.
 """
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.runtime import stored
+from millrace.llm.runtime import small_side, stored
 
 #: Edges that a task holds at once; more are a forest of their own.
 HELD = 1 << 20
@@ -78,9 +79,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(e.repartition("u").mapInArrow(_local, "u long, v long"), "edges")
     mark = _mark(e)
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large star: a node's larger neighbours go to its smallest one. A node without a smaller one, as the middle of a
+        # large group is, changes nothing, so only nodes that are both larger and smaller ends are joined.
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        inner = stored(least.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("w"), "m"), "inner")
+        large = e.join(small_side(inner), e.v == inner.w, "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = stored(small.mapInArrow(_local, "u long, v long"), "edges")
