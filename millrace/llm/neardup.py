@@ -251,3 +251,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     out = member.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+
+
+#: near_duplicates(n=3, percent=85) over documents; copies are joined as one set.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(1) ORDER BY s)) AS same FROM sh GROUP BY doc_id),
+cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY same) AS rep FROM n),
+own AS (SELECT sh.doc_id, s, n FROM sh JOIN cls ON cls.doc_id = sh.doc_id AND cls.rep = sh.doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM own AS a JOIN own AS b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM met WHERE 100 * c >= 85 * (na + nb - c) UNION SELECT b, a FROM met WHERE 100 * c >= 85 * (na + nb - c)),
+r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+comp AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, rep, d.doc_id) AS component_id, coalesce(component, rep, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN cls ON cls.doc_id = d.doc_id LEFT JOIN comp ON comp.node = cls.rep
+"""

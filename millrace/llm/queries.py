@@ -9,10 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, decontaminate, lmscore, maincontent, pieces, tokencount, tokenstore, toxicity
-from millrace.llm.neardup import near_duplicates
+from millrace.llm import chunking, decontaminate, lmscore, maincontent, neardup, pieces, substrings, tokencount, tokenstore, toxicity
 from millrace.llm.runtime import ship
-from millrace.llm.substrings import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,7 +44,7 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"), n=3, percent=85)
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), n=3, percent=85)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +81,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    out = substrings.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -104,4 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE_SQL,
+    "op4_near_duplicates": neardup.ORACLE_SQL,
+    "op10_substring_dedup": substrings.ORACLE_SQL,
 }

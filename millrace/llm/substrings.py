@@ -278,3 +278,15 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     names = [id_col, "n_words", "n_removed", "kept_text", *carry]
     types = ", ".join(f"`{c}` {t}" for c, t in zip(names, ["long", "long", "long", "string", *(base.schema[f"__c{k}"].dataType.simpleString() for k in range(len(carry)))], strict=True))
     return by_block.cogroup(exact.groupBy("__block")).applyInArrow(_remove(n, carry, names, untouched), types)
+
+
+#: The digest query of remove_repeats over documents.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+met AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM met, unnest(range(0, 13)) AS u(j) WHERE first < doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
