@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.cluster import ship
+
+__all__ = ["BLOCK_BYTES", "BROADCAST_ROWS", "block_of", "shared_dir", "ship", "small_side", "stored", "text_bytes"]
+
 #: Bytes of text in a block of documents that is worked on together.
 BLOCK_BYTES = 16 << 20
 #: Rows of a table that may be broadcast (a few longs each); larger ones are joined by a shuffle.
@@ -36,21 +37,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session, also where it isn't installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        at = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace_code.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for p in sorted((root / "millrace").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(str(at))
-    sc._millrace_shipped = True
-
-
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of all texts: one number for the driver, by which blocks and ranges are counted."""
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
