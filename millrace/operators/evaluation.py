@@ -197,3 +197,22 @@ def _best_pairing(score: np.ndarray) -> np.ndarray:
             owner[j], j = owner[way[j]], way[j]
     taken = np.flatnonzero(owner[1:])
     return score[owner[1:][taken] - 1, taken]
+
+
+def with_model(requests: DataFrame, model: Callable[[], Callable[[list[str], list[str]], list[float]]], context: str = "context", continuation: str = "continuation", name: str = "score") -> DataFrame:
+    """A model's score of each continuation after its context, batch by batch; ``model()`` is made once a task."""
+    schema = requests.withColumn(name, F.lit(0.0)).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = model()
+        for b in batches:
+            yield b.assign(**{name: np.asarray(score(b[context].tolist(), b[continuation].tolist()), float)})
+
+    return requests.mapInPandas(run, schema)
+
+
+def from_cache(requests: DataFrame, cache: DataFrame, keys: list[str], answer: str = "score") -> tuple[DataFrame, DataFrame]:
+    """Requests with their cached answers, and those still to run; requests are matched by a digest of their keys."""
+    digest = F.sha2(F.to_json(F.struct(*keys)), 256)
+    asked, known = requests.withColumn("request", digest), cache.select(digest.alias("request"), answer).dropDuplicates(["request"])
+    return asked.join(known, "request"), asked.join(known, "request", "left_anti")

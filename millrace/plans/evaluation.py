@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions import answers as A
 from millrace.functions import metrics as M
 from millrace.functions import text as T
 from millrace.operators import evaluation as E
@@ -406,3 +407,16 @@ sql_query("zip_join", "SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS kno
 sql_query("record_text", "SELECT conv_id, turn, concat('Passage: ', replace(replace(text, '@highlight', '- '), chr(10), ' '), ' Query:') AS prompt FROM conversations")
 sql_query("race_explode", "SELECT item_id, k, concat(text, ' ', chr(65 + k)) AS prompt FROM (SELECT item_id, text, explode(sequence(0, 3)) AS k FROM benchmark) AS x", "SELECT item_id, CAST(k AS INT) AS k, text || ' ' || chr(CAST(65 + k AS INT)) AS prompt FROM benchmark, unnest(range(0, 4)) AS u(k)")
 sql_query("mse_psnr", "SELECT task, round(mse, 6) AS mse, round(10 * log10(1 / mse), 6) AS psnr FROM (SELECT l.doc_id % 7 AS task, avg((unit(l.doc_id) - l.toxic) * (unit(l.doc_id) - l.toxic)) AS mse FROM labels AS l GROUP BY l.doc_id % 7) AS x")
+
+
+
+
+@query("formula_answers", "SELECT p_partkey, '\\frac{' || (p_size % 9 + 1) || '}{' || (p_size % 7 + 1) || '}' AS answer FROM part")
+def formula_answers(t: Tables):
+    a, b = (F.col("p_size") % 9 + 1).cast("string"), (F.col("p_size") % 7 + 1).cast("string")
+    return t.part.select("p_partkey", A.formula(F.concat(F.lit("x = \\dfrac"), a, b, F.lit("\\text{ cm}"))).alias("answer"))
+
+
+@query("number_answers", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS answer FROM orders")
+def number_answers(t: Tables):
+    return t.orders.select("o_orderkey", A.number(F.concat(F.format_number("o_orderkey", 0), F.lit(".00"))).alias("answer"))

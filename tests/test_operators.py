@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.functions import answers as A
 from millrace.functions import metrics as M
 from millrace.functions import text as T
 from millrace.functions import urls as U
@@ -19,7 +20,8 @@ from millrace.operators import packing as K
 from millrace.operators import retrieval as R
 from millrace.operators import samples as S
 from millrace.operators.graph import components
-from millrace.sources import files, indexed
+from millrace.operators.ranking import ranked, running
+from millrace.sources import catalog, files, indexed
 from millrace.streaming import windows as W
 
 
@@ -235,9 +237,9 @@ def test_top_k(spark, block, metric):
 
 
 def test_cells_recall(spark):
-    from millrace.plans import catalog
+    from millrace.plans import catalog as plans
 
-    q = catalog.queries()
+    q = plans.queries()
     exact = q["knn_l2"](spark, "/root/testdata/sf0.001").select("query", "id")
     found = q["ivf_search"](spark, "/root/testdata/sf0.001").select("query", "id")
     assert exact.intersect(found).count() / exact.count() >= 0.9
@@ -303,3 +305,47 @@ def test_text_functions(spark):
     assert one(spark, F.size(T.ngrams(F.split(F.lit("a b"), " "), 3))) == 0
     assert one(spark, T.ngrams(F.split(F.lit("a b c d"), " "), 3)) == ["a b c", "b c d"]
     assert one(spark, F.size(T.char_shingles(F.lit("abcde")))) == 0 and one(spark, T.char_shingles(F.lit("abcdefg"))) == ["abcde", "bcdef"]
+
+
+def test_answers(spark):
+    for given_, want in ((r"\frac12", r"\frac{1}{2}"), (r"x=\tfrac{3}4", r"\frac{3}{4}"), ("0.5", r"\frac{1}{2}"), ("3/4", r"\frac{3}{4}"), (r"\sqrt3", r"\sqrt{3}"), (r"\left( 2, .5 \right)", "(2,0.5)"), (r"5\text{ inches}", "5"), (r"45^\circ", "45"), (r"12\%", "12")):
+        assert one(spark, A.formula(F.lit(given_))) == want, given_
+    assert one(spark, A.number(F.lit("1,200.50"))) == "1200.5" and one(spark, A.number(F.lit("seven"))) == "seven"
+    assert one(spark, A.drop_tokens(F.lit("The 1,000 well-known  dogs!"))) == ["1000", "well", "known", "dogs"]
+    assert one(spark, A.last_boxed(F.lit(r"a \boxed{1} b \boxed{\frac{1}{2}} c"))) == r"\frac{1}{2}"
+    assert one(spark, A.last_boxed(F.lit("none"))) is None
+
+
+def test_catalog(spark, tmp_path):
+    for n in ("a.json", "b.JSON", "c.txt"):
+        (tmp_path / n).write_text("x")
+    assert catalog.listing(spark, str(tmp_path), (".json",)).count() == 2
+    assert catalog.blend_list(["3", "a", "1", "b"]) == (["a", "b"], [0.75, 0.25]) and catalog.blend_list(["a", "b"]) == (["a", "b"], None)
+    assert catalog.matching(["qa_x", "qa_y", "z"], ["qa_*", "g"], {"g": ["z", "qa_x"]}) == ["qa_x", "qa_y", "z"]
+    spark.dataSource.register(catalog.MockTokens)
+    read = lambda: sorted(map(str, spark.read.format("mocktokens").options(rows="50", length="9").load().collect()))
+    assert read() == read() and len(read()) == 50
+    df = spark.createDataFrame([("a|b", 0.5)], "k string, v double")
+    assert catalog.markdown(df).endswith("| a\\|b | 0.5000 |") and "a|b & 0.5000" in catalog.latex(df)
+
+
+def test_model_and_cache(spark):
+    rows = spark.createDataFrame([("ab", "c"), ("a", "cd")], "context string, continuation string")
+    scored = E.with_model(rows, lambda: lambda a, b: [len(x) + len(y) for x, y in zip(a, b, strict=True)])
+    assert {r["score"] for r in scored.collect()} == {3.0}
+    hit, todo = E.from_cache(rows, scored.where("context = 'a'"), ["context", "continuation"])
+    assert [r["context"] for r in hit.collect()] == ["a"] and [r["context"] for r in todo.collect()] == ["ab"]
+
+
+def test_ranked_and_running_by_key(spark):
+    rng = np.random.RandomState(5)
+    rows = [(int(k) if k else None, int(v), int(n)) for k, v, n in zip(rng.randint(0, 3, 900), rng.permutation(900), rng.randint(0, 9, 900), strict=True)]
+    df = spark.createDataFrame(rows, "k long, v long, n long").repartition(5)
+    got = {r["v"]: (r["p"], r["all"]) for r in ranked(df, ["k"], [F.desc("v")], "p", "all").collect()}
+    sums = {r["v"]: r["s_before"] for r in running(df, "v", {"s": F.col("n")}, ["k"]).collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: -r[1])
+        for p, r in enumerate(own, 1):
+            assert got[r[1]] == (p, len(own))
+            assert sums[r[1]] == sum(x[2] for x in own[p:])
+    assert ranked(df.limit(0), ["k"], ["v"]).count() == 0
