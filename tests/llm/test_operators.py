@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import chunking, decontaminate, lmscore, maincontent, neardup, pieces, substrings, tokencount, tokenstore, toxicity
 from millrace.llm.components import components
@@ -324,3 +325,35 @@ def test_empty_tables(spark):
     assert [f.count() for f in frames] == [0] * len(frames)
     untrained = lmscore.score(_docs(spark), lmscore.learn(docs)).collect()
     assert {r["base_score"] for r in untrained} == {0.0}
+
+
+def test_other_columns_may_have_any_name(spark):
+    """Names that the operators use inside occur as further columns of their tables, with nulls."""
+    names = ["doc", "item", "words", "hash", "pos", "length", "own", "print", "similarity", "item_print", "block", "value", "__id", "__html", "__url", "n_chars", "toxic", "__y", "__h", "__lang", "score"]
+    item = " ".join(f"b{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, f"x {item} y", "en"), (2, None, None), (3, "plain", "en")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    pages = spark.createDataFrame([(1, None, PAGE)], "page_id long, url string, html string")
+    for n in names:
+        docs, bench = (x if n in x.columns else x.withColumn(n, F.lit(None).cast("string")) for x in (docs, bench))
+        pages = pages.withColumn(n, F.lit("clash"))
+    pages = pages.withColumn("text", F.lit("clash"))
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 7)]
+    row = maincontent.extract(pages).first()
+    assert row["url"] is None and row["text"].startswith("Title & more") and row["n_chars"] == len(row["text"])
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int").withColumn("__id", F.lit("clash")).withColumn("text", F.lit("clash"))
+    model = toxicity.learned(docs, labels)
+    assert toxicity.with_scores(docs, model, carry=["value"]).count() == 3
+
+
+def test_ties_and_repeats(spark):
+    """Repeated rows and equal texts: every row comes back, equal texts alike, the smallest id stays."""
+    text = " ".join(f"t{k}" for k in range(30))
+    docs = spark.createDataFrame([(3, text), (1, text), (1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
+    near = neardup.near_duplicates(docs).collect()
+    assert len(near) == 6 and {r["component_id"] for r in near if r["doc_id"] is not None} == {1}
+    cut = substrings.remove_repeats(docs).collect()
+    assert len(cut) == 6 and {r["doc_id"]: r["n_removed"] for r in cut} == {1: 0, 2: 30, 3: 30, None: 30}
+    prints = chunking.compare_with_next(docs).collect()
+    assert len(prints) == 6 and len({r["fingerprint"] for r in prints}) == 1
+    assert len({r["score"] for r in lmscore.score(docs, lmscore.learn(docs)).collect()}) == 1
