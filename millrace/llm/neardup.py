@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.components import components
-from millrace.llm.runtime import small_side, stored
+from millrace.llm.runtime import give_back, small_side, stored
 
 CHUNK, MISSED = 6, 1e-6
 #: Shingles that a task compares at once.
@@ -117,6 +117,7 @@ def _sign(n: int, chunks: int):
                     sums.append(pa.array(s.view(np.int64)))
                 signed = pa.array([x.tobytes() for x in signatures(rows, h1, m, chunks)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("__id")[lo:hi], pa.array(size.astype(np.int64)), *sums, signed], names=["id", "n", "f1", "f2", "signature"])
+        give_back()
 
     return run
 
@@ -129,6 +130,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = look_ups(signature)
             ids = np.repeat(W.int_column(part, "rep"), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+    give_back()
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +220,7 @@ def _confirm(n: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["u", "v"])
         found = close()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["u", "v"])
+        give_back()
 
     return run
 

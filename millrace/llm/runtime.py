@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.cluster import ship
 
-__all__ = ["BLOCK_BYTES", "BROADCAST_ROWS", "block_of", "shared_dir", "ship", "small_side", "stored", "text_bytes"]
+__all__ = ["BLOCK_BYTES", "BROADCAST_ROWS", "block_of", "give_back", "shared_dir", "ship", "small_side", "stored", "text_bytes"]
 
 #: Bytes of text in a block of documents that is worked on together.
 BLOCK_BYTES = 16 << 20
@@ -50,3 +52,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def block_of(n: int, *columns: str) -> Column:
     """A block number from 0 to n - 1 by a hash of the columns: the same in every run, and no id, or lack of one, fills a block."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the machine; Arrow and the C library keep it otherwise, for workers that may idle."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

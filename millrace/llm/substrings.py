@@ -21,7 +21,7 @@ larger than any other; other columns are ignored unless named in ``carry``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.runtime import BLOCK_BYTES, block_of, text_bytes
+from millrace.llm.runtime import block_of, give_back, text_bytes
 
+#: Bytes of text in a block of documents that a task works on.
+BLOCK_BYTES = 8 << 20
+#: Bytes whose words are hashed at once; a longer document is hashed whole.
+HASHED = 1 << 18
 #: Cells of the sketch for each word of the corpus, before rounding up to a power of two.
 CELLS_PER_WORD = 8
 #: Cells that one reducer merges.
@@ -49,7 +53,7 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 def _block_windows(table: pa.Table, n: int):
     """Sorted by id, piece by piece: row numbers, first words, word count, both hashes and validity of windows."""
     data, offsets = W.column(table, "__text")
-    for lo, hi in W.pieces(offsets):
+    for lo, hi in W.pieces(offsets, HASHED):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = W.spans(part, at)
         ok = W.inside(first, n, len(starts))
@@ -75,6 +79,22 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.int64), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 16 + n * width), count=n).astype(bool)
 
 
+def _frugal(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The step of a group; what it has freed goes back to the machine before the worker's next one."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = step(table)
+        give_back()
+        return out
+
+    def two(table: pa.Table, replies: pa.Table) -> pa.Table:
+        out = step(table, replies)
+        give_back()
+        return out
+
+    return two if step.__code__.co_argcount == 2 else one
+
+
 def _rows(found: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     found = list(found)
     return pa.table([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], schema=_REPLY)
@@ -126,6 +146,22 @@ def _merge_sketch(range_bits: int):
     return run
 
 
+def _twice(cells: np.ndarray, payloads: dict[int, bytes], bits: int, range_bits: int) -> np.ndarray:
+    """For each cell whether the merged sketch has it twice; payloads: a bit for each distinct cell of a range."""
+    order = np.argsort(cells)
+    cells = cells[order]
+    new = np.diff(cells, prepend=-1) > 0
+    distinct = cells[new]
+    cuts = np.searchsorted(distinct, np.arange((1 << (bits - range_bits)) + 1, dtype=np.int64) << range_bits)
+    flags = np.zeros(len(distinct), bool)
+    for r in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[r], cuts[r + 1]
+        flags[a:b] = np.unpackbits(np.frombuffer(payloads[int(r)], np.uint8), count=b - a)
+    out = np.empty(len(cells), bool)
+    out[order] = flags[np.cumsum(new, dtype=np.int32) - 1]
+    return out
+
+
 def _suspects(n: int, bits: int, range_bits: int, key_bits: int):
     """The windows of a block that the merged sketch estimates as repeated: 96-bit key, smallest document, several documents."""
 
@@ -141,23 +177,13 @@ def _suspects(n: int, bits: int, range_bits: int, key_bits: int):
         if not h1s or not replies.num_rows:
             return _rows([])
         h1, h2, doc = np.concatenate(h1s), np.concatenate(h2s), np.concatenate(docs)
+        del h1s, h2s, docs
         answers = {(r // ROWS, r % ROWS): p for r, p in zip(replies.column("__range").to_pylist(), replies.column("__payload").to_pylist(), strict=True)}
         repeated = np.ones(len(h1), bool)
         for row in range(ROWS):
-            cells = _cells(h1, row, bits).astype(np.int64)
-            order = np.argsort(cells)
-            ranked = cells[order]
-            new = np.diff(ranked, prepend=-1) > 0
-            distinct = ranked[new]
-            cuts = np.searchsorted(distinct, np.arange((1 << (bits - range_bits)) + 1, dtype=np.int64) << range_bits)
-            flags = np.zeros(len(distinct), bool)
-            for r in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[r], cuts[r + 1]
-                flags[a:b] = np.unpackbits(np.frombuffer(answers[(int(r), row)], np.uint8), count=b - a)
-            here = np.empty(len(h1), bool)
-            here[order] = flags[np.cumsum(new) - 1]
-            repeated &= here
-        h1, h2, doc = h1[repeated], h2[repeated], ids[doc[repeated]]
+            repeated &= _twice(_cells(h1, row, bits).astype(np.int64), {r: p for (r, k), p in answers.items() if k == row}, bits, range_bits)
+        h1, h2, doc = h1[repeated], h2[repeated], doc[repeated]
+        doc = ids[doc]
         order = np.lexsort((doc, h2, h1))
         h1, h2, doc = h1[order], h2[order], doc[order]
         if not len(h1):
@@ -273,11 +299,11 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     key_bits = max(0, (size >> 25).bit_length())
     base = base.withColumn("__block", block_of(blocks, "__id", "__text"))
     by_block = base.groupBy("__block")
-    sketch = by_block.applyInArrow(_sketch(n, bits, range_bits), REPLY).groupBy("__range").applyInArrow(_merge_sketch(range_bits), REPLY)
-    exact = by_block.cogroup(sketch.groupBy("__block")).applyInArrow(_suspects(n, bits, range_bits, key_bits), REPLY).groupBy("__range").applyInArrow(_group_exactly, REPLY)
+    sketch = by_block.applyInArrow(_frugal(_sketch(n, bits, range_bits)), REPLY).groupBy("__range").applyInArrow(_frugal(_merge_sketch(range_bits)), REPLY)
+    exact = by_block.cogroup(sketch.groupBy("__block")).applyInArrow(_frugal(_suspects(n, bits, range_bits, key_bits)), REPLY).groupBy("__range").applyInArrow(_frugal(_group_exactly), REPLY)
     names = [id_col, "n_words", "n_removed", "kept_text", *carry]
     types = ", ".join(f"`{c}` {t}" for c, t in zip(names, ["long", "long", "long", "string", *(base.schema[f"__c{k}"].dataType.simpleString() for k in range(len(carry)))], strict=True))
-    return by_block.cogroup(exact.groupBy("__block")).applyInArrow(_remove(n, carry, names, untouched), types)
+    return by_block.cogroup(exact.groupBy("__block")).applyInArrow(_frugal(_remove(n, carry, names, untouched)), types)
 
 
 #: The digest query of remove_repeats over documents.
