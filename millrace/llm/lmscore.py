@@ -5,11 +5,11 @@ ranges; one reducer adds up a range. So counts cover all training text, and what
 with it. Words keep exact counts under a 64-bit hash, pairs under 32 bits more than the range has.
 
 Filter. A pair with count c has level 1 + floor(log(c) / log(1.5)), and enters the filter once for
-each level up to its own (levels under the cutoff are left out for all). Repeated membership probes
-from the cutoff on, until one fails, give the level back, never too low, and with it the count
-rounded down. The filter has a fixed size, ``filter_bits``, at every size of the corpus, which is
-the proven bound of the broadcast; the cutoff is the smallest level with which its entries get at
-least 12 bits each, so more text means that only pairs seen more often are kept.
+each level up to its own. Repeated membership probes from level 1 on, until one fails, give the
+level back, never too low, and with it the count rounded down. Each key range has a segment of 12
+bits for each of its entries, so every pair is kept and the filter grows with the text. Up to
+``filter_bits`` in all it is broadcast; a larger one stays where its ranges are, and each block of
+documents asks the ranges for the levels of its pairs. Both ways give the same levels.
 
 Score. p(word | before) = weight * count(before, word) / count(before) + (1 - weight) * p(word),
 p(word) being the base model (c + 0.5) / (N + 0.5 (V + 1)). Word counts don't go through the
@@ -33,6 +33,7 @@ from millrace.llm import words as W
 from millrace.llm.runtime import BLOCK_BYTES, block_of, stored, text_bytes
 
 BASE, LEVELS, WEIGHT = 1.5, 64, 0.15
+#: FILTER_BITS: the largest filter that is broadcast.
 FILTER_BITS, BITS_PER_ENTRY, PROBES = 28, 12, 6
 #: Tokens whose counts a task holds before it hands them on.
 HELD = 4_000_000
@@ -139,11 +140,11 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 #: The least count of each level: the smallest integer not under BASE ** (level - 1), each over the last.
 _LEAST_COUNT = np.ceil(BASE ** np.arange(LEVELS, dtype=np.float64) - 1e-9).astype(np.int64)
 
-MERGED = "__kind int, __range int, __payload binary, total long, n_distinct long, per_level array<long>"
+MERGED = "__kind int, __range int, __payload binary, total long, n_distinct long, size long"
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Counts of one range and kind, added up; for pairs the levels in place of the counts."""
+    """Counts of one range and kind, added up; for pairs the range's segment of the filter in their place."""
     kind, number = table.column("__kind")[0].as_py(), table.column("__range")[0].as_py()
     parts = [_unpack(p.as_py()) for p in table.column("__payload")]
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -152,28 +153,28 @@ def _merge(table: pa.Table) -> pa.Table:
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     keys, counts = keys[at], np.add.reduceat(counts, at)
-    total, per_level = int(counts.sum()), [0] * LEVELS
+    total, n = int(counts.sum()), len(keys)
     if kind == PAIRS:
-        counts = level_of(counts)
-        per_level = np.bincount(counts, minlength=LEVELS + 1)[1:].tolist()
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.Table.from_batches([_table([(kind, number, _pack(keys, counts), total, len(keys), per_level)], [*_NAMES, "total", "n_distinct", "per_level"], types)])
+        levels = level_of(counts)
+        payload = LogBloom.segment_of(keys, levels, segment_bits(int(levels.sum())))
+    else:
+        payload = _pack(keys, counts)
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.Table.from_batches([_table([(kind, number, payload, total, n, len(payload))], [*_NAMES, "total", "n_distinct", "size"], types)])
 
 
-def cutoff_for(per_level: list[int], filter_bits: int) -> int:
-    """The smallest level from which on all entries have BITS_PER_ENTRY bits."""
-    with_level = np.cumsum(np.array(per_level[::-1], np.int64))[::-1]  # pairs of each level or more
-    for level in range(1, LEVELS + 1):
-        if int(with_level[level - 1 :].sum()) * BITS_PER_ENTRY <= 1 << filter_bits:
-            return level
-    return LEVELS + 1
+def segment_bits(entries: int) -> int:
+    """Bits of a segment with BITS_PER_ENTRY for each entry, in whole bytes."""
+    return max(64, -(-entries * BITS_PER_ENTRY // 8) * 8)
 
 
 class LogBloom:
-    """A Bloom filter of (pair, level) entries in one segment of bits for each key range."""
+    """A Bloom filter of (pair, level) entries in one segment of bits for each key range; ``segment``: their bits, one number if all are alike."""
 
-    def __init__(self, bits: np.ndarray, segment: int, range_bits: int, cutoff: int):
-        self.bits, self.segment, self.range_bits, self.cutoff = bits, segment, range_bits, cutoff
+    def __init__(self, bits: np.ndarray, segment: int | np.ndarray, range_bits: int, cutoff: int = 1):
+        self.bits, self.range_bits, self.cutoff = bits, range_bits, cutoff
+        self.segment = np.broadcast_to(np.asarray(segment, np.int64), 1 << range_bits)
+        self.start = np.cumsum(self.segment) - self.segment
 
     @staticmethod
     def places(short: np.ndarray, level: int, segment: int) -> Iterator[np.ndarray]:
@@ -184,7 +185,7 @@ class LogBloom:
             h = h + step
 
     @staticmethod
-    def segment_of(short: np.ndarray, levels: np.ndarray, segment: int, cutoff: int) -> bytes:
+    def segment_of(short: np.ndarray, levels: np.ndarray, segment: int, cutoff: int = 1) -> bytes:
         bits = np.zeros(segment, bool)
         for level in range(cutoff, int(levels.max(initial=0)) + 1):
             for at in LogBloom.places(short[levels >= level], level, segment):
@@ -193,10 +194,14 @@ class LogBloom:
 
     def levels(self, pairs: np.ndarray) -> np.ndarray:
         """The level of each pair's hash, 0 if it isn't in the filter."""
-        out = np.zeros(len(pairs), np.int64)
-        todo = np.arange(len(pairs))
-        start = (pairs >> W.U64(64 - self.range_bits)).astype(np.int64) * self.segment if self.range_bits else np.zeros(len(pairs), np.int64)
-        short = _short(pairs, self.range_bits)
+        number = (pairs >> W.U64(64 - self.range_bits)).astype(np.int64) if self.range_bits else np.zeros(len(pairs), np.int64)
+        return self.levels_in(_short(pairs, self.range_bits), self.start[number], self.segment[number])
+
+    def levels_in(self, short: np.ndarray, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """The same of short keys, with the place and size of each one's segment."""
+        out = np.zeros(len(short), np.int64)
+        todo = np.arange(len(short))
+        size = segment.astype(W.U64)
         for level in range(self.cutoff, LEVELS + 1):
             hit = todo
             for k in range(PROBES):
@@ -205,7 +210,7 @@ class LogBloom:
                 if not k:
                     h = W.mix(short[hit].astype(W.U64) + W.U64((level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
                     step = W.mix(h) | W.U64(1)
-                at = start[hit] + (h % W.U64(self.segment)).astype(np.int64)
+                at = start[hit] + (h % size[hit]).astype(np.int64)
                 on = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                 hit, h, step = hit[on], h[on] + step[on], step[on]
             out[hit] = level
@@ -216,73 +221,100 @@ class LogBloom:
 
 
 class Model:
-    """Counts of a corpus: the word table (a DataFrame), totals and the filter."""
+    """Counts of a corpus: the word table (a DataFrame), totals and the filter, or its segments (a DataFrame) where it is too large to broadcast."""
 
-    def __init__(self, words: DataFrame, bits: int, tokens: int, distinct: int, filter: LogBloom):
-        self.words, self.bits, self.tokens, self.distinct, self.filter = words, bits, tokens, distinct, filter
+    def __init__(self, words: DataFrame, bits: int, tokens: int, distinct: int, filter: LogBloom | None, segments: DataFrame | None = None):
+        self.words, self.bits, self.tokens, self.distinct, self.filter, self.segments = words, bits, tokens, distinct, filter, segments
 
 
 def learn(docs: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS) -> Model:
-    """Count the words and pairs of all ``docs``."""
-    spark = docs.sparkSession
+    """Count the words and pairs of all ``docs``; ``filter_bits``: the largest filter of pairs that is broadcast."""
     base = docs.select(F.col(text_col).cast("string").alias("__text"))
     bits = max(0, (text_bytes(base, "__text") >> 25).bit_length())
     merged = stored(base.mapInArrow(_count(bits), PAYLOAD).groupBy("__kind", "__range").applyInArrow(_merge, MERGED), "counts")
-    levels = [F.sum(F.col("per_level")[k]) for k in range(LEVELS)]
-    row = merged.agg(F.sum(F.when(F.col("__kind") == WORDS, F.col("total"))), F.sum(F.when(F.col("__kind") == WORDS, F.col("n_distinct"))), *levels).first()
-    tokens, distinct, per_level = row[0] or 0, row[1] or 0, [x or 0 for x in row[2:]]
-    cutoff = cutoff_for(per_level, filter_bits)
-    segment = (1 << filter_bits) >> bits
+    word, pair = F.col("__kind") == WORDS, F.col("__kind") == PAIRS
+    row = merged.agg(*(F.sum(F.when(k, F.col(c))) for k, c in ((word, "total"), (word, "n_distinct"), (pair, "size")))).first()
+    tokens, distinct, size = (x or 0 for x in row)
+    words, segments = (merged.where(k).select(*_NAMES) for k in (word, pair))
+    if size * 8 > 1 << filter_bits:
+        return Model(words, bits, tokens, distinct, None, segments)
+    parts = [np.zeros(8, np.uint8)] * (1 << bits)
+    for r in segments.toLocalIterator():
+        parts[r["__range"]] = np.frombuffer(r["__payload"], np.uint8)
+    return Model(words, bits, tokens, distinct, LogBloom(np.concatenate(parts), np.array([8 * len(p) for p in parts]), bits))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r, p in zip(batch.column("__range").to_pylist(), batch.column("__payload").to_pylist(), strict=True):
-                keys, lv = _unpack(p)
-                yield _table([(PAIRS, r, LogBloom.segment_of(keys, lv, segment, cutoff))], _NAMES, [pa.int32(), pa.int32(), pa.binary()])
 
-    whole = np.zeros((1 << filter_bits) // 8, np.uint8)
-    pairs = merged.where(F.col("__kind") == PAIRS).select("__range", "__payload").repartition(1 << bits, "__range")
-    for r in pairs.mapInArrow(build, PAYLOAD).toLocalIterator():
-        part = np.frombuffer(r["__payload"], np.uint8)
-        whole[r["__range"] * (segment // 8) : r["__range"] * (segment // 8) + len(part)] = part
-    return Model(merged.where(F.col("__kind") == WORDS).select("__range", "__payload"), bits, tokens, distinct, LogBloom(whole, segment, bits, cutoff))
+REQUEST = "__block int, __kind int, __range int, __payload binary"
+
 
+def _requests(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_table(rows, ["__block", *_NAMES], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])])
 
-def _ask(bits: int):
-    """The distinct words of a block, by ranges."""
+
+def _ask(bits: int, pairs: bool):
+    """The distinct words of a block, and with ``pairs`` its distinct pairs, by ranges."""
 
     def run(table: pa.Table) -> pa.Table:
         data, offsets = W.column(table, "__text")
-        held = []
+        held: tuple[list, list] = [], []
         for lo, hi in W.pieces(offsets):
-            held.append(np.unique(_tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]))
-        keys = np.unique(np.concatenate(held))
-        cuts = _ranges(keys, bits)
+            t, _ = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            held[WORDS].append(np.unique(t))
+            if pairs:
+                held[PAIRS].append(np.unique(_pairs(t)))
         block = table.column("__block")[0].as_py()
-        rows = [(block, int(r), keys[cuts[r] : cuts[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(cuts))]
-        return pa.Table.from_batches([_table(rows, ["__block", "__range", "__payload"], [pa.int32(), pa.int32(), pa.binary()])])
+        rows = []
+        for kind in (WORDS, PAIRS) if pairs else (WORDS,):
+            keys = np.unique(np.concatenate(held[kind]))
+            cuts = _ranges(keys, bits)
+            keys = _short(keys, bits) if kind == PAIRS else keys
+            rows += [(block, kind, int(r), keys[cuts[r] : cuts[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(cuts))]
+        return _requests(rows)
 
     return run
 
 
-def _answer(asked: pa.Table, words: pa.Table) -> pa.Table:
-    """The counts of asked words of one range, for those that training has."""
-    tables = [_unpack(p.as_py()) for p in words.column("__payload")]
-    keys, counts = tables[0] if tables else (np.zeros(0, W.U64), np.zeros(0, np.int64))
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Of one range: the counts of asked words, for those that training has, or the levels of asked pairs, in their order."""
+    if not asked.num_rows or not known.num_rows:
+        return _requests([])
+    kind, number, raw = asked.column("__kind")[0].as_py(), asked.column("__range")[0].as_py(), known.column("__payload")[0].as_py()
     rows = []
-    for block, raw in zip(asked.column("__block").to_pylist(), asked.column("__payload").to_pylist(), strict=True):
-        own = np.frombuffer(raw, W.U64)
-        at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-        known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-        if known.any():
-            rows.append((block, 0, _pack(own[known], counts[at[known]])))
-    return pa.Table.from_batches([_table(rows, ["__block", "__range", "__payload"], [pa.int32(), pa.int32(), pa.binary()])])
-
-
-def _score(tokens: int, distinct: int, weight: float, sent, names: list[str]):
+    if kind == PAIRS:
+        bloom = LogBloom(np.frombuffer(raw, np.uint8), 8 * len(raw), 0)
+    else:
+        keys, counts = _unpack(raw)
+    for block, own in zip(asked.column("__block").to_pylist(), asked.column("__payload"), strict=True):
+        if kind == PAIRS:
+            short = np.frombuffer(own.as_buffer(), np.uint32)
+            levels = bloom.levels_in(short, np.zeros(len(short), np.int64), np.full(len(short), 8 * len(raw)))
+            rows.append((block, kind, number, levels.astype(np.uint8).tobytes()))
+            continue
+        own = np.frombuffer(own.as_buffer(), W.U64)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        found = keys[at] == own
+        if found.any():
+            rows.append((block, kind, number, _pack(own[found], counts[at[found]])))
+    return _requests(rows)
+
+
+def _levels_of(bits: int, pairs: np.ndarray, replies: dict[int, bytes]):
+    """A function that gives the levels of pairs by what the ranges answered about ``pairs``, the block's distinct ones in order."""
+    cuts = _ranges(pairs, bits)
+    levels = np.zeros(len(pairs), np.uint8)
+    for r, raw in replies.items():
+        levels[cuts[r] : cuts[r + 1]] = np.frombuffer(raw, np.uint8)
+    return lambda own: levels[np.searchsorted(pairs, own)]
+
+
+def _score(bits: int, tokens: int, distinct: int, weight: float, sent, names: list[str]):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        bloom: LogBloom = sent.value
-        parts = [_unpack(p.as_py()) for p in replies.column("__payload")]
+        parts, about = [], {}
+        for kind, r, p in zip(*(replies.column(c).to_pylist() for c in _NAMES), strict=True):
+            if kind == PAIRS:
+                about[r] = p
+            else:
+                parts.append(_unpack(p))
         keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, W.U64)
         counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         order = np.argsort(keys)
@@ -291,6 +323,13 @@ def _score(tokens: int, distinct: int, weight: float, sent, names: list[str]):
         cols: list[list[np.ndarray]] = [[], [], [], []]
         rounded = np.concatenate([[0], _LEAST_COUNT]).astype(np.float64)
         end_count = None
+        if sent is not None:
+            levels_of = sent.value.levels
+        else:
+            held = []
+            for lo, hi in W.pieces(offsets):
+                held.append(np.unique(_pairs(_tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])))
+            levels_of = _levels_of(bits, np.unique(np.concatenate(held)), about)
         for lo, hi in W.pieces(offsets):
             t, at = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             k = np.minimum(np.searchsorted(keys[:-1], t), len(keys) - 2) if len(keys) > 1 else np.full(len(t), len(keys) - 1)
@@ -298,7 +337,7 @@ def _score(tokens: int, distinct: int, weight: float, sent, names: list[str]):
             end_count = c[-1]  # each text ends with it
             base = (c + 0.5) / (tokens + 0.5 * (distinct + 1))
             before = np.append(end_count, c[:-1]).astype(np.float64)
-            seen = rounded[bloom.levels(_pairs(t))]
+            seen = rounded[levels_of(_pairs(t))]
             share = np.minimum(1.0, seen / np.maximum(before, 1))
             p = np.where(before > 0, weight * share + (1 - weight) * base, base)
             cols[0].append(np.diff(at))
@@ -317,13 +356,14 @@ def score(docs: DataFrame, model: Model, weight: float = WEIGHT, id_col: str = "
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     blocks = max(1, -(-text_bytes(base, "__text") // block_bytes))
     by_block = base.withColumn("__block", block_of(blocks, "__id", "__text")).groupBy("__block")
-    request = "__block int, __range int, __payload binary"
-    asked = by_block.applyInArrow(_ask(model.bits), request).groupBy("__range")
-    answers = asked.cogroup(model.words.groupBy("__range")).applyInArrow(_answer, request)
-    sent = docs.sparkSession.sparkContext.broadcast(model.filter)
+    served = model.filter is None
+    known = model.words.union(model.segments) if served else model.words
+    asked = by_block.applyInArrow(_ask(model.bits, served), REQUEST).groupBy("__kind", "__range")
+    answers = asked.cogroup(known.groupBy("__kind", "__range")).applyInArrow(_answer, REQUEST)
+    sent = None if served else docs.sparkSession.sparkContext.broadcast(model.filter)
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out = f"`{id_col}` {base.schema['__id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(answers.groupBy("__block")).applyInArrow(_score(model.tokens, model.distinct, weight, sent, names), out)
+    return by_block.cogroup(answers.groupBy("__block")).applyInArrow(_score(model.bits, model.tokens, model.distinct, weight, sent, names), out)
 
 
 def fold(id_col: str, n: int = 5) -> Column:

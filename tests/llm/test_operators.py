@@ -240,6 +240,16 @@ def test_lm_scores(spark):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[5] == pytest.approx(b[5], rel=0.02, abs=0.3)
 
 
+def test_lm_scores_keep_every_pair(spark):
+    """Pairs over what a broadcast may have are asked for by ranges; none is left out."""
+    docs = _docs(spark)
+    small = lmscore.learn(docs, filter_bits=10)
+    whole = lmscore.learn(docs)
+    assert small.filter is None and whole.filter is not None
+    got = [sorted(map(tuple, lmscore.score(docs, m, block_bytes=20_000).collect()), key=str) for m in (small, whole)]
+    assert got[0] == got[1] and any(r[5] > r[4] for r in got[0])
+
+
 def test_bloom_never_underestimates():
     rng = np.random.RandomState(0)
     pairs = rng.randint(0, 1 << 62, 3000).astype(np.uint64)
