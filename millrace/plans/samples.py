@@ -188,8 +188,7 @@ def blend_exhaustive(t: Tables):
 @query("blend_lookup", "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, k AS sample_id, doc_id FROM d WHERE k < 10")
 def blend_lookup(t: Tables):
     d = ranked(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], "nth").select("source", "doc_id", (F.col("nth") - 1).alias("sample_id"))
-    wanted = t.documents.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("sample_id"))
-    return wanted.join(d, ["source", "sample_id"]).select("source", "sample_id", "doc_id")
+    return blend_exhaustive(t).select("source", "sample_id").join(d, ["source", "sample_id"]).select("source", "sample_id", "doc_id")
 
 
 @query("join_wordpieces", r"SELECT item_id, replace(array_to_string(string_split(trim(regexp_replace(text, '([a-z]{4})([a-z])', '\1 ##\2', 'g')), ' '), ' '), ' ##', '') AS text FROM benchmark")

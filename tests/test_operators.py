@@ -200,6 +200,15 @@ def test_pack_in_order(spark):
     assert all(r["end"] <= 64 for r in got)
 
 
+def test_blend_lookup_resolves_every_position(spark, tmp_path):
+    from millrace.plans import catalog
+
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(100, 160)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["blend_lookup"](spark, str(tmp_path)).collect()))
+    assert got == sorted((s, k, i) for s in "ab" for k, i in enumerate(i for i, x in rows if x == s))
+
+
 def test_fix_text(spark):
     bad = "cafÃ© â€œquotedâ€\x9d naïve\r\nline\x00"
     assert one(spark, S.fix_text(F.lit(bad))) == "café “quoted” naïve\nline"
