@@ -6,8 +6,8 @@ words are placed wherever a document shares a shingle with some item, lined up b
 shares none has similarity 0. Each window and item gets a 64-bit SimHash of its shingles. The
 hashes are cut into 8 blocks of 8 bits; the index holds each item's blocks with up to 3 bits
 flipped, so that windows within 31 bits of an item are found for certain, and those within
-``radius`` go on. Two sets of similarity 0.8 are further apart than 24 of 64 bits about once in a
-million pairs. At last the weighted similarity of the shingles, with their numbers as weights (sum of
+``radius`` go on, by default all of these. Shingles that repeat may put two sets of similarity 0.8
+further apart than that, seldom. At last the weighted similarity of the shingles, with their numbers as weights (sum of
 minima over sum of maxima), decides.
 
 Defined cases: null and empty texts and texts without letters and digits match nothing; a document
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.runtime import small_side, stored
 
-BLOCKS, FLIPS, RADIUS = 8, 3, 24
+BLOCKS, FLIPS, RADIUS = 8, 3, 31
 
 
 def plain_words(text: str) -> Column:

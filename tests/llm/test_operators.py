@@ -271,6 +271,14 @@ def test_decontamination(spark):
     assert not decontaminate.contaminated(_docs(spark, []), bench).count()
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """A run of one word that differs moves the SimHash by more than 24 bits; the similarity is 0.8 all the same."""
+    text = lambda k, end: " ".join([*(f"k{k}w{i}" for i in range(148)), *(f"{end}{i}" for i in range(4)), *[end] * 14])
+    docs = _docs(spark, [(k, text(k, "y")) for k in range(20)])
+    bench = spark.createDataFrame([(k, text(k, "z")) for k in range(20)], "item_id long, text string")
+    assert {r[0] for r in decontaminate.contaminated(docs, bench).collect()} == set(range(20))
+
+
 def test_toxicity(spark):
     rng = np.random.RandomState(2)
     plain = [f"w{k}" for k in range(300)]
