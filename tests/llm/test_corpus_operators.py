@@ -271,14 +271,74 @@ def test_decontamination(spark):
     assert not decontaminate.contaminated(_docs(spark, []), bench).count()
 
 
+def _similar_windows(texts, items, n=5, least=0.8):
+    """The best window of each document and item, over all windows."""
+    words = lambda t: [w for w in re.sub(r"[^0-9a-z]+", " ", (t or "").lower()).split(" ") if w]
+    best = {}
+    for doc, t in texts:
+        for item, u in items:
+            w, v = words(t), words(u)
+            if doc is None or item is None or not v:
+                continue
+            k = min(n, len(v))
+            grams = lambda x: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))  # noqa: E731, B023
+            own = grams(v)
+            for a in range(max(0, len(w) - len(v)) + 1):
+                got = grams(w[a : a + len(v)])
+                both = (own & got).total()
+                s = both / (own.total() + got.total() - both)
+                if s >= least:
+                    m = min(len(v), len(w))
+                    best[doc, item] = max(best.get((doc, item), (0, 0, 0)), (s, -a, m))
+    return {k: (-a, m, s) for k, (s, a, m) in best.items()}
+
+
+@pytest.mark.parametrize("segment", [4096, 40])
+def test_decontamination_like_all_windows(spark, monkeypatch, segment):
+    """Reordered halves, changed, left out and put in words, repeated words, equal windows, items of few words, repeated ids, a long text."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    rng = np.random.RandomState(7)
+    word = lambda n, v: [f"w{x}" for x in rng.randint(0, v, n)]
+    items = [(k, " ".join(word(n, v))) for k, (n, v) in enumerate([(60, 9999), (30, 9999), (45, 3), (30, 9999), (12, 9999), (5, 9999), (4, 50), (1, 9999), (25, 2)])]
+    items += [(20, items[1][1]), (21, None), (22, "?"), (None, items[0][1])]
+    texts = []
+    for k in range(60):
+        w = items[k % 9][1].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(len(w) + 1)
+            w = [w[:at] + word(1, 9999) + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + word(1, 9999) + w[at:]][rng.randint(3)]
+        texts.append((k, " ".join(word(rng.randint(0, 20), 9999) + w + word(rng.randint(0, 20), 9999))))
+    half = items[0][1].split(" ")
+    texts += [(100, " ".join(half[30:] + half[:30])), (101, " ".join([items[1][1]] * 3)), (102, " ".join(word(3000, 9999) + half + word(3000, 3))), (103, None), (103, ""), (7, items[3][1]), (7, items[4][1]), (None, items[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in decontaminate.contaminated(_docs(spark, texts), bench).collect()}
+    want = _similar_windows(texts, items)
+    assert got == want and (100, 0) in got and len(got) > 30
+
+
 def test_decontamination_of_repeated_shingles(spark):
-    """A run of one word that differs moves the SimHash by more than 24 bits; the similarity is 0.8 all the same."""
+    """A run of one word that differs at similarity 0.8: as shingles with numbers, the fingerprints stay near."""
     text = lambda k, end: " ".join([*(f"k{k}w{i}" for i in range(148)), *(f"{end}{i}" for i in range(4)), *[end] * 14])
     docs = _docs(spark, [(k, text(k, "y")) for k in range(20)])
     bench = spark.createDataFrame([(k, text(k, "z")) for k in range(20)], "item_id long, text string")
     assert {r[0] for r in decontaminate.contaminated(docs, bench).collect()} == set(range(20))
 
 
+def test_blocks_find_all_within_the_radius(spark):
+    """Fingerprints at random within 31 bits always share an indexed value of some block."""
+    rng = np.random.RandomState(1)
+    rows = []
+    for k in range(300):
+        x = rng.randint(0, 2, 128)
+        y = x.copy()
+        y[rng.choice(128, rng.randint(0, 32), replace=False)] ^= 1
+        rows.append((k, *(int(np.packbits(h).view(">i8")[0]) for h in (x[:64], x[64:], y[:64], y[64:]))))
+    df = spark.createDataFrame(rows, "id long, a long, b long, c long, d long")
+    x = df.select("id", F.inline(decontaminate.blocks("a", "b", decontaminate.ITEM_FLIPS)))
+    y = df.select("id", F.inline(decontaminate.blocks("c", "d", decontaminate.WINDOW_FLIPS)))
+    assert x.join(y, ["id", "block", "value"]).select("id").distinct().count() == len(rows)
+
+
 def test_toxicity(spark):
     rng = np.random.RandomState(2)
     plain = [f"w{k}" for k in range(300)]
