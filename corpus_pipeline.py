@@ -2,8 +2,8 @@
 that an earlier document has are cut, documents with benchmark items go, the rest is tokenised.
 
 Stages work on columns by position, so any further columns of documents, whatever their names, pass
-through. Null ids and null or empty texts pass every filter. Rows that repeat an id count as copies
-of one document in the near-duplicate stage: one of them stays.
+through. Null ids and null or empty texts pass every filter. Rows that repeat an id are documents of
+their own in the near-duplicate stage; of those with the same text one stays.
 """
 
 from __future__ import annotations
@@ -41,18 +41,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of five-word similarity 0.8 or more."""
+    """One document, that of the smallest id, of each group of five-word similarity 0.8 or more.
+
+    Rows are documents here: different texts under one id stay apart, so no text is lost; of rows alike in id
+    and text one stays, chosen by a hash of its columns, so the same in every run.
+    """
     ship(spark)
     rows, at = _numbered(docs)
-    key = at["doc_id"]
-    found = stored(neardup.near_duplicates(rows, n=5, percent=80, id_col=key, text_col=at["text"]).select(F.col(key).alias("id"), "kept"), "kept")
-    gone = found.where(~F.col("kept")).select("id").distinct()
-    again = found.where("kept AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
-    stay = rows.join(small_side(gone), rows[key] == F.col("id"), "left_anti")
+    key, text = at["doc_id"], F.xxhash64(F.col(at["text"]).cast("string"))
+    found = stored(neardup.near_duplicates(rows, n=5, percent=80, id_col=key, text_col=at["text"], by_row=True).select(F.col(key).alias("id"), "version", "n_shingles", "kept"), "kept")
+    same = (rows[key].cast("long") == F.col("id")) & (text == F.col("version"))
+    gone = found.where(~F.col("kept")).select("id", "version").distinct()
+    stay = rows.join(small_side(gone), same, "left_anti")
+    again = found.where("kept AND id IS NOT NULL AND n_shingles > 0").groupBy("id", "version").count().where("count > 1").select("id", "version")
     if not again.isEmpty():
         again = small_side(again)
-        once = stay.join(again, stay[key] == F.col("id"), "left_semi").dropDuplicates([key])
-        stay = stay.join(again, stay[key] == F.col("id"), "left_anti").union(once)
+        order = F.xxhash64(*(c for c, t in rows.dtypes if not t.startswith("map") and "map<" not in t))
+        once = stay.join(again, same).groupBy("id", "version").agg(F.min_by(F.struct(*rows.columns), F.struct(order)).alias("r")).select("r.*")
+        stay = stay.join(again, same, "left_anti").union(once)
     return stay.toDF(*docs.columns)
 
 

@@ -2,21 +2,26 @@
 
 A document's set is its distinct word shingles. Documents with equal sets (128-bit sums of shingle
 hashes) are one class, and only a class's first document goes on. Its signature has components
-of 16 bits in chunks of 6, and two classes are candidates if some chunk differs in one component
-at most: of every chunk the six ways to leave one component out are looked up (allowed chunk
+of 16 bits in chunks of 8, and two classes are candidates if some chunk differs in one component
+at most: of every chunk the eight ways to leave one component out are looked up (allowed chunk
 errors). By the pigeonhole principle that finds every pair of signatures that differ in fewer
 components than twice the chunks. There are so many chunks that a pair just at the least similarity
-is missed with a probability under 1e-6 (10 chunks for 0.85, 13 for 0.8), above it with less.
+is missed with a probability under 1e-6 (13 chunks for 0.85, 20 for 0.8), above it with less.
 
 Members of a look-up group are tied to its smallest one as rows are read in order, never paired.
-Groups that hang together so are compared within: their texts come together once, each document is
-checked against those that it isn't connected to yet, on its full shingle set, and the confirmed
-links give the components. A group of more than ``task_shingles`` shingles is dealt into blocks,
-and every pair of blocks is a task, so no task holds an unbounded group and no pair is left out.
+What hangs together so is a group whose texts come together once. A group of more than
+``task_shingles`` shingles is first taken apart by an exact rule: with shingles in one common order,
+those that many of its documents have last, two documents that are linked share one of their first
+n - least shared + 1 shingles. Documents of one template with parts of their own share none of
+those, so they fall apart without being compared. What is still larger is dealt into blocks, and
+every pair of blocks is a task, so no task holds an unbounded group and no pair is left out.
+
+Within a task the same rule, by rising frequency, says which documents are compared at all; those that
+are connected already are not. Links are confirmed on full shingle sets and give the components.
 
 Defined cases: null or empty texts and texts without words have the empty set and are linked with
-nothing; rows that share an id are one node; a null id gets component_id null and kept true; other
-columns are ignored unless named in ``carry``.
+nothing; rows that share an id are one node, whatever their texts, unless ``by_row``; a null id gets
+component_id null and kept true; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +38,13 @@ from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.llm.runtime import give_back, small_side, stored
 
-CHUNK, MISSED = 6, 1e-6
+CHUNK, MISSED = 8, 1e-6
 #: Shingles that a task compares at once.
 TASK_SHINGLES = 4_000_000
+#: A shingle counts as frequent in a group, and so comes last, if more than one document in so many has it.
+FREQUENT = 20
 
-_MOST = 128  # chunks; enough for a similarity of 0.5
+_MOST = 400  # chunks; enough for a similarity of 0.5
 _rng = np.random.RandomState(20240607)
 _FACTORS = (_rng.randint(0, 1 << 62, _MOST * CHUNK).astype(W.U64) << W.U64(1)) | W.U64(1)
 _SLOTS = W.mix(np.arange(1, _MOST * CHUNK + 1).astype(W.U64) * W.U64(0x9E3779B97F4A7C15)).reshape(_MOST, CHUNK)
@@ -116,7 +123,7 @@ def _sign(n: int, chunks: int):
                         s[rows[new]] = np.add.reduceat(W.mix(h), new)
                     sums.append(pa.array(s.view(np.int64)))
                 signed = pa.array([x.tobytes() for x in signatures(rows, h1, m, chunks)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("__id")[lo:hi], pa.array(size.astype(np.int64)), *sums, signed], names=["id", "n", "f1", "f2", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column("__id")[lo:hi], batch.column("__version")[lo:hi], pa.array(size.astype(np.int64)), *sums, signed], names=["id", "version", "n", "f1", "f2", "signature"])
         give_back()
 
     return run
@@ -128,7 +135,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 4096)
             signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, -1)
             keys = look_ups(signature)
-            ids = np.repeat(W.int_column(part, "rep"), keys.shape[1])
+            ids = np.repeat(W.int_column(part, "node"), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
     give_back()
 
@@ -153,6 +160,26 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
+def leading(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles, in a common order, two linked documents share one of at least: n - least shared + 1."""
+    return size - -(-percent * size // 100) + 1
+
+
+def _postings(row: np.ndarray, code: np.ndarray, m: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leading shingles of each document, rare ones first: numbers of lists by document and its first, and the documents of each list."""
+    frequency = np.bincount(code)
+    order = np.lexsort((code, frequency[code], row))
+    size = np.bincount(row, minlength=m)
+    first = np.cumsum(size) - size
+    lead = (np.arange(len(row)) - first[row]) < leading(size, percent)[row]
+    code, row = code[order][lead], row[lead]
+    by = np.argsort(code, kind="stable")
+    new = np.diff(code[by], prepend=-1) != 0
+    number = np.empty(len(code), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return number, np.searchsorted(row, np.arange(m + 1)), np.split(row[by], np.flatnonzero(new)[1:])
+
+
 def _links(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, side: np.ndarray, n: int, percent: int) -> list[tuple[int, int]]:
     """Confirmed links that connect the documents of one task; side: 0 both, else only pairs of 1 and 2 count."""
     row, h = shingles(data, offsets, n)
@@ -161,20 +188,25 @@ def _links(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, side: np.ndar
     values, code = np.unique(h, return_inverse=True)
     first = np.searchsorted(row, np.arange(m + 1))
     full = np.flatnonzero(size)
+    if len(full) < 2:
+        return []
+    number, own_lists, lists = _postings(row, code, m, percent)
     up = np.arange(m)
     left = len(full)
     mark = np.zeros(len(values), bool)
     out = []
-    order = full[np.argsort(-size[full], kind="stable")]
     done = np.zeros(m, bool)
-    for i in order:
+    for i in full[np.argsort(-size[full], kind="stable")]:
         if left <= 1:
             break
         done[i] = True
-        near = ~done & (up != up[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        met = [x for x in (lists[k] for k in number[own_lists[i] : own_lists[i + 1]]) if len(x) > 1]
+        if not met:
+            continue
+        near = np.unique(np.concatenate(met)) if len(met) > 1 else met[0]
+        near = near[~done[near] & (up[near] != up[i]) & (100 * size[near] >= percent * size[i])]
         if side[i]:
-            near &= side != side[i]
-        near = np.flatnonzero(near)
+            near = near[side[near] != side[i]]
         if not len(near):
             continue
         own = code[first[i] : first[i + 1]]
@@ -182,7 +214,7 @@ def _links(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, side: np.ndar
         if len(near) * 4 > m:
             shared = np.add.reduceat(np.append(mark[code], False).astype(np.int64), np.minimum(first[:-1], len(code)))[near]
         else:
-            shared = np.array([int(mark[code[first[j] : first[j + 1]]].sum()) for j in near])
+            shared = np.array([np.count_nonzero(mark[code[first[j] : first[j + 1]]]) for j in near])
         mark[own] = False
         for j in near[100 * shared >= percent * (size[i] + size[near] - shared)]:
             if up[i] != up[j]:
@@ -225,35 +257,90 @@ def _confirm(n: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def _sets(n: int):
+    """Per document its shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = W.column(batch, "__text")
+            for lo, hi in W.pieces(offsets):
+                rows, h = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+                at = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node")[lo:hi], batch.column("group")[lo:hi], pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["node", "group", "own"])
+        give_back()
+
+    return run
+
+
+def _stars_of(keys: DataFrame) -> DataFrame:
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "u long, v long")
+
+
+def _apart(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, group): large groups taken apart by the leading shingles of their documents. ``texts``: node, group, __text."""
+    own = stored(texts.mapInArrow(_sets(n), "node long, group long, own array<long>"), "sets")
+    each = own.select("node", "group", F.size("own").alias("n"), F.explode("own").alias("h"))
+    most = own.groupBy("group").agg((F.count("*") / FREQUENT).alias("most"))
+    frequent = each.groupBy("group", "h").agg(F.count("*").alias("c")).join(small_side(most), "group").where("c > most").select("group", "h", F.lit(1).alias("late"))
+    ordered = each.join(small_side(stored(frequent, "frequent")), ["group", "h"], "left").groupBy("node", "group", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h"))).alias("a"))
+    lead = F.col("n") - F.expr(f"({percent} * n + 99) DIV 100").cast("int") + 1
+    keys = ordered.select(F.col("node").alias("id"), "group", F.explode(F.slice("a", F.lit(1), lead)).alias("x"))
+    return components(_stars_of(keys.select(F.xxhash64("group", "x.h").alias("key"), "id"))).withColumnRenamed("component", "group")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, by_row: bool = False) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
-    Texts are linked if 100 * shared shingles >= ``percent`` * shingles of either.
+    Texts are linked if 100 * shared shingles >= ``percent`` * shingles of either. ``by_row``: rows of one
+    id are documents of their own, unless their texts are linked; ``version`` (a hash of the text) comes too,
+    and of each component the rows of the smallest id and version are kept.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    signed = stored(base.mapInArrow(_sign(n, chunks_for(percent)), "id long, n long, f1 long, f2 long, signature binary"), "signed")
-    one = signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "signature")).alias("s"))
-    classes = stored(one.select("f1", "f2", "n", F.col("s.id").alias("rep"), F.col("s.signature").alias("signature")), "classes")
-    keys = classes.select("rep", "signature").mapInArrow(_expand, "key long, id long")
-    stars = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "u long, v long")
-    groups = stored(components(stars).withColumnRenamed("component", "group"), "groups")
-    sized = groups.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
-    parts = sized.groupBy("group").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("parts"))
-    dealt = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = stored(dealt.select("node", "group", "parts", "part"), "dealt")
-    texts = base.join(small_side(dealt.withColumnRenamed("node", "__id")), "__id")
-    tasks = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("task"),
-        F.col("__id").alias("id"),
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__version"), F.col(text_col).cast("string").alias("__text"))
+    signed = stored(base.mapInArrow(_sign(n, chunks_for(percent)), "id long, version long, n long, f1 long, f2 long, signature binary"), "signed")
+    one = signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "version", "signature")).alias("s"))
+    # numbers of classes are unique, and fixed once the table is written
+    classes = stored(one.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", F.col("s.id").alias("rep"), F.col("s.version").alias("rep_version"), F.col("s.signature").alias("signature")), "classes")
+    groups = stored(components(_stars_of(classes.select("node", "signature").mapInArrow(_expand, "key long, id long"))).withColumnRenamed("component", "group"), "groups")
+
+    def dealt(groups: DataFrame) -> DataFrame:
+        sized = groups.join(classes.select("node", "n", "rep", "rep_version"), "node")
+        parts = sized.groupBy("group").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("parts"))
+        return stored(sized.join(small_side(parts), "group").select("node", "group", "parts", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("rep").alias("__id"), F.col("rep_version").alias("__version")), "dealt")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        """A text for each class: rows may repeat, so one of equal ones stays."""
+        return base.join(small_side(rows), ["__id", "__version"]).dropDuplicates(["node"])
+
+    deal = dealt(groups)
+    large = deal.where("parts > 1")
+    if not large.isEmpty():
+        smaller = _apart(with_texts(large), n, percent)
+        deal = deal.where("parts = 1").union(dealt(smaller).select(*deal.columns))
+    tasks = with_texts(deal).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        F.xxhash64("group", "parts", F.least("part", "other"), F.greatest("part", "other")).alias("task"),
+        F.col("node").alias("id"),
         "__text",
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).cast("long").alias("side"),
     )
-    confirmed = tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(_confirm(n, percent), "u long, v long")
-    linked = components(confirmed)
-    member = signed.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
-    out = member.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+    edges = tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(_confirm(n, percent), "u long, v long")
+
+    member = signed.select("id", "version", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "node", "rep", "rep_version"), ["f1", "f2", "n"], "left").drop("f1", "f2")
+    if not by_row:
+        # classes that share an id are tied, and rows without shingles go with their id's others
+        member = stored(member, "member")
+        again = member.where("id IS NOT NULL").groupBy("id").agg(F.min(F.when(F.col("node").isNotNull(), F.struct("node", "rep"))).alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least"))
+        again = stored(again.where("lo IS NOT NULL AND (lo.node <> hi OR least = 0)").select("id", F.col("lo.node").alias("first"), F.col("lo.rep").alias("first_rep")), "again")
+        edges = edges.union(member.join(small_side(again), "id").where("node IS NOT NULL AND node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+        member = member.join(small_side(again), "id", "left").withColumn("node", F.coalesce("node", "first")).withColumn("rep", F.coalesce("rep", "first_rep"))
+    linked = stored(components(edges), "linked")
+    best = linked.join(classes.select("node", "rep", "rep_version"), "node").groupBy("component").agg(F.min(F.struct("rep", "rep_version")).alias("best"))
+    out = member.join(linked.join(small_side(best), "component").select("node", "best"), "node", "left")
+    rep = F.coalesce("best.rep", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), rep).alias("component_id")
+    if not by_row:
+        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component, (F.col("id").isNull() | (rep == F.col("id"))).alias("kept"))
+    kept = F.col("id").isNull() | F.col("node").isNull() | ((rep == F.col("id")) & (F.coalesce("best.rep_version", "rep_version") == F.col("version")))
+    return out.select(F.col("id").alias(id_col), "version", F.col("n").alias("n_shingles"), component, kept.alias("kept"))
 
 
 #: near_duplicates(n=3, percent=85) over documents; copies are joined as one set.

@@ -68,28 +68,75 @@ def test_substrings(spark):
     assert got == sorted(expected, key=str)
 
 
-@pytest.mark.parametrize("n, percent, size", [(3, 85, 4_000_000), (5, 80, 100)])
-def test_near_duplicates(spark, n, percent, size):
-    got = {r[0]: tuple(r[1:]) for r in neardup.near_duplicates(_docs(spark), n, percent, task_shingles=size).collect()}
-    sets = {}
-    for i, t in _texts():
+def _components(rows, n, percent):
+    """Number of shingles of each row, and the smallest id that each id reaches over links and shared ids."""
+    sets = []
+    for _, t in rows:
         w = WORD.findall(_lower(t))
-        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
-    ids = sorted(i for i in sets if i is not None)
-    up = {i: i for i in ids}
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    up = {i: i for i, _ in rows if i is not None}
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    assert got.pop(None) == (len(sets[None]), None, True)
-    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+    for x, (a, _) in zip(sets, rows, strict=True):
+        for y, (b, _) in zip(sets, rows, strict=True):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                lo, hi = sorted((root(a), root(b)))
+                up[hi] = lo
+    return [len(x) for x in sets], {i: root(i) for i in up}
+
+
+def _same_groups(spark, rows, n, percent, size=4_000_000):
+    got = sorted(map(tuple, neardup.near_duplicates(_docs(spark, rows), n, percent, task_shingles=size).collect()), key=str)
+    sizes, of = _components(rows, n, percent)
+    assert got == sorted([(i, k, of.get(i), i is None or of[i] == i) for (i, _), k in zip(rows, sizes, strict=True)], key=str)
+
+
+@pytest.mark.parametrize("n, percent, size", [(3, 85, 4_000_000), (5, 80, 100)])
+def test_near_duplicates(spark, n, percent, size):
+    _same_groups(spark, _texts(), n, percent, size)
+
+
+def _edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randint(len(out))] = f"e{rng.randint(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("size", [4_000_000, 3000])
+def test_near_duplicates_with_repeated_ids(spark, size):
+    """Different texts under one id are one node; near copies, chains of them and documents of one template beside them."""
+    rng = np.random.RandomState(11)
+    base = [[f"b{k}w{j}" for j in range(80)] for k in range(4)]
+    rows = [(k, _edited(rng, base[k % 4], rng.randint(0, 4))) for k in range(60)]
+    step = base[0]
+    for k in range(12):
+        step = _edited(rng, step, 2).split(" ")
+        rows.append((100 + k, " ".join(step)))
+    rows += [(200 + k, " ".join([*base[1][:60], *(f"own{k}x{j}" for j in range(20))])) for k in range(40)]
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows += [(505, x), (505, y), (503, x), (509, y), (509, ""), (509, None), (507, z), (507, z), (505, x), (505, x), (506, "alone " + z[:40]), (506, "   ")]
+    _same_groups(spark, rows, 3, 85, size)
+
+
+def test_near_duplicates_by_row_lose_no_text(spark):
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(5, x), (5, y), (3, x), (9, y), (3, x), (None, y), (4, None)]
+    got = neardup.near_duplicates(_docs(spark, rows), by_row=True).where("kept").select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, 3), (3, 3), (5, 5), (None, None), (4, 4)], key=str)
+
+
+def test_many_documents_of_one_template_are_not_paired():
+    """Their leading shingles are their own: one task looks at thousands without comparing them."""
+    texts = [" ".join([*(f"t{j}" for j in range(40)), *(f"own{k}x{j}" for j in range(12))]) for k in range(6000)] + ["four words of one"] * 2
+    texts += [f"a{k} b c d e f" for k in range(6000)]
+    data, offsets = _bytes(texts)
+    found = neardup._links(np.arange(len(texts)), data, offsets, np.zeros(len(texts), np.int64), 3, 85)
+    assert [sorted(x) for x in found] == [[6000, 6001]]
 
 
 def test_chunks_for_a_miss_under_one_in_a_million():

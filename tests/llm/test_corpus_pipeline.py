@@ -56,3 +56,12 @@ def test_stages_keep_columns_and_bear_clashes(spark, made):
         assert out.where("kept <> 'x' OR c1 <> 6").count() == 0
         empty = stage(spark, docs.limit(0), at)
         assert empty.count() == 0, name
+
+
+def test_near_duplicates_keep_a_row_of_every_text(spark, made):
+    """Texts that share an id are not taken for one another; of equal rows one stays, the same in every run."""
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(5, x, "a"), (5, y, "b"), (3, x, "c"), (9, y, "d"), (3, x, "b"), (None, x, "e"), (7, "", "f"), (7, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = [tuple(r) for r in P.drop_near_duplicates(spark, docs, made[0]).collect()]
+    assert sorted(got, key=str) == sorted([(3, x, "b"), (5, y, "b"), (None, x, "e"), (7, "", "f"), (7, None, "g")], key=str)
