@@ -2,7 +2,7 @@
 
 Counting. Every task turns its documents into word and word-pair counts, sorted and cut into key
 ranges; one reducer adds up a range. So counts cover all training text, and what is gathered grows
-with it. Words keep exact counts under a 64-bit hash, pairs under 32 bits more than the range has.
+with it. Words keep exact counts under 48 bits more than the range has, pairs under 32 more.
 
 Filter. A pair with count c has level 1 + floor(log(c) / log(1.5)), and enters the filter once for
 each level up to its own. Repeated membership probes from level 1 on, until one fails, give the
@@ -12,7 +12,8 @@ bits for each of its entries, so every pair is kept and the filter grows with th
 documents asks the ranges for the levels of its pairs. Both ways give the same levels.
 
 Score. p(word | before) = weight * count(before, word) / count(before) + (1 - weight) * p(word),
-p(word) being the base model (c + 0.5) / (N + 0.5 (V + 1)). Word counts don't go through the
+p(word) being the base model (c + 0.5) / (N + 0.5 (V + 1)). The weight is the probability that a pair has been
+seen before, by Good and Turing's estimate from all training pairs: 1 - pairs seen once / pairs in all. Word counts don't go through the
 filter: each block of documents asks the word table, by ranges, for the words that it has.
 
 Words are lower-cased (A-Z), an end token closes each text and stands before its first word. Defined cases: null and
@@ -30,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.runtime import BLOCK_BYTES, block_of, stored, text_bytes
+from millrace.llm.runtime import BLOCK_BYTES, block_of, give_back, stored, text_bytes
 
-BASE, LEVELS, WEIGHT = 1.5, 64, 0.15
+BASE, LEVELS = 1.5, 64
 #: FILTER_BITS: the largest filter that is broadcast.
-FILTER_BITS, BITS_PER_ENTRY, PROBES = 28, 12, 6
+FILTER_BITS, BITS_PER_ENTRY, PROBES = 26, 12, 6
 #: Tokens whose counts a task holds before it hands them on.
 HELD = 4_000_000
 END = W.U64(0x51ED270B9A3F1C6D)
@@ -73,23 +74,53 @@ def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.arange(1 << bits).astype(W.U64) << W.U64(64 - bits)), len(keys))
 
 
-def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The 32 bits after the range's bits."""
-    return (keys >> W.U64(32 - bits)).astype(np.uint32)
+def _short(keys: np.ndarray, bits: int, kind: int = 1) -> np.ndarray:
+    """The bits after the range's: 32 of a pair's, 48 of a word's."""
+    return (keys >> W.U64(32 - bits)).astype(np.uint32) if kind == PAIRS else (keys << W.U64(bits)) >> W.U64(16)
+
+
+def _low_bytes(x: np.ndarray, width: int) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_low_bytes(raw: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
+    return out.reshape(-1).view("<u8")
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the gaps between them, in as many bytes as the largest takes."""
+    gaps = np.diff(keys.astype(W.U64), prepend=W.U64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return np.array([len(keys), width], "<i8").tobytes() + _low_bytes(gaps, width)
+
+
+def _unpack_keys(raw: bytes) -> tuple[np.ndarray, int]:
+    """The keys, and where they end."""
+    n, width = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+    return np.cumsum(_from_low_bytes(raw, n, width, 16), dtype=W.U64), 16 + n * width
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, large ones apart."""
+    large = counts[counts >= 255].astype("<i8")
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def _unpack_counts(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[at + n :], "<i8")
+    return counts
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Keys of 4 or 8 bytes and their counts, large ones apart."""
-    large = np.flatnonzero(counts >= 255)
-    return np.array([len(keys), keys.dtype.itemsize, len(large)], "<i8").tobytes() + keys.tobytes() + counts[large].astype("<i8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return _pack_keys(keys) + _pack_counts(counts)
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width, m = (int(x) for x in np.frombuffer(raw, "<i8", 3))
-    keys = np.frombuffer(raw, np.uint32 if width == 4 else W.U64, n, 24)
-    counts = np.frombuffer(raw, np.uint8, n, 24 + n * width + 8 * m).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(raw, "<i8", m, 24 + n * width)
-    return keys, counts
+    keys, at = _unpack_keys(raw)
+    return keys, _unpack_counts(raw, len(keys), at)
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -106,11 +137,7 @@ def _count(bits: int):
             rows = []
             for kind, held in ((WORDS, words), (PAIRS, pairs)):
                 keys, counts = _counted(held)
-                if kind == PAIRS:  # equal short keys of one range may meet; they are one pair then
-                    cuts = _ranges(keys, bits)
-                    keys = _short(keys, bits)
-                else:
-                    cuts = _ranges(keys, bits)
+                cuts, keys = _ranges(keys, bits), _short(keys, bits, kind)
                 for r in np.flatnonzero(np.diff(cuts)):
                     rows.append((kind, int(r), _pack(keys[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]])))
                 held.clear()
@@ -140,7 +167,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 #: The least count of each level: the smallest integer not under BASE ** (level - 1), each over the last.
 _LEAST_COUNT = np.ceil(BASE ** np.arange(LEVELS, dtype=np.float64) - 1e-9).astype(np.int64)
 
-MERGED = "__kind int, __range int, __payload binary, total long, n_distinct long, size long"
+MERGED = "__kind int, __range int, __payload binary, total long, n_distinct long, size long, once long"
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -156,11 +183,11 @@ def _merge(table: pa.Table) -> pa.Table:
     total, n = int(counts.sum()), len(keys)
     if kind == PAIRS:
         levels = level_of(counts)
-        payload = LogBloom.segment_of(keys, levels, segment_bits(int(levels.sum())))
+        payload = LogBloom.segment_of(keys.astype(np.uint32), levels, segment_bits(int(levels.sum())))
     else:
         payload = _pack(keys, counts)
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.Table.from_batches([_table([(kind, number, payload, total, n, len(payload))], [*_NAMES, "total", "n_distinct", "size"], types)])
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.Table.from_batches([_table([(kind, number, payload, total, n, len(payload), int((counts == 1).sum()))], [*_NAMES, "total", "n_distinct", "size", "once"], types)])
 
 
 def segment_bits(entries: int) -> int:
@@ -221,10 +248,10 @@ class LogBloom:
 
 
 class Model:
-    """Counts of a corpus: the word table (a DataFrame), totals and the filter, or its segments (a DataFrame) where it is too large to broadcast."""
+    """Counts of a corpus: the word table (a DataFrame), totals, the weight of pairs and the filter, or its segments (a DataFrame) where it is too large to broadcast."""
 
-    def __init__(self, words: DataFrame, bits: int, tokens: int, distinct: int, filter: LogBloom | None, segments: DataFrame | None = None):
-        self.words, self.bits, self.tokens, self.distinct, self.filter, self.segments = words, bits, tokens, distinct, filter, segments
+    def __init__(self, words: DataFrame, bits: int, tokens: int, distinct: int, weight: float, filter: LogBloom | None, segments: DataFrame | None = None):
+        self.words, self.bits, self.tokens, self.distinct, self.weight, self.filter, self.segments = words, bits, tokens, distinct, weight, filter, segments
 
 
 def learn(docs: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS) -> Model:
@@ -233,15 +260,16 @@ def learn(docs: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BIT
     bits = max(0, (text_bytes(base, "__text") >> 25).bit_length())
     merged = stored(base.mapInArrow(_count(bits), PAYLOAD).groupBy("__kind", "__range").applyInArrow(_merge, MERGED), "counts")
     word, pair = F.col("__kind") == WORDS, F.col("__kind") == PAIRS
-    row = merged.agg(*(F.sum(F.when(k, F.col(c))) for k, c in ((word, "total"), (word, "n_distinct"), (pair, "size")))).first()
-    tokens, distinct, size = (x or 0 for x in row)
+    row = merged.agg(*(F.sum(F.when(k, F.col(c))) for k, c in ((word, "total"), (word, "n_distinct"), (pair, "size"), (pair, "total"), (pair, "once")))).first()
+    tokens, distinct, size, pairs, once = (x or 0 for x in row)
+    weight = 1 - once / pairs if pairs else 0.0
     words, segments = (merged.where(k).select(*_NAMES) for k in (word, pair))
     if size * 8 > 1 << filter_bits:
-        return Model(words, bits, tokens, distinct, None, segments)
+        return Model(words, bits, tokens, distinct, weight, None, segments)
     parts = [np.zeros(8, np.uint8)] * (1 << bits)
     for r in segments.toLocalIterator():
         parts[r["__range"]] = np.frombuffer(r["__payload"], np.uint8)
-    return Model(words, bits, tokens, distinct, LogBloom(np.concatenate(parts), np.array([8 * len(p) for p in parts]), bits))
+    return Model(words, bits, tokens, distinct, weight, LogBloom(np.concatenate(parts), np.array([8 * len(p) for p in parts]), bits))
 
 
 REQUEST = "__block int, __kind int, __range int, __payload binary"
@@ -251,31 +279,36 @@ def _requests(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_table(rows, ["__block", *_NAMES], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])])
 
 
+def _block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a block, and token offsets of its texts."""
+    data, offsets = W.column(table, "__text")
+    tokens, sizes = [], [np.zeros(1, np.int64)]
+    for lo, hi in W.pieces(offsets):
+        t, at = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        tokens.append(t)
+        sizes.append(np.diff(at))
+    return np.concatenate(tokens), np.cumsum(np.concatenate(sizes))
+
+
 def _ask(bits: int, pairs: bool):
     """The distinct words of a block, and with ``pairs`` its distinct pairs, by ranges."""
 
     def run(table: pa.Table) -> pa.Table:
-        data, offsets = W.column(table, "__text")
-        held: tuple[list, list] = [], []
-        for lo, hi in W.pieces(offsets):
-            t, _ = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            held[WORDS].append(np.unique(t))
-            if pairs:
-                held[PAIRS].append(np.unique(_pairs(t)))
+        tokens, _ = _block_tokens(table)
         block = table.column("__block")[0].as_py()
         rows = []
         for kind in (WORDS, PAIRS) if pairs else (WORDS,):
-            keys = np.unique(np.concatenate(held[kind]))
-            cuts = _ranges(keys, bits)
-            keys = _short(keys, bits) if kind == PAIRS else keys
-            rows += [(block, kind, int(r), keys[cuts[r] : cuts[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(cuts))]
+            keys = np.unique(tokens if kind == WORDS else _pairs(tokens))
+            cuts, keys = _ranges(keys, bits), _short(keys, bits, kind)
+            rows += [(block, kind, int(r), _pack_keys(keys[cuts[r] : cuts[r + 1]])) for r in np.flatnonzero(np.diff(cuts))]
+        give_back()
         return _requests(rows)
 
     return run
 
 
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Of one range: the counts of asked words, for those that training has, or the levels of asked pairs, in their order."""
+    """Of one range: the counts of asked words (0 for those that training doesn't have) or the levels of asked pairs, in their order."""
     if not asked.num_rows or not known.num_rows:
         return _requests([])
     kind, number, raw = asked.column("__kind")[0].as_py(), asked.column("__range")[0].as_py(), known.column("__payload")[0].as_py()
@@ -285,74 +318,60 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     else:
         keys, counts = _unpack(raw)
     for block, own in zip(asked.column("__block").to_pylist(), asked.column("__payload"), strict=True):
+        own, _ = _unpack_keys(own.as_py())
         if kind == PAIRS:
-            short = np.frombuffer(own.as_buffer(), np.uint32)
-            levels = bloom.levels_in(short, np.zeros(len(short), np.int64), np.full(len(short), 8 * len(raw)))
+            levels = bloom.levels_in(own.astype(np.uint32), np.zeros(len(own), np.int64), np.full(len(own), 8 * len(raw)))
             rows.append((block, kind, number, levels.astype(np.uint8).tobytes()))
-            continue
-        own = np.frombuffer(own.as_buffer(), W.U64)
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        found = keys[at] == own
-        if found.any():
-            rows.append((block, kind, number, _pack(own[found], counts[at[found]])))
+        else:
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            rows.append((block, kind, number, _pack_counts(np.where(keys[at] == own, counts[at], 0))))
+    give_back()
     return _requests(rows)
 
 
-def _levels_of(bits: int, pairs: np.ndarray, replies: dict[int, bytes]):
-    """A function that gives the levels of pairs by what the ranges answered about ``pairs``, the block's distinct ones in order."""
-    cuts = _ranges(pairs, bits)
-    levels = np.zeros(len(pairs), np.uint8)
+def _filled(bits: int, keys: np.ndarray, replies: dict[int, bytes], kind: int) -> np.ndarray:
+    """What the ranges answered about the distinct ``keys`` of a block, in their order."""
+    cuts = _ranges(keys, bits)
+    out = np.zeros(len(keys), np.int64 if kind == WORDS else np.uint8)
     for r, raw in replies.items():
-        levels[cuts[r] : cuts[r + 1]] = np.frombuffer(raw, np.uint8)
-    return lambda own: levels[np.searchsorted(pairs, own)]
+        n = int(cuts[r + 1] - cuts[r])
+        out[cuts[r] : cuts[r + 1]] = _unpack_counts(raw, n) if kind == WORDS else np.frombuffer(raw, np.uint8)
+    return out
 
 
 def _score(bits: int, tokens: int, distinct: int, weight: float, sent, names: list[str]):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        parts, about = [], {}
+        about: tuple[dict, dict] = {}, {}
         for kind, r, p in zip(*(replies.column(c).to_pylist() for c in _NAMES), strict=True):
-            if kind == PAIRS:
-                about[r] = p
-            else:
-                parts.append(_unpack(p))
-        keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, W.U64)
-        counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(keys)
-        keys, counts = np.append(keys[order], END), np.append(counts[order], 0)
-        data, offsets = W.column(table, "__text")
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        rounded = np.concatenate([[0], _LEAST_COUNT]).astype(np.float64)
-        end_count = None
+            about[kind][r] = p
+        t, at = _block_tokens(table)
+        keys, own = np.unique(t, return_inverse=True)
+        c = _filled(bits, keys, about[WORDS], WORDS)[own]
+        base = (c + 0.5) / (tokens + 0.5 * (distinct + 1))
+        before = np.append(c[-1:], c[:-1]).astype(np.float64)  # each text ends with the end token, so the last count is its
+        pairs = _pairs(t)
+        del t, own
         if sent is not None:
-            levels_of = sent.value.levels
+            levels = sent.value.levels(pairs)
         else:
-            held = []
-            for lo, hi in W.pieces(offsets):
-                held.append(np.unique(_pairs(_tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])))
-            levels_of = _levels_of(bits, np.unique(np.concatenate(held)), about)
-        for lo, hi in W.pieces(offsets):
-            t, at = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            k = np.minimum(np.searchsorted(keys[:-1], t), len(keys) - 2) if len(keys) > 1 else np.full(len(t), len(keys) - 1)
-            c = np.where(keys[k] == t, counts[k], 0)
-            end_count = c[-1]  # each text ends with it
-            base = (c + 0.5) / (tokens + 0.5 * (distinct + 1))
-            before = np.append(end_count, c[:-1]).astype(np.float64)
-            seen = rounded[levels_of(_pairs(t))]
-            share = np.minimum(1.0, seen / np.maximum(before, 1))
-            p = np.where(before > 0, weight * share + (1 - weight) * base, base)
-            cols[0].append(np.diff(at))
-            cols[1].append(np.add.reduceat((c > 0).astype(np.int64), at[:-1]))
-            cols[2].append(np.add.reduceat(np.log10(base), at[:-1]))
-            cols[3].append(np.add.reduceat(np.log10(p), at[:-1]))
-        n = table.num_rows
-        made = [np.concatenate(x) for x in cols]
-        return pa.table([table.column("__id"), pa.array(made[0]), pa.array(made[1]), pa.array(np.full(n, tokens, np.int64)), pa.array(made[2]), pa.array(made[3])], names=names)
+            keys, own = np.unique(pairs, return_inverse=True)
+            levels = _filled(bits, keys, about[PAIRS], PAIRS)[own]
+            del own
+        del pairs, keys
+        seen = np.concatenate([[0], _LEAST_COUNT]).astype(np.float64)[levels]
+        share = np.minimum(1.0, seen / np.maximum(before, 1))
+        p = np.where(before > 0, weight * share + (1 - weight) * base, base)
+        made = [np.diff(at), *(np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), np.log10(base), np.log10(p)))]
+        del c, base, before, levels, seen, share, p
+        give_back()
+        return pa.table([table.column("__id"), pa.array(made[0]), pa.array(made[1]), pa.array(np.full(table.num_rows, tokens, np.int64)), pa.array(made[2]), pa.array(made[3])], names=names)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, weight: float = WEIGHT, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text)."""
+def score(docs: DataFrame, model: Model, weight: float | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text). ``weight``: the model's if not given."""
+    weight = model.weight if weight is None else weight
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     blocks = max(1, -(-text_bytes(base, "__text") // block_bytes))
     by_block = base.withColumn("__block", block_of(blocks, "__id", "__text")).groupBy("__block")

@@ -275,13 +275,15 @@ def test_lm_scores(spark):
         one.update(tokens[k])
         two.update(zip(["\n", *tokens[k]], tokens[k], strict=False))
     n, v = sum(one.values()), len(one)
+    weight = 1 - sum(x == 1 for x in two.values()) / two.total()
+    assert model.weight == pytest.approx(weight)
     expected = []
     for k, (i, _) in enumerate(_texts()):
         p = np.array([(one[w] + 0.5) / (n + 0.5 * (v + 1)) for w in tokens[k]])
         before = np.array([one[w] for w in ["\n", *tokens[k][:-1]]])
         c = np.array([two[x] for x in zip(["\n", *tokens[k]], tokens[k], strict=False)])
         low = np.array([max([m for m in lmscore._LEAST_COUNT if m <= x], default=0) for x in c.tolist()])
-        q = np.where(before > 0, 0.15 * np.minimum(1, low / np.maximum(before, 1)) + 0.85 * p, p)
+        q = np.where(before > 0, weight * np.minimum(1, low / np.maximum(before, 1)) + (1 - weight) * p, p)
         expected.append((i, len(tokens[k]), sum(w in one for w in tokens[k]), n, np.log10(p).sum(), np.log10(q).sum()))
     for a, b in zip(got, sorted(expected, key=lambda r: str(next(g for g in got if g[:4] == r[:4]))), strict=True):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[5] == pytest.approx(b[5], rel=0.02, abs=0.3)
