@@ -1,12 +1,17 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-A shard is two files. ``<name>.ids`` holds the ids of its documents one after another as raw
-little-endian unsigned integers, of 16 bits if the vocabulary has no larger id, else of 32. ``<name>.idx`` is an .npz of the document keys in order, the
-offset of each (in ids), and a minimal perfect hash over the distinct keys: levels of bit arrays
+A shard is three files. ``<name>.ids`` holds the ids of its documents one after another as raw
+little-endian unsigned integers, of 16 bits if the vocabulary has no larger id, else of 32.
+``<name>.idx`` is the index: a header of fixed size; a minimal perfect hash over the distinct keys, as levels of bits
 (a key stays at the first level at which it is alone in its bit; its number is the count of bits
-before it), with a stored 32-bit fingerprint and the key's first position at each number. A lookup
-hashes the key once a level, counts bits and compares the fingerprint; absent keys are found out
-but for one in 2**32. Shards hold ascending key ranges and are listed, with their totals, in a
+before it) in blocks of 64 bytes, each with the count before it and 448 bits; a record for each
+number, of a stored 32-bit fingerprint, the key's first document and how many it has; and the offset of each
+document (in ids). ``<name>.keys`` lists the keys in order, for readers that want every document.
+
+A lookup by key reads a block a level (1.6 on average), a record, two offsets and the ids:
+its time and memory don't depend on the size of the shard, and absent keys are found out but for
+one in 2**32. Readers of all documents look every key up in the same index, many at once, and read
+ids in long stretches. Shards hold ascending key ranges and are listed, with their totals, in a
 manifest table of one row a shard.
 
 Files go to the shared folder through pyarrow's file systems under names of their own, and only
@@ -18,11 +23,10 @@ arrival and share a number; a null key comes first and isn't indexed; other colu
 
 from __future__ import annotations
 
-import io
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,11 @@ from millrace.llm.units import Units, pretoken_units, ragged
 MANIFEST = "shard long, name string, first_key long, n_docs long, n_ids long"
 #: Bits for each key at a level of the hash.
 GAMMA = 2
+#: Bits of a block after its count, bytes of the header, and what it begins with.
+BLOCK_BITS, HEADER, MAGIC = 448, 640, 0x31305844494C494D
+RECORD = np.dtype([("print", "<u4"), ("count", "<u4"), ("first", "<u8")])
+#: Documents that are looked up together, and ids that are read together, where all are read.
+STRETCH, STRETCH_IDS = 8192, 2 << 20
 #: Units that go to the tokenizer as one string.
 JOINED = 256
 
@@ -119,47 +128,118 @@ def encoder_of(raw: bytes) -> Encoder:
     return _encoders[key]
 
 
-class PerfectHash:
-    """A minimal perfect hash over distinct 64-bit keys: number 0 to n - 1 for each, None for most others."""
+def hashed(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+    """The bit of each key at a level of ``size`` bits."""
+    return (W.mix(keys.astype(W.U64) + W.U64(((level + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))) % W.U64(size)).astype(np.int64)
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        self.sizes = [len(x) for x in levels]
-        self.ranks = []
-        before = 0
-        for bits in levels:
-            r = np.cumsum(bits) - bits + before
-            self.ranks.append(r)
-            before += int(bits.sum())
+
+def levels_of(keys: np.ndarray) -> list[np.ndarray]:
+    """The levels of a minimal perfect hash over distinct keys."""
+    levels: list[np.ndarray] = []
+    while len(keys):
+        size = GAMMA * len(keys) + 1
+        at = hashed(keys, len(levels), size)
+        alone = np.bincount(at, minlength=size) == 1
+        levels.append(alone)
+        keys = keys[~alone[at]]
+    return levels
+
+
+def fingerprint(keys: np.ndarray) -> np.ndarray:
+    return (W.mix(keys.astype(W.U64) ^ W.U64(0xA5A5F00DC0FFEE11)) >> W.U64(32)).astype(np.uint32)
+
+
+def blocks_of(levels: list[np.ndarray]) -> list[np.ndarray]:
+    """Each level as blocks of 64 bytes: the number of bits before the block, and its own bits."""
+    out, before = [], 0
+    for bits in levels:
+        n = -(-len(bits) // BLOCK_BITS)
+        full = np.zeros(n * BLOCK_BITS, bool)
+        full[: len(bits)] = bits
+        full = full.reshape(n, BLOCK_BITS)
+        counts = full.sum(1)
+        ranks = (np.cumsum(counts) - counts + before).astype("<u8")
+        out.append(np.concatenate([ranks.view(np.uint8).reshape(n, 8), np.packbits(full, axis=1, bitorder="little")], axis=1))
+        before += int(counts.sum())
+    return out
+
+
+class Index:
+    """A minimal perfect hash with records, read from ``read(n_bytes, at)``: little for each key that is looked up."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        head = np.frombuffer(read(HEADER, 0), "<i8")
+        if head[0] != MAGIC:
+            raise ValueError("no index of a shard")
+        self.width, self.n_docs, self.n_null, self.n_keys, n_levels = (int(x) for x in head[1:6])
+        self.sizes = [int(x) for x in head[6 : 6 + n_levels]]
+        self.starts, at = [], HEADER
+        for size in self.sizes:
+            self.starts.append(at)
+            at += 64 * -(-size // BLOCK_BITS)
+        self.records, self.offsets = at, at + RECORD.itemsize * self.n_keys
 
     @staticmethod
-    def at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (W.mix(keys.astype(W.U64) + W.U64(((level + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))) % W.U64(size)).astype(np.int64)
-
-    @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels = []
-        while len(keys):
-            size = GAMMA * len(keys) + 1
-            at = cls.at(keys, len(levels), size)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
-            keys = keys[~alone[at]]
-        return cls(levels)
+    def build(keys: np.ndarray, first: np.ndarray, count: np.ndarray, offsets: np.ndarray, n_null: int, width: int) -> bytes:
+        """``keys``: distinct ones, with the first document and number of documents of each."""
+        levels = levels_of(keys)
+        head = np.zeros(HEADER // 8, "<i8")
+        head[: 6 + len(levels)] = [MAGIC, width, len(offsets) - 1, n_null, len(keys), len(levels), *map(len, levels)]
+        blocks = b"".join(x.tobytes() for x in blocks_of(levels))
+        empty = Index(lambda n, at: (head.tobytes() + blocks)[at : at + n])
+        records = np.zeros(len(keys), RECORD)
+        records[empty.numbers(keys)] = np.rec.fromarrays([fingerprint(keys), count, first], dtype=RECORD)
+        return head.tobytes() + blocks + records.tobytes() + offsets.astype("<u8").tobytes()
+
+    def number(self, key: int) -> int:
+        """The number of one key; -1 where no level has it."""
+        keys = np.array([key], np.int64)
+        for level, size in enumerate(self.sizes):
+            block, bit = divmod(int(hashed(keys, level, size)[0]), BLOCK_BITS)
+            raw = self.read(64, self.starts[level] + 64 * block)
+            bits = int.from_bytes(raw[8:], "little")
+            if bits >> bit & 1:
+                return int.from_bytes(raw[:8], "little") + (bits & ((1 << bit) - 1)).bit_count()
+        return -1
+
+    def find(self, key: int) -> tuple[int, int]:
+        """First document and number of documents of one key; (-1, 0) if there is none."""
+        number = self.number(key)
+        if number < 0:
+            return -1, 0
+        record = np.frombuffer(self.read(RECORD.itemsize, self.records + RECORD.itemsize * number), RECORD)[0]
+        return (int(record["first"]), int(record["count"])) if record["print"] == fingerprint(np.array([key], np.int64))[0] else (-1, 0)
 
     def numbers(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key; -1 where no level has it."""
+        """The number of each key; -1 where no level has it. Reads whole levels."""
         out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, bits in enumerate(self.levels):
-            at = self.at(keys[todo], level, len(bits))
-            hit = bits[at]
-            out[todo[hit]] = self.ranks[level][at[hit]]
-            todo = todo[~hit]
+        for level, size in enumerate(self.sizes):
+            n = -(-size // BLOCK_BITS)
+            blocks = np.frombuffer(self.read(64 * n, self.starts[level]), np.uint8).reshape(n, 64)
+            ranks = np.ascontiguousarray(blocks[:, :8]).view("<u8").reshape(-1)
+            missed = []
+            for lo in range(0, len(todo), 4096):
+                own = todo[lo : lo + 4096]
+                block, bit = np.divmod(hashed(keys[own], level, size), BLOCK_BITS)
+                bits = np.unpackbits(blocks[block, 8:], axis=1, bitorder="little")
+                hit = bits[np.arange(len(own)), bit] > 0
+                out[own[hit]] = ranks[block[hit]].astype(np.int64) + (bits[hit] * (np.arange(BLOCK_BITS) < bit[hit, None])).sum(1)
+                missed.append(own[~hit])
+            todo = np.concatenate(missed) if missed else todo
         return out
 
+    def first_of(self, keys: np.ndarray) -> np.ndarray:
+        """The first document of each key, -1 if there is none."""
+        number = self.numbers(keys)
+        if not self.n_keys:
+            return number
+        records = np.frombuffer(self.read(RECORD.itemsize * self.n_keys, self.records), RECORD)[number]
+        return np.where((number >= 0) & (records["print"] == fingerprint(keys)), records["first"].astype(np.int64), -1)
 
-def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (W.mix(keys.astype(W.U64) ^ W.U64(0xA5A5F00DC0FFEE11)) >> W.U64(32)).astype(np.uint32)
+    def ends(self, lo: int, hi: int) -> np.ndarray:
+        """Offsets (in ids) of documents lo to hi, and the end."""
+        return np.frombuffer(self.read(8 * (hi - lo + 1), self.offsets + 8 * lo), "<u8").astype(np.int64)
 
 
 def _files(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -167,46 +247,63 @@ def _files(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Shard:
-    """Keyed access to one shard: the index is read whole, ids by position from the file."""
+    """Access to one shard by key, or to all of its documents (``whole``: the index is read at once)."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, whole: bool = False):
         fs, base = _files(folder)
-        with fs.open_input_stream(f"{base}/{name}.idx") as f:
-            x = np.load(io.BytesIO(f.read()))
-            self.keys, self.is_null, self.offsets, self.prints, self.position = (x[k] for k in ("keys", "is_null", "offsets", "prints", "position"))
-            self.kind = np.dtype(str(x["kind"]))
-            cuts = np.cumsum(x["sizes"])
-            levels = np.split(np.unpackbits(x["bits"], count=int(cuts[-1]) if len(cuts) else 0).astype(bool), cuts[:-1]) if len(cuts) else []
-        self.hash = PerfectHash(levels)
-        self.file = fs.open_input_file(f"{base}/{name}.ids")
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of the first document with each key, -1 if there is none."""
-        number = self.hash.numbers(keys)
-        if not len(self.prints):
-            return number
-        return np.where((number >= 0) & (self.prints[number] == fingerprint(keys)), self.position[number], -1)
-
-    def ids(self, position: int) -> np.ndarray:
-        a, b = int(self.offsets[position]), int(self.offsets[position + 1])
-        width = self.kind.itemsize
-        return np.frombuffer(self.file.read_at(width * (b - a), width * a), self.kind)
-
-    def get(self, key: int) -> np.ndarray | None:
-        at = int(self.find(np.array([key], np.int64))[0])
-        return None if at < 0 else self.ids(at)
+        self.at = f"{base}/{name}"
+        self.fs, self.file = fs, fs.open_input_file(f"{self.at}.ids")
+        index = fs.open_input_file(f"{self.at}.idx")
+        if whole:
+            raw = memoryview(index.read())
+            self.index = Index(lambda n, at: raw[at : at + n])
+        else:
+            self.index = Index(index.read_at)
+        self.kind = np.dtype(f"<u{self.index.width}")
+
+    def ids(self, lo: int, hi: int) -> np.ndarray:
+        """Ids number lo to hi of the shard."""
+        return np.frombuffer(self.file.read_at(self.kind.itemsize * (hi - lo), self.kind.itemsize * lo), self.kind)
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document with this key."""
+        first, count = self.index.find(key)
+        if first < 0:
+            return []
+        ends = self.index.ends(first, first + count)
+        return [self.ids(int(a), int(b)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stretches of documents: keys (which of them are null), offsets and their ids. Where a key's documents are, the index says."""
+        index, done, last, start = self.index, 0, None, 0
+        keys_file = self.fs.open_input_file(f"{self.at}.keys")
+        while done < index.n_docs:
+            n = min(STRETCH, index.n_docs - done)
+            keys = np.frombuffer(keys_file.read_at(8 * n, 8 * done), "<i8").astype(np.int64)
+            own = np.arange(done, done + n)
+            null = own < index.n_null
+            # equal keys stand together: the k-th of a run has the k-th document of its key
+            new = np.ones(n, bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])
+            new[0] = (int(keys[0]), bool(null[0])) != last
+            run = np.maximum.accumulate(np.where(new, own, start))
+            last, start = (int(keys[-1]), bool(null[-1])), int(run[-1])
+            at = np.where(null, own, index.first_of(keys) + own - run)
+            if (np.diff(at) != 1).any() or at[0] < 0:
+                raise ValueError(f"the index of {self.at} doesn't lead to its documents")
+            ends = index.ends(int(at[0]), int(at[-1]) + 1)
+            lo = 0
+            while lo < n:  # some documents at a time, one at least
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STRETCH_IDS, side="right")) - 1)
+                yield keys[lo:hi], null[lo:hi], ends[lo : hi + 1], self.ids(int(ends[lo]), int(ends[hi]))
+                lo = hi
+            done += n
 
 
 def _index(keys: np.ndarray, is_null: np.ndarray, offsets: np.ndarray, kind: str) -> bytes:
-    real = np.flatnonzero(~is_null)
-    distinct, first = np.unique(keys[real], return_index=True)
-    mph = PerfectHash.build(distinct)
-    number = mph.numbers(distinct)
-    prints, position = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64)
-    prints[number], position[number] = fingerprint(distinct), real[first]
-    bits = np.packbits(np.concatenate(mph.levels)) if mph.levels else np.zeros(0, np.uint8)
-    np.savez(out := io.BytesIO(), keys=keys, is_null=is_null, offsets=offsets, prints=prints, position=position, sizes=np.array(mph.sizes, np.int64), bits=bits, kind=np.array(kind))
-    return out.getvalue()
+    n_null = int(is_null.sum())
+    distinct, first, count = np.unique(keys[n_null:], return_index=True, return_counts=True)
+    return Index.build(distinct, first + n_null, count, offsets, n_null, int(kind[-1]))
 
 
 def write_shards(docs: DataFrame, tokenizer: bytes, folder: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -238,6 +335,8 @@ def write_shards(docs: DataFrame, tokenizer: bytes, folder: str, end_id: int | N
         key, null, size = np.concatenate(keys), np.concatenate(nulls), np.concatenate(sizes)
         with fs.open_output_stream(f"{base_path}/{name}.idx") as f:
             f.write(_index(key, null, np.concatenate([[0], np.cumsum(size)]), encoder.kind))
+        with fs.open_output_stream(f"{base_path}/{name}.keys") as f:
+            f.write(key.astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([None if null[0] else int(key[0])], pa.int64()), pa.array([len(key)], pa.int64()), pa.array([int(size.sum())], pa.int64())], names=["shard", "name", "first_key", "n_docs", "n_ids"])
 
     ordered = base.repartitionByRange(parts, "__id").sortWithinPartitions("__id")
@@ -252,14 +351,11 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, before in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                shard = Shard(folder, name)
-                n = len(shard.keys)
-                found = shard.find(shard.keys[~shard.is_null])
-                if (found < 0).any() or (shard.keys[found] != shard.keys[~shard.is_null]).any():
-                    raise ValueError(f"the index of shard {name} doesn't lead to its keys")
-                crc = np.array([zlib.crc32(shard.ids(k).astype("<u4").tobytes()) for k in range(n)], np.int64)
-                key = pa.array(shard.keys, pa.int64(), mask=shard.is_null)
-                yield pa.RecordBatch.from_arrays([key, pa.array(shard.offsets[:n] + before), pa.array(np.diff(shard.offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for keys, null, ends, ids in Shard(folder, name, whole=True).documents():
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    cuts = (4 * (ends - ends[0])).tolist()
+                    crc = np.array([zlib.crc32(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null), pa.array(ends[:-1] + before), pa.array(np.diff(ends)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.repartition(max(1, manifest.count()), "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -194,9 +194,10 @@ def test_token_store(spark):
     assert got == expected
     shards = [tokenstore.Shard(folder, r["name"]) for r in manifest.collect()]
     for key, text in ((3, _texts()[2][1]), (7, "one")):
-        found = [x for s in shards if (x := s.get(key)) is not None]
-        assert [f.tolist() for f in found] == [[*tk.encode(text, add_special_tokens=False).ids, 0]]
-    assert all(s.get(99_999) is None for s in shards)
+        assert [f.tolist() for s in shards for f in s.get(key)] == [[*tk.encode(text, add_special_tokens=False).ids, 0]]
+    twice = [f.tolist() for s in shards for f in s.get(12)]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert all(s.get(99_999) == [] for s in shards)
 
 
 @settings(max_examples=150, deadline=None)
@@ -214,10 +215,39 @@ def test_token_units_like_the_library(texts):
 
 
 def test_perfect_hash():
-    keys = np.unique(np.random.RandomState(1).randint(-(1 << 60), 1 << 60, 20_000))
-    h = tokenstore.PerfectHash.build(keys)
-    assert sorted(h.numbers(keys).tolist()) == list(range(len(keys)))
-    assert not len(tokenstore.PerfectHash.build(keys[:0]).numbers(keys[:0]))
+    """Each key leads to its documents, one by one and many at once; absent ones to none; a lookup reads little."""
+    rng = np.random.RandomState(1)
+    keys = np.unique(rng.randint(-(1 << 60), 1 << 60, 20_000))
+    count = rng.randint(1, 4, len(keys))
+    first = np.cumsum(count) - count + 3
+    offsets = np.arange(int(count.sum()) + 4) * 5
+    raw = tokenstore.Index.build(keys, first, count, offsets, 3, 4)
+    read = []
+    index = tokenstore.Index(lambda n, at: read.append(n) or raw[at : at + n])
+    assert sorted(index.numbers(keys).tolist()) == list(range(len(keys)))
+    assert (index.first_of(keys) == first).all()
+    read.clear()
+    assert [index.find(int(k)) for k in keys[:300]] == list(zip(first[:300].tolist(), count[:300].tolist(), strict=True))
+    assert sum(read) < 300 * 200 and index.ends(3, 5).tolist() == [15, 20, 25]
+    absent = rng.randint(1 << 61, 1 << 62, 3000)
+    assert (index.first_of(absent) == -1).all() and {index.find(int(k)) for k in absent[:300]} == {(-1, 0)}
+    none = tokenstore.Index.build(keys[:0], keys[:0], keys[:0], np.zeros(1, np.int64), 0, 2)
+    assert tokenstore.Index(lambda n, at: none[at : at + n]).find(5) == (-1, 0)
+
+
+def test_token_store_reads_stretches(spark, monkeypatch):
+    """Runs of equal keys and null ones over the ends of stretches."""
+    monkeypatch.setattr(tokenstore, "STRETCH", 4)
+    monkeypatch.setattr(tokenstore, "STRETCH_IDS", 3)
+    rows = [(None, "a b")] * 6 + [(0, f"zero {k}") for k in range(7)] + [(k // 3, f"t {k}") for k in range(5, 20)] + [(-5, None)]
+    folder = tokenstore.store_folder(_docs(spark, rows))
+    manifest = tokenstore.write_shards(_docs(spark, rows), tokenizer_file("byte_bpe_50k.json"), folder)
+    got = []
+    for r in manifest.collect():
+        for keys, null, ends, ids in tokenstore.Shard(folder, r["name"], whole=True).documents():
+            assert ids[ends[1:] - ends[0] - 1].tolist() == [0] * len(keys)
+            got += [None if n else int(k) for k, n in zip(keys, null, strict=True)]
+    assert got == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
 
 
 def test_token_counts(spark):
