@@ -21,18 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.runtime import BLOCK_BYTES, text_bytes
 
 LEAST, NORMAL, MOST = 8, 32, 128
 GEAR = (W.mix(np.arange(1, 257).astype(W.U64) * W.U64(0x9E3779B97F4A7C15)) >> W.U64(32)).astype(np.uint32)
-#: Parts of the id range that the driver counts rows of, for each part that is made.
-BINS = 64
-#: Parts at most; they only get longer beyond.
-PARTS = 4096
+#: Bytes of text in a part of the order, and parts at most; they only get longer beyond.
+PART_BYTES, PARTS = 4 << 20, 1 << 14
+#: Rows for each part whose places in the order the driver looks at to cut it, about.
+LOOKED_AT = 24
 
 
 def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,40 +175,44 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def part_of(key: str, tie: str, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the ascending cuts are at (key, tie) or before, by halving."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    keys, ties = (F.array(*(F.lit(c[k]).cast("bigint") for c in cuts)) for k in range(2))
+
+    def step(p: Column, s: Column) -> Column:
+        at = p + s - 1
+        k = F.get(keys, at)
+        return F.when((k < F.col(key)) | ((k == F.col(key)) & (F.get(ties, at) <= F.col(tie))), p + s).otherwise(p)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (see the module).
 
-    Documents are dealt into ranges of ids. Where they begin is found by counting ids in equal parts
-    of their span (a scan of ids only); the first document of a range is also sent to the range
-    before it, so each range finds the text after its last one. Ranges are read as streams.
+    Documents are dealt into parts of their order, cut at the places of some rows that are spread by
+    rank, so that neither far ids nor many rows of one id or of none make a long part (rows alike in
+    id and text stay together). A part begins with the row that it is cut at, and that row is also sent to
+    the part before, so each part finds the text after its last one. Parts are read as streams.
     """
     spark = docs.sparkSession
-    least = F.lit(-(1 << 63))
-    key = F.coalesce(F.col(id_col).cast("long"), least)
-    base = docs.select(F.col(id_col).cast("long").alias("__id"), key.alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    parts = max(1, min(PARTS, -(-text_bytes(base, "__text") // block_bytes)))
-    low, high = base.where("__id IS NOT NULL").agg(F.min("__key"), F.max("__key")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    span = (F.col("__key").cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) + 1.0)
-    binned = base.withColumn("__bin", F.when(F.col("__id").isNull(), -1).otherwise(F.least(F.floor(span * (BINS * parts)), F.lit(BINS * parts - 1))).cast("long"))
-    bins = sorted(tuple(r) for r in binned.groupBy("__bin").agg(F.count("*"), F.min("__key")).collect())
-    total, seen, last = sum(n for _, n, _ in bins), 0, None
-    dealt: list[tuple[int, int]] = []  # bin and its part
-    heads: list[int] = []  # the first key of each part
-    for b, n, first in bins:
-        if (now := seen * parts // total) != last:
-            heads.append(first)
-            last = now
-        dealt.append((b, len(heads) - 1))
-        seen += n
-    if not dealt:
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), key.alias("__key"), F.col(text_col).cast("string").alias("__text")).withColumn("__tie", F.xxhash64("__text"))
+    size, rows, least = base.agg(F.sum(F.octet_length("__text")), F.count("*"), F.min(F.struct("__key", "__tie"))).first()
+    if not rows:
         return spark.createDataFrame([], f"`{id_col}` long, {OUT}")
-    n_parts = len(heads)
-    table = F.broadcast(spark.createDataFrame(dealt, "__bin long, __own int"))
-    starts = F.broadcast(spark.createDataFrame([(f, (p - 1) % n_parts) for p, f in enumerate(heads)], "__key long, __before int"))
-    rows = binned.join(table, "__bin").join(starts, "__key", "left")
-    own = F.array(F.struct(F.col("__own").alias("__part"), F.lit(0).alias("__kind")))
-    also = F.array(F.struct(F.col("__own").alias("__part"), F.lit(0).alias("__kind")), F.struct(F.col("__before").alias("__part"), F.lit(1).alias("__kind")))
-    sent = rows.select("__id", "__key", "__text", F.inline(F.when(F.col("__before").isNull(), own).otherwise(also)))
-    ordered = sent.repartition(n_parts, "__part").sortWithinPartitions("__part", "__kind", "__key", F.xxhash64("__text")).drop("__key")
+    parts = max(1, min(PARTS, rows, -(-(size or 0) // part_bytes)))
+    seen = sorted(tuple(r) for r in base.select("__key", "__tie").sample(min(1.0, LOOKED_AT * parts / rows), seed=7).collect()) if parts > 1 else []
+    first = tuple(least)
+    cuts = sorted({seen[len(seen) * k // parts] for k in range(1, parts)} - {first}) if seen else []
+    n_parts = len(cuts) + 1
+    dealt = base.withColumn("__own", part_of("__key", "__tie", cuts))
+    heads = F.broadcast(spark.createDataFrame([(*c, (p - 1) % n_parts) for p, c in enumerate([first, *cuts])], "__key long, __tie long, __before int"))
+    own = F.struct(F.col("__own").alias("__part"), F.lit(0).alias("__kind"))
+    also = F.struct(F.col("__before").alias("__part"), F.lit(1).alias("__kind"))
+    sent = dealt.join(heads, ["__key", "__tie"], "left").select("__id", "__key", "__tie", "__text", F.inline(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, also))))
+    ordered = sent.repartitionById(n_parts, F.col("__part")).sortWithinPartitions("__part", "__kind", "__key", "__tie").select("__part", "__kind", "__id", "__text")
     return ordered.mapInArrow(_in_order, f"id long, {OUT}").withColumnRenamed("id", id_col)
