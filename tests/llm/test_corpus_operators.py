@@ -268,22 +268,73 @@ def test_token_counts(spark):
     assert got == sorted([(i, len((t or "").encode()), plain(t or "")) for i, t in _texts()], key=str)
 
 
-def test_fingerprints(spark):
-    got = {}
-    for r in chunking.compare_with_next(_docs(spark), block_bytes=20_000).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    assert sum(map(len, got.values())) == len(_texts())
-    rows = sorted(_texts(), key=lambda r: (r[0] is not None, r[0] or 0))
-    by_text = {}
-    for k, (i, t) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1] or ""
-        e = chunking.edited(t or "", following)
-        r = next(x for x in got[i] if x["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest())
-        assert r["n_chars"] == len(t or "")
-        assert by_text.setdefault(t or "", r["fingerprint"]) == r["fingerprint"]
-        assert r["near_edited"] == pytest.approx(chunking.containment(chunking.read_hex(r["fingerprint"]), chunking.read_hex(r["edited_fingerprint"])))
-        assert 0 <= r["near_next"] <= 1
-    assert by_text[""] == ""
+def _plain_chunks(text):
+    """Chunks by a hash of the last eight bytes at each place, straight from the definition."""
+    raw, out, last = text.encode(), [], 0
+    for k in range(len(raw)):
+        h = sum(int(chunking.GEAR[raw[k - j]]) << j for j in range(min(8, k + 1))) % (1 << 32)
+        n = k + 1 - last
+        if (n >= 8 and h < 1 << 26) or (n >= 32 and h < 1 << 28) or n == 128 or k + 1 == len(raw):
+            out.append(raw[last : k + 1])
+            last = k + 1
+    return Counter(out)
+
+
+def _plain_containment(a, b):
+    total = sum(len(c) * n for c, n in a.items())
+    if a == b:
+        return 1.0
+    return sum(len(c) * min(n, b[c]) for c, n in a.items()) / total if total else 0.0
+
+
+def _plain_compare(rows):
+    """The rows of compare_with_next as (id, n_chars, edited_sha256, near_edited, near_next), without its code."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    out = []
+    for k, (i, t, _) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        n = len(t) // 4
+        e = t[: len(t) - n] + following[:n]
+        a = _plain_chunks(t)
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(_plain_containment(a, _plain_chunks(e)), 9), round(_plain_containment(a, _plain_chunks(following)), 9)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("size", [4 << 20, 2000])
+def test_fingerprints(spark, size):
+    rng = np.random.RandomState(8)
+    rows = [(i, (t or "")[:20_000]) for i, t in _texts()] + [(int(i), " ".join(rng.choice(["aé", "b", "cc", "日本", "x y"], 60))) for i in [2**62, -7, 40, 41, 41, 41, 42]]
+    rows += [(None, f"none {k} {'z' * k}") for k in range(5)]
+    docs = _docs(spark, rows)
+    tie = {r["text"]: r["h"] for r in docs.select("text", F.expr("xxhash64(text) h")).collect()}
+    got = chunking.compare_with_next(docs, part_bytes=size).collect()
+    assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == _plain_compare([(i, t, tie[t]) for i, t in rows])
+    of = {}
+    for r in got:
+        f = chunking.read_hex(r["fingerprint"])
+        assert sorted((f & np.uint64(255)).tolist()) == sorted(len(c) for c in _plain_chunks(next(t for i, t in rows if i == r["doc_id"])).elements()) or [x[0] for x in rows].count(r["doc_id"]) > 1
+        of.setdefault(r["fingerprint"], set()).add(r["n_chars"])
+    assert all(len(n) == 1 for n in of.values()) and 0 in of[""]
+
+
+def test_parts_are_even_whatever_the_ids(spark):
+    """A far id, and a third of all rows under one id or none, leave no part long."""
+    ids = [*range(600), 2**62, *[-3] * 300, *[None] * 300]
+    docs = _docs(spark, [(i, f"text {k} " * 20) for k, i in enumerate(ids)])
+    out = chunking.compare_with_next(docs, part_bytes=10_000)
+    sizes = [r["count"] for r in out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) < len(ids) / 5
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abc é日\n"), max_size=600), min_size=1, max_size=3))
+def test_chunks_like_the_definition(texts):
+    data, offsets = _bytes(texts)
+    ends, counts = chunking.boundaries(data, offsets)
+    raw, cuts = data.tobytes(), np.concatenate([[0], np.cumsum(counts)])
+    for k, t in enumerate(texts):
+        e = [int(offsets[k]), *ends[cuts[k] : cuts[k + 1]].tolist()]
+        assert Counter(raw[a:b] for a, b in zip(e, e[1:], strict=False)) == _plain_chunks(t)
 
 
 def test_chunks_resist_shifts():
@@ -437,10 +488,37 @@ def test_toxicity(spark):
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in held]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == docs.count()
     assert next(r for r in got if r["doc_id"] == 500)["score"] > 0.5
+    # one row of a repeated id, and no more bytes of text than allowed, reach the driver
+    many = docs.union(docs.where("doc_id = 4")).union(docs.where("doc_id = 4").withColumn("text", F.expr("repeat(text, 2000)")))
+    assert len(toxicity.sample_of(many, table, None, 4000, 1 << 20)) == len(toxicity.sample_of(docs, table, None, 4000, 1 << 20)) == 400
+    few = toxicity.sample_of(many, table, None, 4000, 10_000)
+    assert 0 < sum(len(r[0].encode()) for r in few) <= 10_000 and {r[2] for r in few} == {0, 1}
     none = toxicity.learned(docs, table.limit(0))
     assert {r["score"] < 0.01 for r in toxicity.with_scores(docs, none).collect()} == {True}
 
 
+def test_toxicity_gradient(spark):
+    """The largest activations and their places are those of a plain loop."""
+    rng = np.random.RandomState(3)
+    sizes = [0, 1, 2, 5, 1]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    x = rng.normal(size=(int(first[-1]), toxicity.WIDTH)).astype(np.float32)
+    filters = [rng.normal(size=(w, toxicity.WIDTH, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    top, where = toxicity._maxima(x, first, filters, bias, places=True)
+    assert (top == toxicity._maxima(x, first, filters, bias)).all()
+    for t, n in enumerate(sizes):
+        own = x[first[t] : first[t + 1]]
+        for k, w in enumerate(toxicity.WIDTHS):
+            places = range(max(1, n - w + 1)) if n else ()
+            for f in range(toxicity.FILTERS):
+                at = [float(bias[k][f] + sum(own[p + j] @ filters[k][j, :, f] for j in range(w) if p + j < n)) for p in places]
+                best = max([0.0, *at])
+                assert top[t, k * toxicity.FILTERS + f] == pytest.approx(best, abs=1e-4)
+                if n >= w and best > 1e-3:
+                    assert where[t, k * toxicity.FILTERS + f] == first[t] + int(np.argmax(at))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div id="top"><ul class=menu><li><a href=/a>Home</a><li><a href=/b>About</a></ul></div>
 <div class="cookie-notice">We use cookies. Accept all of them.</div><!-- no --><div class="post"><h1>Title &amp; more</h1><p>First long paragraph with many words in it, and a <a href=x>link</a>,
 going on. It ends<br>here.<p>Short.<div class="ad">Buy now! Great stuff that you need.</div><p>Second long paragraph with more words in it than you would think. Yes.</div>
