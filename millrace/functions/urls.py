@@ -26,6 +26,8 @@ ENDINGS = (
     ".ogv", ".otf", ".pdf", ".pkg", ".png", ".pps", ".ppt", ".pptx", ".psd", ".py", ".qt", ".ram", ".rar", ".sql", ".svg", ".swf", ".tar.gz", ".tar",
     ".tgz", ".tiff", ".ttf", ".txt", ".wav", ".webm", ".wma", ".wmv", ".xls", ".xlsx", ".xml", ".xz", ".zip",
 )
+#: Second-level labels that, under a country's two letters, are part of the public suffix (amazon.co.uk).
+SECOND_LEVEL = ("ac", "asn", "co", "com", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "gub", "gv", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "res", "sch", "web")
 #: Addresses of at most so many characters are no addresses.
 SHORT = 8
 #: An address with a host name or four numbers, a port, and a path or query without white space.
@@ -37,9 +39,11 @@ def host(url: Column) -> Column:
 
 
 def site_label(url: Column) -> Column:
-    """The label before the last one of the host; the host where it has one label."""
-    parts = F.split(host(url), r"\.")
-    return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.element_at(parts, 1))
+    """The registered label of the host: the one before its public suffix; the host itself where it is an address of numbers or has one label."""
+    parts = F.split(F.rtrim(host(url), F.lit(".")), r"\.")
+    n = F.size(parts)
+    country = (n > 2) & (F.length(F.element_at(parts, -1)) == 2) & F.get(parts, n - 2).isin(*SECOND_LEVEL)
+    return F.when(host(url).rlike(r"^[0-9.]+$") | (n < 2), host(url)).when(country, F.get(parts, n - 3)).otherwise(F.get(parts, n - 2))
 
 
 def blocked_site(url: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import text as T
+from millrace.operators.graph import small_side, step_table
 
 PRIME = 2147483647
 
@@ -80,3 +81,31 @@ def word_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """key, position (from 0) and ngram of each text's lower-case words."""
     w = df.select(F.col(key).alias("key"), T.words(F.lower(F.col(text))).alias("w"))
     return w.select("key", F.posexplode(T.ngrams(F.col("w"), n)).alias("pos", "ngram"))
+
+
+def hashed_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, position (from 0) and two hashes (128 bits) of each n words in a row; no string of them is made."""
+    w = df.select(F.col(key).alias("key"), T.words(F.lower(F.col(text))).alias("w")).where(F.size("w") >= n)
+    own = F.transform(F.slice("w", F.lit(1), F.size("w") - (n - 1)), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x, *(F.get("w", i + k) for k in range(1, n))).alias("h1"), F.xxhash64(F.lit(n), x, *(F.get("w", i + k) for k in range(1, n))).alias("h2")))
+    return w.select("key", F.inline(own))
+
+
+def hashed(grams: DataFrame, n: int, ngram: str = "ngram") -> DataFrame:
+    """The same hashes of n-grams that are there as strings."""
+    w = F.split(ngram, " ")
+    return grams.withColumn("h1", F.xxhash64(*(F.get(w, F.lit(k)) for k in range(n)))).withColumn("h2", F.xxhash64(F.lit(n), *(F.get(w, F.lit(k)) for k in range(n))))
+
+
+def frequent_ngrams(df: DataFrame, key: str, text: str, n: int, over: int) -> DataFrame:
+    """n-grams of more than ``over`` texts and the number of these (n_docs).
+
+    Hashes are counted, once for each text, added up in part before they are sent; the words themselves are
+    read only where a frequent one stands first.
+    """
+    w = df.select(F.col(key).alias("key"), T.words(F.lower(F.col(text))).alias("w")).where(F.size("w") >= n)
+    both = F.array_distinct(F.transform(F.slice("w", F.lit(1), F.size("w") - (n - 1)), lambda x, i: F.struct(F.xxhash64(x, *(F.get("w", i + k) for k in range(1, n))).alias("h1"), F.xxhash64(F.lit(n), x, *(F.get("w", i + k) for k in range(1, n))).alias("h2"))))
+    counted = w.select("key", F.inline(both)).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("key").alias("key")).where(F.col("n_docs") > over)
+    found = step_table(counted)
+    held = df.join(small_side(found.select(F.col("key").alias(key)).distinct()), key, "left_semi")
+    words = hashed(word_ngrams(held, key, text, n).select("key", "ngram").distinct(), n)
+    return words.join(small_side(found), ["key", "h1", "h2"]).select("ngram", "n_docs").distinct()

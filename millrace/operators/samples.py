@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.operators.ranking import ranked
+
 _CUT = re.compile(r"(?<=[.!?])\s+")
 MASK, SENTINEL = "[MASK]", "<extra_{}>"
 
@@ -130,25 +132,28 @@ def ict_samples(df: DataFrame, key: str, text: str, length: int = 128, keep: flo
     return _each(df, key, text, "sample int, query string, block string, kept int", make)
 
 
-def pack_in_order(df: DataFrame, key: str, size: str, length: int, group: int = 4096) -> DataFrame:
-    """Records laid into samples of ``length`` in key order: sample, key, start and end; a record that doesn't fit starts a new one.
+def pack_in_order(df: DataFrame, key: str, size: str, length: int, group: int = 65536) -> DataFrame:
+    """Records laid into samples of ``length`` in key order: sample, key, start, end and n_cut; a record that doesn't fit starts a new one.
 
-    Ranges of ``group`` keys are packed on their own, so a sample never spans two of them. Longer
-    records are left out.
+    A longer record fills a sample of its own and loses its end, n_cut long. Ranges of ``group`` records of the order
+    are packed on their own, so that one task never holds more; a sample doesn't span two of them.
+    Records without a size, or of size 0, take no place.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(size).cast("bigint").alias("n")).where(F.col("n").between(1, length)).withColumn("g", F.floor(F.col("k") / group))
+    n = F.col(size).cast("bigint")
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.least(n, F.lit(length)).alias("n"), F.greatest(n - length, F.lit(0)).alias("cut")).where("n > 0")
+    rows = ranked(rows, [], ["k", "n", "cut"], "nth").withColumn("g", F.expr(f"(nth - 1) DIV {group}"))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("k")
+        t = t.sort_by("nth")
         sample, used, out = 0, 0, []
         for k, n in zip(t.column("k").to_pylist(), t.column("n").to_pylist(), strict=True):
             if used + n > length:
                 sample, used = sample + 1, 0
             out.append((t.column("g")[0].as_py(), sample, k, used, used + n))
             used += n
-        return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=["group", "sample", "k", "start", "end"])
+        return pa.table([*(pa.array([r[c] for r in out], pa.int64()) for c in range(5)), t.column("cut")], names=["group", "sample", "k", "start", "end", "n_cut"])
 
-    packed = rows.groupBy("g").applyInArrow(run, "group long, sample long, k long, start long, end long")
+    packed = rows.groupBy("g").applyInArrow(run, "group long, sample long, k long, start long, end long, n_cut long")
     return packed.withColumnRenamed("k", key)
 
 

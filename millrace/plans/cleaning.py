@@ -13,38 +13,51 @@ from millrace.plans.base import Tables, query
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1))"
 _SITES = ", ".join(f"'{x}'" for x in U.SITES)
 _ENDINGS = "|".join(x.replace(".", "\\.") for x in U.ENDINGS)
-_LABEL = f"(CASE WHEN len(string_split({_HOST}, '.')) > 1 THEN string_split({_HOST}, '.')[-2] ELSE {_HOST} END)"
+_COUNTRY = "([^.]+)[.](" + "|".join(U.SECOND_LEVEL) + ")[.][a-z][a-z]$"
+_LABEL = f"(CASE WHEN regexp_matches({_HOST}, '^[0-9.]+$') OR NOT contains({_HOST}, '.') THEN {_HOST} WHEN regexp_matches({_HOST}, '{_COUNTRY}') THEN regexp_extract({_HOST}, '{_COUNTRY}', 1) ELSE regexp_extract({_HOST}, '([^.]+)[.][^.]*$', 1) END)"
 _DOMAIN = f"({_LABEL} IN ({_SITES}))"
 _EXT = f"regexp_matches(lower(string_split(url, '?')[1]), '({_ENDINGS})$')"
 _BAD = f"(NOT regexp_matches(url, '{U.WELL_FORMED}'))"
+
+
+#: Addresses of pages, and for each a second one that may break a rule: another site, ending or form, or cut short.
+_VARIANTS = ("https://www.flickr.com/p/{0}", "http://shop.amazon.co.uk/{0}", "https://twitter.com.au/{0}", "https://example.org/{0}/a.JPG?x=1", "http://files.example.net/{0}.tar.gz", "http:/", "h://a.b", "ftp://example.org/{0}", "https://no host/{0}", "http://10.0.0.1:80/{0}", "https://news.example.co.jp/{0}")
+_LINKS = "(SELECT page_id, url FROM pages UNION ALL SELECT page_id, CASE page_id % 11 " + " ".join(f"WHEN {k} THEN replace('{v}', '{{0}}', CAST(page_id AS VARCHAR))" for k, v in enumerate(_VARIANTS)) + " END FROM pages)"
+
 _VERDICT = f"""SELECT page_id, url, CASE WHEN {_DOMAIN} THEN 'domain' WHEN {_EXT} THEN 'extension' WHEN length(url) <= 8 THEN 'short' WHEN {_BAD} THEN 'malformed'
- WHEN row_number() OVER (PARTITION BY url ORDER BY page_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM pages"""
+ WHEN row_number() OVER (PARTITION BY url ORDER BY page_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM {_LINKS}"""
+
+
+def _links(t: Tables):
+    variants = F.array(*(F.lit(v) for v in _VARIANTS))
+    second = F.replace(F.get(variants, (F.col("page_id") % len(_VARIANTS)).cast("int")), F.lit("{0}"), F.col("page_id").cast("string"))
+    return t.pages.select("page_id", "url").union(t.pages.select("page_id", second))
 
 
-@query("url_domain_block", f"SELECT page_id, {_LABEL} AS site FROM pages WHERE {_DOMAIN}")
+@query("url_domain_block", f"SELECT page_id, {_LABEL} AS site FROM {_LINKS} WHERE {_DOMAIN}")
 def url_domain_block(t: Tables):
-    return t.pages.where(U.blocked_site(F.col("url"))).select("page_id", U.site_label(F.col("url")).alias("site"))
+    return _links(t).where(U.blocked_site(F.col("url"))).select("page_id", U.site_label(F.col("url")).alias("site"))
 
 
-@query("url_ext_block", f"SELECT page_id, url FROM pages WHERE {_EXT}")
+@query("url_ext_block", f"SELECT page_id, url FROM {_LINKS} WHERE {_EXT}")
 def url_ext_block(t: Tables):
-    return t.pages.where(U.blocked_ending(F.col("url"))).select("page_id", "url")
+    return _links(t).where(U.blocked_ending(F.col("url"))).select("page_id", "url")
 
 
-@query("url_short", "SELECT page_id, url FROM pages WHERE length(url) <= 8")
+@query("url_short", f"SELECT page_id, url FROM {_LINKS} WHERE length(url) <= 8")
 def url_short(t: Tables):
-    return t.pages.where(U.short(F.col("url"))).select("page_id", "url")
+    return _links(t).where(U.short(F.col("url"))).select("page_id", "url")
 
 
-@query("url_malformed", f"SELECT page_id, url FROM pages WHERE {_BAD}")
+@query("url_malformed", f"SELECT page_id, url FROM {_LINKS} WHERE {_BAD}")
 def url_malformed(t: Tables):
-    return t.pages.where(U.malformed(F.col("url"))).select("page_id", "url")
+    return _links(t).where(U.malformed(F.col("url"))).select("page_id", "url")
 
 
 @query("url_verdict", _VERDICT)
 def url_verdict(t: Tables):
     nth = F.row_number().over(Window.partitionBy("url").orderBy("page_id"))
-    return t.pages.select("page_id", "url", nth.alias("nth")).select("page_id", "url", U.verdict(F.col("url"), F.col("nth")).alias("verdict"))
+    return _links(t).select("page_id", "url", nth.alias("nth")).select("page_id", "url", U.verdict(F.col("url"), F.col("nth")).alias("verdict"))
 
 
 @query("url_verdict_counts", f"SELECT verdict, count(*) AS n FROM ({_VERDICT}) GROUP BY verdict")

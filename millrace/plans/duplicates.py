@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import duplicates as D
-from millrace.operators.graph import components, step_table
+from millrace.operators.graph import components, small_side, step_table
 from millrace.plans.base import Tables, query
 
 SEEDS, BANDS = 100, 10
@@ -98,16 +98,15 @@ def _ng(table: str, key: str, n: int) -> str:
 
 @query("ngram_hits", f"WITH d AS ({_ng('documents', 'doc_id', 13)}), b AS (SELECT DISTINCT item_id, ngram FROM ({_ng('benchmark', 'item_id', 13)})) SELECT doc_id, item_id, count(*) AS n_hits, min(pos) AS first_pos FROM d JOIN b USING (ngram) GROUP BY doc_id, item_id")
 def ngram_hits(t: Tables):
-    d = D.word_ngrams(t.documents, "doc_id", "text", 13).withColumnRenamed("key", "doc_id")
-    b = D.word_ngrams(t.benchmark, "item_id", "text", 13).select(F.col("key").alias("item_id"), "ngram").distinct()
-    return d.join(b, "ngram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min("pos").cast("bigint").alias("first_pos"))
+    b = D.hashed_ngrams(t.benchmark, "item_id", "text", 13).select(F.col("key").alias("item_id"), "h1", "h2").distinct()
+    d = D.hashed_ngrams(t.documents, "doc_id", "text", 13).join(small_side(b), ["h1", "h2"])
+    return d.groupBy(F.col("key").alias("doc_id"), "item_id").agg(F.count("*").alias("n_hits"), F.min("pos").cast("bigint").alias("first_pos"))
 
 
 @query("train_overlap", f"WITH d AS ({_ng('documents', 'doc_id', 13)}), b AS (SELECT DISTINCT ngram FROM ({_ng('benchmark', 'item_id', 13)})) SELECT DISTINCT doc_id FROM d SEMI JOIN b USING (ngram)")
 def train_overlap(t: Tables):
-    d = D.word_ngrams(t.documents, "doc_id", "text", 13)
-    b = D.word_ngrams(t.benchmark, "item_id", "text", 13).select("ngram")
-    return d.join(b, "ngram", "left_semi").select(F.col("key").alias("doc_id")).distinct()
+    b = D.hashed_ngrams(t.benchmark, "item_id", "text", 13).select("h1", "h2").distinct()
+    return D.hashed_ngrams(t.documents, "doc_id", "text", 13).join(small_side(b), ["h1", "h2"], "left_semi").select(F.col("key").alias("doc_id")).distinct()
 
 
 @query("ngram_len_hist", f"SELECT CAST(least(13, len(w)) AS INT) AS n_words, count(*) AS n FROM (SELECT {_W} AS w FROM benchmark) GROUP BY 1")
@@ -117,23 +116,27 @@ def ngram_len_hist(t: Tables):
 
 @query("ngram_below_threshold", f"WITH d AS (SELECT ngram, count(*) AS c FROM ({_ng('documents', 'doc_id', 8)}) GROUP BY ngram), b AS (SELECT DISTINCT ngram FROM ({_ng('benchmark', 'item_id', 8)})) SELECT ngram, coalesce(c, 0) AS frequency FROM b LEFT JOIN d USING (ngram) WHERE coalesce(c, 0) < 10")
 def ngram_below_threshold(t: Tables):
-    b = D.word_ngrams(t.benchmark, "item_id", "text", 8).select("ngram").distinct()
-    d = D.word_ngrams(t.documents, "doc_id", "text", 8).join(b, "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("c"))
-    return b.join(d, "ngram", "left").select("ngram", F.coalesce("c", F.lit(0)).cast("bigint").alias("frequency")).where("frequency < 10")
+    b = D.hashed(D.word_ngrams(t.benchmark, "item_id", "text", 8).select("ngram").distinct(), 8)
+    d = D.hashed_ngrams(t.documents, "doc_id", "text", 8).join(small_side(b.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("c"))
+    return b.join(d, ["h1", "h2"], "left").select("ngram", F.coalesce("c", F.lit(0)).cast("bigint").alias("frequency")).where("frequency < 10")
 
 
-@query("frequent_13grams", f"SELECT ngram, count(DISTINCT doc_id) AS n_docs FROM ({_ng('documents', 'doc_id', 13)}) GROUP BY ngram HAVING count(DISTINCT doc_id) > 10")
+#: Documents with a line that tells their source: so some 13-grams are in many of them.
+_NOTED = "(SELECT doc_id, text || ' this text was taken from ' || source || ' and may be read by all who name it there' AS text FROM documents)"
+
+
+@query("frequent_13grams", f"SELECT ngram, count(DISTINCT doc_id) AS n_docs FROM ({_ng(_NOTED, 'doc_id', 13)}) GROUP BY ngram HAVING count(DISTINCT doc_id) > 10")
 def frequent_13grams(t: Tables):
-    g = D.word_ngrams(t.documents, "doc_id", "text", 13).select("ngram", "key").distinct()
-    return g.groupBy("ngram").agg(F.count("*").alias("n_docs")).where("n_docs > 10")
+    noted = t.documents.select("doc_id", F.concat("text", F.lit(" this text was taken from "), "source", F.lit(" and may be read by all who name it there")).alias("text"))
+    return D.frequent_ngrams(noted, "doc_id", "text", 13, 10)
 
 
 _BUCKET = "CAST(CAST('0x' || substr(md5(ngram), 1, 7) AS BIGINT) % 500 AS BIGINT)"
 
 
-@query("bucket_ngrams", f"SELECT {_BUCKET} AS bucket, count(*) AS n, min(ngram) AS first FROM ({_ng('benchmark', 'item_id', 13)}) GROUP BY 1")
+@query("bucket_ngrams", f"SELECT {_BUCKET} AS bucket, count(*) AS n, min(ngram) AS first FROM ({_ng('documents', 'doc_id', 13)}) GROUP BY 1")
 def bucket_ngrams(t: Tables):
-    g = D.word_ngrams(t.benchmark, "item_id", "text", 13)
+    g = D.word_ngrams(t.documents, "doc_id", "text", 13)
     bucket = F.conv(F.substring(F.md5(F.col("ngram").cast("binary")), 1, 7), 16, 10).cast("bigint") % 500
     return g.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("ngram").alias("first"))
 

@@ -186,10 +186,10 @@ def ngram_f1(t: Tables):
     return _answers(t).select("conv_id", "turn", _r6(M.token_f1(T.ngrams(F.col("p"), 2), T.ngrams(F.col("g"), 2)), "f1"))
 
 
-@query("em_max", f"SELECT conv_id, turn, CAST(list_contains([nxt, upper(text), substr(text, 1, 40)], substr(text, 1, 40)) AS INT) AS em FROM {_QA}")
+@query("em_max", f"SELECT conv_id, turn, CAST(list_contains([nxt, upper(text), CASE WHEN conv_id % 3 = 0 THEN text ELSE text || '.' END], text) AS INT) AS em FROM {_QA}")
 def em_max(t: Tables):
-    short = F.substring("text", 1, 40)
-    hits = F.transform(F.array(F.col("nxt"), F.upper("text"), short), lambda g: (g == short).cast("int"))
+    own = F.when(F.col("conv_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(".")))
+    hits = F.transform(F.array(F.col("nxt"), F.upper("text"), own), lambda g: (g == F.col("text")).cast("int"))
     return _answers(t).select("conv_id", "turn", M.best_of(hits).alias("em"))
 
 

@@ -185,7 +185,7 @@ def blend_exhaustive(t: Tables):
     return K.blend(b.withColumn("weight", F.col("n").cast("double")), "source", "weight", 1).select("source", "sample_id", F.round("turn", 9).alias("turn"))
 
 
-@query("blend_lookup", "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, k AS sample_id, doc_id FROM d WHERE k < 10")
+@query("blend_lookup", "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents) SELECT source, k AS sample_id, doc_id FROM d")
 def blend_lookup(t: Tables):
     d = ranked(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], "nth").select("source", "doc_id", (F.col("nth") - 1).alias("sample_id"))
     return blend_exhaustive(t).select("source", "sample_id").join(d, ["source", "sample_id"]).select("source", "sample_id", "doc_id")
@@ -202,14 +202,14 @@ def wordpiece(t: Tables):
     letters = "abcdefghijklmnopqrstuvwxyz"
     vocabulary = set(letters) | {"##" + c for c in letters} | {"the", "##er", "##th", "on", "##on", "##es", "in", "##in", "is", ",", "."}
     p = S.wordpiece(vocabulary)("text")
-    return t.benchmark.select("item_id", p.alias("p")).select("item_id", F.size("p").alias("n"), F.array_join(F.col("p"), " ").alias("pieces"))
+    return t.documents.select("doc_id", p.alias("p")).select("doc_id", F.size("p").alias("n"), F.array_join(F.col("p"), " ").alias("pieces"))
 
 
-@query("apply_diff")
+@query("apply_diff", "SELECT doc_id, string_split(text, chr(10))[1] IS NOT NULL AS fits, 'changed' || chr(10) || text AS text FROM documents")
 def apply_diff(t: Tables):
     first = F.get(F.split("text", "\n"), F.lit(0))
     diff = F.concat(F.lit("@@ -1,1 +1,2 @@\n-"), first, F.lit("\n+changed\n+"), first)
-    return t.benchmark.select("item_id", S.patched("text", diff).alias("text"))
+    return t.documents.select("doc_id", S.patched("text", diff).alias("text")).select("doc_id", F.col("text").isNotNull().alias("fits"), "text")
 
 
 @query("janitor_clean")
@@ -244,7 +244,11 @@ def ict_samples(t: Tables):
     return S.ict_samples(t.documents, "doc_id", "text")
 
 
-@query("sft_pack")
+@query("sft_pack", """WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS key, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS n FROM conversations),
+r AS (SELECT key, least(n, 512) AS n, greatest(n - 512, 0) AS cut, row_number() OVER (ORDER BY key) - 1 AS i FROM c WHERE n > 0),
+f(i, g, sample, used) AS (SELECT i, CAST(0 AS BIGINT), CAST(0 AS BIGINT), n FROM r WHERE i = 0
+UNION ALL SELECT r.i, r.i // 65536, CASE WHEN r.i % 65536 = 0 THEN 0 WHEN f.used + r.n > 512 THEN f.sample + 1 ELSE f.sample END, CASE WHEN r.i % 65536 = 0 OR f.used + r.n > 512 THEN r.n ELSE f.used + r.n END FROM f JOIN r ON r.i = f.i + 1)
+SELECT CAST(g AS BIGINT) AS "group", CAST(sample AS BIGINT) AS sample, CAST(key AS BIGINT) AS key, CAST(used - n AS BIGINT) AS start, CAST(used AS BIGINT) AS "end", CAST(cut AS BIGINT) AS n_cut FROM f JOIN r USING (i)""")
 def sft_pack(t: Tables):
     x = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.size(T.words(F.col("text"))).alias("n"))
     return S.pack_in_order(x, "key", "n", 512)

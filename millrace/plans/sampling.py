@@ -153,7 +153,7 @@ def chunk_sampled(t: Tables):
 
 sql_query("fewshot_firstn", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) AS x WHERE r <= 5")
 sql_query("fewshot_sample", "SELECT lang, doc_id, md5(concat('11:', doc_id)) AS k FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('11:', doc_id)), doc_id) AS r FROM documents) AS x WHERE r <= 6")
-sql_query("missing_blocks", "SELECT d.block, count(*) AS n FROM (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS block, doc_id FROM documents) AS d LEFT JOIN (SELECT DISTINCT CAST(floor(doc_id / 100) AS BIGINT) AS block FROM labels WHERE toxic = 1 AND doc_id % 3 = 0) AS l ON d.block = l.block WHERE l.block IS NULL GROUP BY d.block")
+sql_query("missing_blocks", "SELECT d.block, count(*) AS n FROM (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS block, doc_id FROM documents) AS d LEFT JOIN (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS block FROM labels GROUP BY CAST(floor(doc_id / 100) AS BIGINT) HAVING sum(toxic) >= 4) AS l ON d.block = l.block WHERE l.block IS NULL GROUP BY d.block")
 sql_query("blend_audit", "SELECT source, count(*) AS n_docs, least(count(*), 50) AS drawn, count(*) < 50 AS oversampled FROM documents GROUP BY source")
 sql_query("regroup_docs", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 sql_query("multichoice_prompt", "SELECT item_id, concat('Question: ', text, ' Options: (A) yes (B) no Answer:') AS prompt FROM benchmark")

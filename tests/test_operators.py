@@ -15,11 +15,12 @@ from millrace.functions import metrics as M
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.operators import contamination as C
+from millrace.operators import duplicates as D
 from millrace.operators import evaluation as E
 from millrace.operators import packing as K
 from millrace.operators import retrieval as R
 from millrace.operators import samples as S
-from millrace.operators.graph import components
+from millrace.operators.graph import components, shared_folder
 from millrace.operators.ranking import ranked, running
 from millrace.sources import catalog, files, indexed
 from millrace.streaming import windows as W
@@ -33,12 +34,39 @@ def test_address_verdicts(spark):
     rows = {
         "http://www.youtube.com/watch": "domain", "https://a.b.imgur.com": "domain", "http://x.org/a.7z": "extension", "http://x.org/a.TAR.GZ?x=1": "extension", "http://x": "short",
         "http://no_such host/": "malformed", "https://x.org/a.html?y=.zip": "ok", "http://127.0.0.1:80/x": "ok", "ftp://files.org/x": "malformed", "http://sub.google.org/": "domain",
+        "https://www.amazon.co.uk/b": "domain", "http://amazon.com.au/": "domain", "http://flickr.news.org/": "ok", "http://twitter.example.co.uk/": "ok", "https://co.uk/abc": "ok",
     }
     got = spark.createDataFrame([(u,) for u in rows], "u string").select("u", U.verdict(F.col("u"), F.lit(1)).alias("v")).collect()
     assert {r["u"]: r["v"] for r in got} == rows
     assert one(spark, U.verdict(F.lit("http://a.org/"), F.lit(2))) == "duplicate"
 
 
+def test_registered_labels(spark):
+    for url, label in {"http://a.b.example.co.uk/": "example", "http://x.co/": "x", "http://t.co.": "t", "http://10.1.2.3/": "10.1.2.3", "http://localhost/x": "localhost", "http://go.com/": "go", "http://www.gov.uk/": "gov"}.items():
+        assert one(spark, U.site_label(F.lit(url))) == (label if url != "http://www.gov.uk/" else "www")
+
+
+def test_frequent_ngrams_like_a_plain_count(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("ab c") for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(1, "a b a b a b"), (70, None), (71, "")]
+    want = {}
+    for k, t in rows:
+        w = (t or "").split()
+        for g in {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}:
+            want[g] = want.get(g, 0) + 1
+    got = {r["ngram"]: r["n_docs"] for r in D.frequent_ngrams(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3, 8).collect()}
+    assert got == {g: n for g, n in want.items() if n > 8} and got
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session)
+
+
 def test_metrics_known_values(spark):
     rows = spark.createDataFrame([(1, 1, 0.1), (0, 1, 0.2), (1, 0, 0.3), (0, 0, 0.4), (1, 1, 0.5)], "g int, p int, v double")
     r = rows.agg(M.f1(F.col("g"), F.col("p")).alias("f1"), M.matthews(F.col("g"), F.col("p")).alias("mcc"), M.perplexity(F.log("v")).alias("ppl"), M.upper_median(F.col("v")).alias("med"), M.kappa(F.col("g"), F.col("p")).alias("k")).first()
@@ -196,8 +224,13 @@ def test_samples_are_the_same_each_time(spark):
 def test_pack_in_order(spark):
     rows = [(i, 1 + i * 7 % 30) for i in range(500)]
     got = S.pack_in_order(spark.createDataFrame([*rows, (600, 1000), (601, 0)], "k long, n long"), "k", "n", 64, group=100).collect()
-    assert sorted((r["k"], r["end"] - r["start"]) for r in got) == rows
-    assert all(r["end"] <= 64 for r in got)
+    assert sorted((r["k"], r["end"] - r["start"]) for r in got) == [*rows, (600, 64)]
+    assert {(r["k"], r["n_cut"]) for r in got if r["n_cut"]} == {(600, 936)}
+    want, used = [], 64
+    for i, (k, n) in enumerate([*rows, (600, 64)]):
+        used = n if i % 100 == 0 or used + n > 64 else used + n
+        want.append((k, used))
+    assert sorted((r["k"], r["end"]) for r in got) == want
 
 
 def test_blend_lookup_resolves_every_position(spark, tmp_path):
