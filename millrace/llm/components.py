@@ -1,94 +1,12 @@
-"""Connected components of an edge table by alternating large and small stars.
-
-Each round is two aggregations and two joins on node keys and ends in a table in the shared folder. A node that
-many others hang on is never a join's key while it is the smallest of its group.
-Before it, every task replaces its own edges by a spanning forest (union-find over what it holds),
-so that few rounds are left. Only one row of counts reaches the driver.
-"""
+"""Connected components, as the corpus operators call them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from millrace.llm.runtime import small_side, stored
-
-#: Edges that a task holds at once; more are a forest of their own.
-HELD = 1 << 20
-
-
-class Forest:
-    """Union-find over 64-bit nodes; the smaller node is the root."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (y := up.get(root, root)) != root:
-            root = y
-        while x != root:
-            up[x], x = root, up.get(x, x)
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if a > b:
-            a, b = b, a
-        self.up[b] = a
-        return True
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every node but the roots, with its root."""
-        nodes = list(self.up)
-        return np.array(nodes, np.int64), np.array([self.find(x) for x in nodes], np.int64)
-
-
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest, n = Forest(), 0
-
-    def out(f: Forest) -> pa.RecordBatch:
-        u, v = f.edges()
-        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
-
-    for batch in batches:
-        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            forest.join(a, b)
-        n += batch.num_rows
-        if n >= HELD:
-            yield out(forest)
-            forest, n = Forest(), 0
-    yield out(forest)
-
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+from millrace.operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node with an edge reaches. ``edges`` has u and v; loops and repeats may occur."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    # all edges of a node's larger end meet in one task, so its forest has the node once
-    e = stored(e.repartition("u").mapInArrow(_local, "u long, v long"), "edges")
-    mark = _mark(e)
-    while True:
-        # large star: a node's larger neighbours go to its smallest one. A node without a smaller one, as the middle of a
-        # large group is, changes nothing, so only nodes that are both larger and smaller ends are joined.
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        inner = stored(least.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("w"), "m"), "inner")
-        large = e.join(small_side(inner), e.v == inner.w, "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-        # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = stored(small.mapInArrow(_local, "u long, v long"), "edges")
-        was, mark = mark, _mark(e)
-        if mark == was:
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return graph.components(edges, "u", "v", "component")

@@ -4,8 +4,8 @@ A text is cut before each run of spaces; no piece of the vocabulary goes on past
 follows another character, so such units merge alone (checked when a model is read). Distinct
 units become flat symbol arrays. In each round every unit finds its smallest pair rank by a
 segmented minimum and merges the leftmost such pair, all units at once; arrays are compacted and
-units without a pair leave, until none is left. Very long units go through a heap instead, for
-as many rounds as they have merges would be slow.
+units without a pair leave, until none is left. In very long units, as texts without spaces are,
+a round merges all places of the smallest rank, as many as give the same as one after another.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the white-space
 symbol U+2581 in a text counts as a space, as in the library; characters outside the vocabulary
@@ -14,7 +14,6 @@ become their UTF-8 bytes' pieces. The caller gives the model file's bytes.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,8 @@ MARK = "▁"
 #: Symbols from here on are characters outside the vocabulary.
 OUTSIDE = 1 << 21
 NEVER = np.iinfo(np.int32).max
-#: Units of more characters are merged by a heap.
-HEAP_FROM = 96
+#: Units of more characters (texts without spaces) have rounds of their own, with many merges each.
+LONG = 96
 
 
 class Pieces:
@@ -113,39 +112,36 @@ class Pieces:
         row = self.find(left, right)
         return np.where(row < 0, NEVER, self.ranks[row]), self.made[row]
 
-    def _heap(self, symbols: list[int]) -> list[int]:
-        """One unit, pair by pair: smallest rank first, then leftmost."""
-        n = len(symbols)
-        back, ahead, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        known: dict[tuple[int, int], tuple[int, int] | None] = {}
-
-        def look(a: int, b: int):
-            if (a, b) not in known:
-                k = int(np.searchsorted(self.keys, a << 22 | b))
-                known[a, b] = (int(self.ranks[k]), int(self.made[k])) if k < len(self.keys) and self.keys[k] == a << 22 | b else None
-            return known[a, b]
-
-        heap = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < n and (got := look(symbols[i], symbols[j])):
-                heap.append((got[0], i, j, symbols[i], symbols[j], got[1])) if not ready else heapq.heappush(heap, (got[0], i, j, symbols[i], symbols[j], got[1]))
-
-        ready = False
-        for i in range(n - 1):
-            offer(i, i + 1)
-        heapq.heapify(heap)
-        ready = True
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if not (alive[i] and alive[j]) or ahead[i] != j or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], alive[j], ahead[i] = made, False, ahead[j]
-            if ahead[j] < n:
-                back[ahead[j]] = i
-            offer(back[i], i)
-            offer(i, ahead[i])
-        return [s for s, x in zip(symbols, alive, strict=True) if x]
+    def _long(self, symbols: np.ndarray) -> np.ndarray:
+        """One unit in rounds that merge all places of the smallest rank at once, from the left.
+
+        That is what merging them one by one gives, as long as no merge makes a pair of that rank or a smaller
+        one; the round ends with the first place that does.
+        """
+        rank, made = self.pair_ranks(symbols[:-1], symbols[1:])
+        while len(rank) and (least := rank.min()) != NEVER:
+            at = np.flatnonzero(rank == least)
+            n = np.arange(len(at))
+            new = np.ones(len(at), bool)
+            new[1:] = np.diff(at) > 1
+            at = at[(n - np.maximum.accumulate(np.where(new, n, 0))) % 2 == 0]  # of places that overlap every other one
+            if len(at) > 1:
+                own = made[at]
+                before = np.where(at > 0, symbols[at - 1], 0)
+                before[1:] = np.where(np.diff(at) == 2, own[:-1], before[1:])
+                after = symbols[np.minimum(at + 2, len(symbols) - 1)]
+                early = ((at > 0) & (self.pair_ranks(before, own)[0] <= least)) | ((at + 2 < len(symbols)) & (self.pair_ranks(own, after)[0] <= least))
+                at = at[: int(np.argmax(early)) + 1] if early.any() else at
+            symbols[at] = made[at]
+            symbols = np.delete(symbols, at + 1)
+            at = at - np.arange(len(at))
+            # the pair after each merged symbol goes, those beside it are looked up anew
+            gone = at + np.arange(len(at))
+            rank, made = np.delete(rank, gone), np.delete(made, gone)
+            beside = np.unique(np.concatenate([at - 1, at]))
+            beside = beside[(beside >= 0) & (beside < len(rank))]
+            rank[beside], made[beside] = self.pair_ranks(symbols[beside], symbols[beside + 1])
+        return symbols
 
     def _merge(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over all units; flat symbols and counts in the units' order."""
@@ -153,12 +149,12 @@ class Pieces:
         done_units: list[np.ndarray] = []
         done_counts: list[np.ndarray] = []
         unit = np.arange(len(counts))
-        for k in np.flatnonzero(counts > HEAP_FROM):
-            at = int(counts[:k].sum())
-            got = np.array(self._heap(symbols[at : at + counts[k]].tolist()), np.int64)
+        start = np.cumsum(counts) - counts
+        for k in np.flatnonzero(counts > LONG):
+            got = self._long(symbols[start[k] : start[k] + counts[k]].copy())
             done_symbols.append(got), done_units.append(np.array([k])), done_counts.append(np.array([len(got)]))
         if len(done_units):
-            keep = counts <= HEAP_FROM
+            keep = counts <= LONG
             symbols, unit, counts = symbols[np.repeat(keep, counts)], unit[keep], counts[keep]
         last = np.zeros(len(symbols), bool)
         last[np.cumsum(counts) - 1] = True

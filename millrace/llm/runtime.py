@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,24 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.cluster import ship
+from millrace.operators.graph import BROADCAST_ROWS, shared_folder, small_side
 
 __all__ = ["BLOCK_BYTES", "BROADCAST_ROWS", "block_of", "give_back", "shared_dir", "ship", "small_side", "stored", "text_bytes"]
 
 #: Bytes of text in a block of documents that is worked on together.
 BLOCK_BYTES = 16 << 20
-#: Rows of a table that may be broadcast (a few longs each); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder that driver and executors share: spark.checkpoint.dir; set only where it is unset and all runs on one machine (tests)."""
+    at = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    return at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +39,6 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if it is counted to have few enough rows, as it is if not."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def block_of(n: int, *columns: str) -> Column:
     """A block number from 0 to n - 1 by a hash of the columns: the same in every run, and no id, or lack of one, fills a block."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")

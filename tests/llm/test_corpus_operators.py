@@ -164,7 +164,7 @@ _MODEL = {}
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("ab er tin\n▁é日🤗.1 \t\x00"), max_size=150), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet=st.sampled_from("ab er tin\n▁é日🤗.1 \t\x00"), max_size=300), min_size=1, max_size=4))
 def test_sentencepiece_like_the_library(texts):
     import sentencepiece
 
@@ -177,6 +177,21 @@ def test_sentencepiece_like_the_library(texts):
     assert [x.decode() for x in m.decode(ids, at)] == [sp.decode(sp.encode(t)) for t in texts]
 
 
+def test_long_units_like_the_library():
+    """Texts without spaces merge in rounds of many places; ids are the library's, and rounds are few."""
+    import sentencepiece
+
+    raw = tokenizer_file("piece_bpe_32k.model")
+    m, sp = pieces.Pieces(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    rng = np.random.RandomState(5)
+    texts = ["a" * 4001, "ab" * 1500, "the" * 900, "日本語" * 700]
+    for alphabet in ("ab", "etaoin", "thein", "abcdefghijklmnopqrstuvwxyz", "日本語のはを", "aé日🤗"):
+        texts += ["".join(rng.choice(list(alphabet), n)) for n in (97, 150, 1000, 3000)]
+    words = "".join(rng.choice(["international", "ization", "there", "fore", "ing", "er"], 800))
+    ids, at = m.encode(*_bytes([*texts, words]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == sp.encode([*texts, words])
+
+
 def test_token_store(spark):
     from tokenizers import Tokenizer
 
