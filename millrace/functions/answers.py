@@ -65,3 +65,15 @@ def formula(c: Column) -> Column:
     ):
         c = F.regexp_replace(c, pattern, new)
     return c
+
+
+_DROP_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+
+
+def drop_answer(c: Column) -> Column:
+    """Words cut at spaces and hyphens; numbers in one form, other words without marks and articles; empty ones go."""
+    n = lambda x: x.cast("double")
+    number = lambda x: F.when(x.rlike(_DROP_NUMBER), F.when((F.abs(n(x)) < 1e15) & (F.floor(n(x)) == n(x)), F.concat(n(x).cast("bigint").cast("string"), F.lit(".0"))).otherwise(n(x).cast("string"))).otherwise(x)
+    bare = lambda x: F.when(x.rlike(_DROP_NUMBER), x).otherwise(F.regexp_replace(x, r"[!-/:-@\[-`{-~]", ""))
+    words = F.transform(F.split(F.lower(c), " |-"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(number(bare(x)), r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "), r"\s+", " ")))
+    return F.array_join(F.filter(words, lambda x: x != ""), " ")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 ASCII_PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
@@ -121,3 +125,12 @@ def key_order(*parts: Column | str) -> Column:
 def join_pieces(pieces: Column) -> Column:
     """Words from word pieces: a piece that begins with ## goes on the one before it."""
     return F.replace(F.array_join(pieces, " "), F.lit(" ##"), F.lit(""))
+
+
+_TOKEN = re.compile(r"\S+")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("token", StringType()), StructField("start", IntegerType())])))
+def split_indices(s: pd.Series) -> pd.Series:
+    """Tokens between white space with the character that each starts at; null texts have none."""
+    return s.map(lambda t: [{"token": m[0], "start": m.start()} for m in _TOKEN.finditer(t or "")])

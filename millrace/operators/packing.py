@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators.ranking import ranked, running
 
 def pack(lengths: DataFrame, key: str, size: str, length: int) -> DataFrame:
@@ -94,3 +97,9 @@ def near_equal(df: DataFrame, keys: list[str], order: str, parts: int, name: str
     p, size, more = F.col("__p") - 1, F.floor(F.col("__n") / parts), F.col("__n") % parts
     part = F.when(p < more * (size + 1), F.floor(p / (size + 1))).otherwise(more + F.floor((p - more * (size + 1)) / F.greatest(size, F.lit(1))))
     return r.withColumn(name, (part + 1).cast("int")).drop("__p", "__n")
+
+
+def sample_blocks(df: DataFrame, block: str, share: float, seed: int) -> DataFrame:
+    """A share (rounded up) of the distinct blocks, by a hash of seed and block: the same in every run."""
+    b = df.select(block).distinct()
+    return b.orderBy(T.key_order(str(seed), F.col(block).cast("string")), block).limit(math.ceil(share * b.count()))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans.base import REGISTRY
 
-for _name in ("cleaning", "duplicates", "sampling", "samples", "evaluation", "retrieval", "streams"):
+for _name in ("cleaning", "duplicates", "sampling", "samples", "evaluation", "retrieval", "streams", "tasks"):
     import_module(f"millrace.plans.{_name}")
 
 

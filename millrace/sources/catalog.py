@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
@@ -54,6 +56,16 @@ def matching(tasks: list[str], patterns: list[str], groups: dict[str, list[str]]
     return list(out)
 
 
+def not_added(tasks: list[str], added: list[str]) -> list[str]:
+    """Tasks that haven't been added, in order, each once."""
+    return list(dict.fromkeys(t for t in tasks if t not in set(added)))
+
+
+def description_key(description: dict) -> str:
+    """The cache key of a data set: md5 of its description as indented JSON, in the order given; other values as their text."""
+    return hashlib.md5(json.dumps(description, indent=4, default=str).encode(), usedforsecurity=False).hexdigest()
+
+
 class _Block(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last

@@ -75,6 +75,30 @@ def write_split(df: DataFrame, path: str, verdict: str, removed: str = "remove%"
     df.where(gone).write.json(f"{path}_filtered")
 
 
+def write_json_arrays(df: DataFrame, folder: str) -> DataFrame:
+    """One JSON array of records a partition, written as rows come; the files that finished tasks wrote and their rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        name, n = f"{uuid.uuid4().hex}.json", 0
+        with fs.open_output_stream(f"{base}/{name}") as out:
+            for b in batches:
+                for line in b.column(0).to_pylist():
+                    out.write((b",\n" if n else b"[") + line.encode())
+                    n += 1
+            out.write(b"]" if n else b"[]")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["name", "n"])
+
+    return df.select(F.to_json(F.struct("*")).alias("line")).mapInArrow(run, "name string, n long")
+
+
+def write_blocks(df: DataFrame, key: str, size: int, folder: str) -> None:
+    """Rows in blocks of ``size`` keys, a folder for each (block=<its first key>), so that missing ones can be made alone."""
+    block = F.floor(F.col(key) / size) * size
+    df.withColumn("block", block.cast("bigint")).write.partitionBy("block").mode("append").parquet(folder)
+
+
 def write_zst(df: DataFrame, folder: str, column: str = "text", level: int = 3) -> DataFrame:
     """Archives of JSON lines {"text": ...}, one a partition; the files that finished tasks wrote and their rows."""
 
