@@ -9,33 +9,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions import text as T
-from millrace.operators.graph import small_side, step_table
+from millrace.operators.graph import components, small_side, step_table
 
 PRIME = 2147483647
 
 
-def shingle_codes(shingles: Column) -> Column:
-    """A number under 2**28 for each shingle."""
-    return F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("bigint"))
+#: A shingle's number is a polynomial of its characters' code points in BASE, modulo CODES.
+BASE, CODES = 1_000_003, 268_435_399
+_WIDE = np.uint64(0x9E3779B97F4A7C15)
+SHINGLE = 5
+
+
+def _points(text: str) -> np.ndarray:
+    """Code points of a text, a row for each place of a shingle's characters; as in the original rule the last shingle is left out."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(x) - SHINGLE
+    return np.stack([x[k : k + n] for k in range(SHINGLE)]) if n > 0 else np.zeros((SHINGLE, 0), np.uint32)
 
 
 @F.pandas_udf(ArrayType(LongType()))
-def _least_hashes(codes: pd.Series, seeds: pd.Series) -> pd.Series:
+def shingle_set(texts: pd.Series) -> pd.Series:
+    """Sorted distinct 64-bit numbers of a text's shingles; no string of them is made."""
     out = []
-    for x, n in zip(codes, seeds, strict=True):
+    for t in texts:
+        h = np.zeros(0, np.uint64)
+        for k, x in enumerate(_points(t or "")):
+            h = x.astype(np.uint64) if not k else h * _WIDE + x
+        out.append(np.unique(h.view(np.int64)))
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _least_hashes(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+    out = []
+    for t, n in zip(texts, seeds, strict=True):
+        code = np.zeros(0, np.int64)
+        for k, x in enumerate(_points(t or "")):
+            code = x.astype(np.int64) if not k else (code * BASE + x) % CODES
+        code = np.unique(code)
         k = np.arange(1, n + 1, dtype=np.int64)
-        x = np.asarray(x, np.int64)
         least = np.full(n, PRIME, np.int64)
-        for lo in range(0, len(x), 4096):
-            part = (x[lo : lo + 4096, None] * (k * 40503 + 7919) + k * 65537) % PRIME
+        for lo in range(0, len(code), 4096):
+            part = (code[lo : lo + 4096, None] * (k * 40503 + 7919) + k * 65537) % PRIME
             least = np.minimum(least, part.min(0))
-        out.append(least if len(x) else None)
+        out.append(least if len(code) else None)
     return pd.Series(out)
 
 
-def minhash(codes: Column, seeds: int) -> Column:
-    """The least of each of ``seeds`` linear hashes of the codes; null for an empty set."""
-    return _least_hashes(codes, F.lit(seeds))
+def minhash(text: Column, seeds: int) -> Column:
+    """The least of each of ``seeds`` linear hashes of the shingles' numbers; null for an empty set."""
+    return _least_hashes(text, F.lit(seeds))
 
 
 def bands(signature: Column, n_bands: int, seeds: int) -> Column:
@@ -45,18 +68,18 @@ def bands(signature: Column, n_bands: int, seeds: int) -> Column:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, seeds: int = 100) -> DataFrame:
-    """key, shingles, signature and rep of each text; rep is the smallest key of the texts with the same shingles.
+    """key, shingles (numbers), signature and rep of each text; rep is the smallest key of the texts with the same shingles.
 
     Only representatives carry shingles and a signature from here on, so copies, however many, are
     compared with nothing. Texts without shingles have neither and are their own representatives.
     """
-    s = df.select(F.col(key).alias("key"), T.char_shingles(F.col(text)).alias("shingles"))
-    same = F.when(F.size("shingles") > 0, F.md5(F.array_join(F.array_sort("shingles"), "\u0001").cast("binary")))
-    s = s.withColumn("same", same)
-    rep = s.where("same IS NOT NULL").groupBy("same").agg(F.min("key").alias("rep"))
-    s = s.join(rep, "same", "left").withColumn("rep", F.coalesce("rep", "key"))
+    s = df.select(F.col(key).alias("key"), F.col(text).alias("text"), shingle_set(F.col(text)).alias("shingles"))
+    s = s.withColumn("s1", F.when(F.size("shingles") > 0, F.xxhash64("shingles"))).withColumn("s2", F.when(F.size("shingles") > 0, F.xxhash64(F.lit(1), "shingles")))
+    rep = s.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
+    s = s.join(rep, ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "key"))
     own = F.col("key") == F.col("rep")
-    return s.select("key", "rep", F.when(own, F.col("shingles")).alias("shingles")).withColumn("signature", F.when(own, minhash(shingle_codes(F.coalesce("shingles", F.array().cast("array<string>"))), seeds)))
+    first = s.where(own).select("key", "rep", "shingles", minhash(F.col("text"), seeds).alias("signature"))
+    return first.union(s.where(~own).select("key", "rep", F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<bigint>")))
 
 
 def candidates(prints: DataFrame, n_bands: int = 10, seeds: int = 100) -> DataFrame:
@@ -77,6 +100,33 @@ def jaccard(pairs: DataFrame, prints: DataFrame, over: float = 0.5) -> DataFrame
     return x.select("a", "b", sim.alias("jaccard")).union(copy).where(F.col("jaccard") > over)
 
 
+def groups(prints: DataFrame, least: float, n_bands: int = 10, seeds: int = 100) -> DataFrame:
+    """(node, group): the smallest key that each text reaches over pairs that share a bucket and have a similarity of ``least`` or more.
+
+    First each bucket's texts are checked against its smallest; then only those pairs of a bucket whose
+    texts aren't connected yet. So the pairs of a large group of near copies are never listed.
+    """
+    rows = step_table(prints.where("signature IS NOT NULL").select("key", F.inline(bands(F.col("signature"), n_bands, seeds))))
+    shared = rows.groupBy("band", "bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = step_table(rows.join(shared, ["band", "bucket"]).where("key <> a").select("a", F.col("key").alias("b")).distinct())
+    copies = prints.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    own = prints.where("key = rep").select("key", "shingles")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(own.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return x.where(both / (F.size("sa") + F.size("sb") - both).cast("double") >= least).select("a", "b")
+
+    known = step_table(alike(star))
+    of = components(known, "a", "b").select(F.col("node").alias("key"), "group")
+    placed = step_table(rows.join(of, "key", "left").withColumn("group", F.coalesce("group", "key")))
+    mixed = placed.groupBy("band", "bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("band", "bucket")
+    rest = placed.join(mixed, ["band", "bucket"])
+    a, b = (rest.select("band", "bucket", F.col("key").alias(n), F.col("group").alias(f"g{n}")) for n in "ab")
+    pairs = a.join(b, ["band", "bucket"]).where("a < b AND ga <> gb").select("a", "b").distinct()
+    return components(known.union(alike(pairs.join(star, ["a", "b"], "left_anti"))).union(copies), "a", "b")
+
+
 def word_ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """key, position (from 0) and ngram of each text's lower-case words."""
     w = df.select(F.col(key).alias("key"), T.words(F.lower(F.col(text))).alias("w"))

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import duplicates as D
-from millrace.operators.graph import components, small_side, step_table
+from millrace.operators.graph import small_side, step_table
 from millrace.plans.base import Tables, query
 
 SEEDS, BANDS = 100, 10
 
 _SH = "WITH c AS (SELECT conv_id * 1000 + turn AS key, text FROM conversations UNION ALL SELECT conv_id * 1000 + turn + 500, CASE WHEN conv_id % 2 = 0 THEN text ELSE text || ' (edited)' END FROM conversations WHERE role = 'assistant'), sh AS (SELECT DISTINCT key, substr(text, CAST(i AS INT), 5) AS s FROM c, unnest(range(1, length(text) - 4)) AS t(i) WHERE length(text) > 5)"
 _REP = _SH + ", cls AS (SELECT key, min(key) OVER (PARTITION BY same) AS rep FROM (SELECT key, string_agg(s, chr(1) ORDER BY s) AS same FROM sh GROUP BY key))"
-_MH = _REP + f", code AS (SELECT key, CAST('0x' || substr(md5(s), 1, 7) AS BIGINT) AS x FROM sh JOIN cls USING (key) WHERE key = rep), mh AS (SELECT key, k, min((x * (k * 40503 + 7919) + k * 65537) % 2147483647) AS v FROM code, unnest(range(1, {SEEDS + 1})) AS t(k) GROUP BY key, k)"
+_CODE = f"((((CAST(unicode(s[1]) AS BIGINT) * {D.BASE} + unicode(s[2])) % {D.CODES} * {D.BASE} + unicode(s[3])) % {D.CODES} * {D.BASE} + unicode(s[4])) % {D.CODES} * {D.BASE} + unicode(s[5])) % {D.CODES}"
+_MH = _REP + f", code AS (SELECT key, " + _CODE + f" AS x FROM sh JOIN cls USING (key) WHERE key = rep), mh AS (SELECT key, k, min((x * (k * 40503 + 7919) + k * 65537) % 2147483647) AS v FROM code, unnest(range(1, {SEEDS + 1})) AS t(k) GROUP BY key, k)"
 _BAND = _MH + f", bk AS (SELECT key, (k - 1) // {SEEDS // BANDS} AS band, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY k)) AS bucket FROM mh GROUP BY ALL), near AS (SELECT DISTINCT a.key AS a, b.key AS b FROM bk AS a JOIN bk AS b USING (band, bucket) WHERE a.key < b.key), cand AS (SELECT a, b FROM near UNION ALL SELECT rep, key FROM cls WHERE key <> rep)"
 _JAC = _BAND + ", n AS (SELECT key, count(*) AS n FROM sh GROUP BY key), i AS (SELECT a, b, count(*) AS i FROM near JOIN sh AS x ON x.key = a JOIN sh AS y ON y.key = b AND y.s = x.s GROUP BY a, b), jac AS (SELECT a, b, CAST(i AS DOUBLE) / (na.n + nb.n - i) AS jaccard FROM i JOIN n AS na ON na.key = a JOIN n AS nb ON nb.key = b UNION ALL SELECT rep, key, 1.0 FROM cls WHERE key <> rep)"
 _COMP = _JAC.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + ", e AS (SELECT a, b FROM jac WHERE jaccard >= 0.7 UNION SELECT b, a FROM jac WHERE jaccard >= 0.7), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen), comp AS (SELECT node, least(node, min(seen)) AS \"group\" FROM r GROUP BY node)"
@@ -63,7 +64,7 @@ def near_dups(t: Tables):
 
 
 def _groups(t: Tables):
-    return components(_edges(t).where("jaccard >= 0.7"), "a", "b")
+    return D.groups(_prints(t), 0.7, BANDS, SEEDS)
 
 
 @query("dup_components", _COMP + ' SELECT node, "group" FROM comp')

@@ -58,6 +58,36 @@ def test_frequent_ngrams_like_a_plain_count(spark):
     assert got == {g: n for g, n in want.items() if n > 8} and got
 
 
+def test_groups_of_near_copies(spark):
+    """Components over similar pairs, however the smallest text of a bucket lies: a hub, a chain, copies, and texts of one template."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(10 + k, base[: 3 * k] + "XY" + base[3 * k + 2 :]) for k in range(30)] + [(5, base), (6, base), (7, None), (8, "abc")]
+    step = "".join(rng.choice("ijklmno ") for _ in range(120))
+    for k in range(15):
+        step = step[:-4] + "".join(rng.choice("pqrs") for _ in range(4)) + step[-4:][:0]
+        rows.append((100 + k, step[4:] + "t" * k))
+    rows += [(200 + k, base[:40] + "".join(rng.choice("uvwxyz") for _ in range(60))) for k in range(20)]
+    sets = {i: {t[j : j + 5] for j in range(len(t) - 5)} if t else set() for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for a in ids:
+        for b in ids:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7:
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    prints = D.fingerprints(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    got = {r["node"]: r["group"] for r in D.groups(prints, 0.7, 50).collect()}
+    want = {i: root(i) for i in ids if root(i) != i or any(root(j) == i for j in ids if j != i)}
+    assert got == want and len(set(want.values())) >= 2
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Session:
         conf = type("C", (), {"get": staticmethod(lambda *a: None)})
