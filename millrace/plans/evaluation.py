@@ -224,7 +224,10 @@ def agg_bleu(t: Tables):
     return E.bleu(_answers(t), F.col("p"), F.col("g")).select(_r6(F.col("bleu"), "bleu"))
 
 
-@query("agg_chrf")
+@query(
+    "agg_chrf",
+    r"WITH x AS (SELECT row_number() OVER () AS r, regexp_replace(text, '\s+', '', 'g') AS a, regexp_replace(nxt, '\s+', '', 'g') AS b FROM " + _QA + "), g AS (SELECT r, n, substr(a, i, n) AS g, 1 AS p, 0 AS q FROM x, unnest(range(1, 7)) AS t(n), unnest(range(1, length(a) - n + 2)) AS u(i) UNION ALL SELECT r, n, substr(b, i, n), 0, 1 FROM x, unnest(range(1, 7)) AS t(n), unnest(range(1, length(b) - n + 2)) AS u(i)), own AS (SELECT r, n, g, sum(p) AS p, sum(q) AS q FROM g GROUP BY ALL), s AS (SELECT n, sum(least(p, q)) AS m, sum(p) AS p, sum(q) AS q FROM own GROUP BY n) SELECT round(100 * avg(CASE WHEN m > 0 THEN 5.0 * m / (4 * q + p) ELSE 0 END), 6) AS chrf FROM s WHERE p > 0 AND q > 0",
+)
 def agg_chrf(t: Tables):
     return E.chrf(_answers(t), F.col("text"), F.col("nxt")).select(_r6(F.col("chrf"), "chrf"))
 

@@ -75,7 +75,10 @@ def attention_mask(t: Tables):
     return _turns(t).select("conv_id", "turn", q.alias("query_end"), s.alias("source_end"), (q * s).alias("n_allowed"))
 
 
-@query("overlap_filter")
+@query(
+    "overlap_filter",
+    f"SELECT conv_id, turn, CAST(n AS INT) AS n FROM (SELECT conv_id, turn, lb, coalesce(sum(c) FILTER (WHERE c >= 2), 0) AS n FROM (SELECT conv_id, turn, lb, run, count(*) AS c FROM (SELECT conv_id, turn, len(b) AS lb, i - row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM {_TURNS} AS x, unnest(range(1, len(b) + 1)) AS u(i) WHERE list_contains(a, b[i])) GROUP BY ALL) GROUP BY conv_id, turn, lb) WHERE n >= 0.01 * lb AND n <= 0.9 * lb",
+)
 def overlap_filter(t: Tables):
     x = _turns(t).withColumn("n", S.run_overlap(F.col("b"), F.col("a"), 2))
     return x.where((F.col("n") >= 0.01 * F.size("b")) & (F.col("n") <= 0.9 * F.size("b"))).select("conv_id", "turn", "n")
@@ -197,7 +200,11 @@ def join_wordpieces(t: Tables):
     return t.benchmark.select("item_id", T.join_pieces(pieces).alias("text"))
 
 
-@query("wordpiece")
+_HEAD = "regexp_extract(x, '^(the|on|in|is|[a-z])')"
+_PIECES = f"CASE WHEN x IN (',', '.') THEN x WHEN NOT regexp_matches(x, '^[a-z]+$') OR length(x) > 100 THEN '[UNK]' ELSE array_to_string(list_concat([{_HEAD}], list_transform(regexp_extract_all(substr(x, length({_HEAD}) + 1), 'er|th|on|es|in|[a-z]'), lambda y: '##' || y)), ' ') END"
+
+
+@query("wordpiece", rf"SELECT doc_id, CAST(CASE WHEN p = '' THEN 0 ELSE length(p) - length(replace(p, ' ', '')) + 1 END AS INT) AS n, p AS pieces FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s]'), lambda x: {_PIECES}), ' ') AS p FROM documents)")
 def wordpiece(t: Tables):
     letters = "abcdefghijklmnopqrstuvwxyz"
     vocabulary = set(letters) | {"##" + c for c in letters} | {"the", "##er", "##th", "on", "##on", "##es", "in", "##in", "is", ",", "."}
