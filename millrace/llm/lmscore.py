@@ -79,29 +79,6 @@ def _short(keys: np.ndarray, bits: int, kind: int = 1) -> np.ndarray:
     return (keys >> W.U64(32 - bits)).astype(np.uint32) if kind == PAIRS else (keys << W.U64(bits)) >> W.U64(16)
 
 
-def _low_bytes(x: np.ndarray, width: int) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _from_low_bytes(raw: bytes, n: int, width: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
-    return out.reshape(-1).view("<u8")
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the gaps between them, in as many bytes as the largest takes."""
-    gaps = np.diff(keys.astype(W.U64), prepend=W.U64(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return np.array([len(keys), width], "<i8").tobytes() + _low_bytes(gaps, width)
-
-
-def _unpack_keys(raw: bytes) -> tuple[np.ndarray, int]:
-    """The keys, and where they end."""
-    n, width = (int(x) for x in np.frombuffer(raw, "<i8", 2))
-    return np.cumsum(_from_low_bytes(raw, n, width, 16), dtype=W.U64), 16 + n * width
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """A byte for each count, large ones apart."""
     large = counts[counts >= 255].astype("<i8")
@@ -115,11 +92,11 @@ def _unpack_counts(raw: bytes, n: int, at: int = 0) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return _pack_keys(keys) + _pack_counts(counts)
+    return W.pack_sorted(keys) + _pack_counts(counts)
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = _unpack_keys(raw)
+    keys, at = W.unpack_sorted(raw)
     return keys, _unpack_counts(raw, len(keys), at)
 
 
@@ -300,7 +277,7 @@ def _ask(bits: int, pairs: bool):
         for kind in (WORDS, PAIRS) if pairs else (WORDS,):
             keys = np.unique(tokens if kind == WORDS else _pairs(tokens))
             cuts, keys = _ranges(keys, bits), _short(keys, bits, kind)
-            rows += [(block, kind, int(r), _pack_keys(keys[cuts[r] : cuts[r + 1]])) for r in np.flatnonzero(np.diff(cuts))]
+            rows += [(block, kind, int(r), W.pack_sorted(keys[cuts[r] : cuts[r + 1]])) for r in np.flatnonzero(np.diff(cuts))]
         give_back()
         return _requests(rows)
 
@@ -318,7 +295,7 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     else:
         keys, counts = _unpack(raw)
     for block, own in zip(asked.column("__block").to_pylist(), asked.column("__payload"), strict=True):
-        own, _ = _unpack_keys(own.as_py())
+        own, _ = W.unpack_sorted(own.as_py())
         if kind == PAIRS:
             levels = bloom.levels_in(own.astype(np.uint32), np.zeros(len(own), np.int64), np.full(len(own), 8 * len(raw)))
             rows.append((block, kind, number, levels.astype(np.uint8).tobytes()))

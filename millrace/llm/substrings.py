@@ -67,16 +67,13 @@ def _hashes(part, starts, ends, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(numbers: np.ndarray, extra: np.ndarray) -> bytes:
-    """Ascending distinct numbers as gaps, and a bit for each."""
-    gaps = np.diff(numbers, prepend=numbers[:1] * 0)
-    kind = np.uint16 if not len(gaps) or gaps.max() < 1 << 16 else np.uint32
-    return np.array([len(gaps), np.dtype(kind).itemsize], "<i8").tobytes() + gaps.astype(kind).tobytes() + np.packbits(extra).tobytes()
+    """Ascending distinct numbers, and a bit for each."""
+    return W.pack_sorted(numbers) + np.packbits(extra).tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width = (int(x) for x in np.frombuffer(raw, "<i8", 2))
-    gaps = np.frombuffer(raw, np.uint16 if width == 2 else np.uint32, n, 16)
-    return np.cumsum(gaps, dtype=np.int64), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 16 + n * width), count=n).astype(bool)
+    numbers, end = W.unpack_sorted(raw)
+    return numbers.view(np.int64), np.unpackbits(np.frombuffer(raw, np.uint8, -1, end), count=len(numbers)).astype(bool)
 
 
 def _frugal(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:

@@ -156,3 +156,23 @@ def segments_unique(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     keep = np.ones(len(rows), bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     return rows[keep], values[keep]
+
+
+def low_bytes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending numbers: the gaps between them, in as many bytes as the largest takes."""
+    gaps = np.diff(keys.astype(U64), prepend=U64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return np.array([len(keys), width], "<i8").tobytes() + low_bytes(gaps, width)
+
+
+def unpack_sorted(raw: bytes) -> tuple[np.ndarray, int]:
+    """The numbers (unsigned), and where they end."""
+    n, width = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(raw, np.uint8, n * width, 16).reshape(n, width)
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=U64), 16 + n * width

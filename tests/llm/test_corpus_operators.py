@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import chunking, decontaminate, layouts, lmscore, maincontent, neardup, pieces, substrings, tokencount, tokenstore, toxicity
+from millrace.llm import chunking, decontaminate, layouts, lmscore, maincontent, neardup, pieces, substrings, tokencount, tokenstore, toxicity, words
 from millrace.llm.components import components
 from millrace.llm.queries import tokenizer_file
 from millrace.llm.runtime import ship
@@ -145,6 +145,14 @@ def test_chunks_for_a_miss_under_one_in_a_million():
         assert (1 - (j**6 + 6 * j**5 * (1 - j))) ** neardup.chunks_for(percent) <= 1e-6
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=40))
+def test_sorted_numbers_come_back(numbers):
+    keys = np.unique(np.array(numbers, np.int64))
+    back, end = words.unpack_sorted(words.pack_sorted(keys) + b"more")
+    assert back.tolist() == keys.tolist() and words.pack_sorted(keys)[end:] == b""
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (1002, 1001), (7, 7), (1001, 1000)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect())
@@ -581,7 +589,7 @@ def test_the_cut_decides():
 
     maincontent._max_flow = counted
     try:
-        for parts in layouts.pages(150, seed=99):
+        for parts in layouts.pages(200, seed=7):
             blocks = maincontent.blocks_of("".join(h for h, _ in parts))
             label = [y for h, y in parts if y >= 0 for _ in maincontent.blocks_of(h)]
             z, keep = maincontent.log_odds(maincontent.features(blocks), w), maincontent.content(blocks, w)
