@@ -131,8 +131,8 @@ def _sign(n: int, chunks: int):
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
             signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, -1)
             keys = look_ups(signature)
             ids = np.repeat(W.int_column(part, "node"), keys.shape[1])

@@ -290,6 +290,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 decoded = pa.array(pieces.decode(ids, at), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists, decoded, *(batch.column(2 + k)[lo:hi] for k in range(len(carry)))], names=[id_col, "ids", "decoded", *carry])
+        pieces.units.forget()  # a worker may idle for long after this
         give_back()
 
     types = [f"`{id_col}` {base.schema['__id'].dataType.simpleString()}", "ids array<int>", "decoded string", *(f"`{c}` {base.schema[f'__c{k}'].dataType.simpleString()}" for k, c in enumerate(carry))]

@@ -38,7 +38,7 @@ HASHED = 1 << 18
 #: Cells of the sketch for each word of the corpus, before rounding up to a power of two.
 CELLS_PER_WORD = 8
 #: Cells that one reducer merges.
-RANGE_CELLS = 1 << 26
+RANGE_CELLS = 1 << 25
 ROWS = 2
 LAST = np.iinfo(np.int64).max
 REPLY = "__block int, __range int, __payload binary"

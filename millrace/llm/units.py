@@ -12,7 +12,7 @@ import numpy as np
 from millrace.llm import words as W
 
 #: Units that a worker remembers before it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Longer units are encoded but not remembered.
 LONG_UNIT = 4096
 
