@@ -142,3 +142,41 @@ def grouped_top(df: DataFrame, keys: list[str], score: str, k: int, tie: str) ->
 def with_capacity(df: DataFrame, target: str, score: str, capacity: int, tie: str) -> DataFrame:
     """Rows that fit their target's capacity, the best-scored first; the others are marked as dropped."""
     return ranked(df, [target], [F.desc(score), tie], "slot").withColumn("slot", (F.col("slot") - 1).cast("int")).withColumn("dropped", F.col("slot") >= capacity)
+
+
+class ExactIndex:
+    """Every query is compared with every vector."""
+
+    def __init__(self, base: DataFrame, id_col: str = "id", vector: str = "embedding", **_):
+        self.base, self.id_col, self.vector = base, id_col, vector
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query, id, distance and rank of the k nearest other vectors."""
+        return top_k(queries, self.base, k, id_col=self.id_col, vector=self.vector)
+
+
+class CellIndex:
+    """Every vector is in the cell of its nearest centre; a query is compared with the vectors of its ``probes`` nearest cells."""
+
+    def __init__(self, base: DataFrame, id_col: str = "id", vector: str = "embedding", cells: int = 16, probes: int = 12, sample: int = 20_000):
+        self.id_col, self.vector, self.probes = id_col, vector, probes
+        self.centres = train_cells(base, cells, sample, id_col=id_col, vector=vector)
+        self.cells = assign_cells(base, self.centres, id_col=id_col, vector=vector).join(base.select(F.col(id_col).alias("id"), F.col(vector).alias("x")), "id")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query, id, distance and rank of the k nearest other vectors in these cells, ties (to nine places) by id."""
+        own = queries.select(F.col(self.id_col).alias("query"), F.col(self.vector).alias("q"))
+        asked = assign_cells(queries, self.centres, self.probes, self.id_col, self.vector).withColumnRenamed("id", "query").join(own, "query")
+        d = self.cells.join(asked, "cell").where("id <> query").select("query", "id", squared_distance(F.col("q"), F.col("x")).alias("distance"))
+        r = d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "id")))
+        return r.where(F.col("rank") <= k).select("query", "id", "distance", "rank")
+
+
+#: Kinds of index by name; more may be added.
+INDEXES: dict[str, type] = {"exact": ExactIndex, "cells": CellIndex}
+
+
+def index(kind: str, base: DataFrame, **options) -> ExactIndex | CellIndex:
+    if kind not in INDEXES:
+        raise ValueError(f"no index is called {kind}; there are {', '.join(INDEXES)}")
+    return INDEXES[kind](base, **options)

@@ -82,12 +82,7 @@ def ivf_assign(t: Tables):
 def ivf_search(t: Tables):
     """Neighbours among the vectors of a query's nearest cells; every vector is in the index."""
     e = t.embeddings
-    centres = R.train_cells(e, 16, id_col="vec_id")
-    cells = R.assign_cells(e, centres, id_col="vec_id").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), "id")
-    asked = R.assign_cells(e.where("vec_id % 20 = 0"), centres, 12, id_col="vec_id").withColumnRenamed("id", "query").join(e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), "query")
-    d = cells.join(asked, "cell").where("id <> query").select("query", "id", R.squared_distance(F.col("q"), F.col("x")).alias("distance"))
-    r = d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "id")))
-    return r.where("rank <= 10").select("query", "id", "rank")
+    return R.index("cells", e, id_col="vec_id").search(e.where("vec_id % 20 = 0"), 10).select("query", "id", "rank")
 
 
 @query("embed_docs")

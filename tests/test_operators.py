@@ -317,6 +317,17 @@ def test_cells_recall(spark):
     assert exact.intersect(found).count() / exact.count() >= 0.9
 
 
+def test_indexes_by_name(spark):
+    rng = np.random.RandomState(2)
+    e = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(60)], "id long, embedding array<double>")
+    exact = R.index("exact", e).search(e.where("id < 5"), 3)
+    whole = R.index("cells", e, cells=4, probes=4).search(e.where("id < 5"), 3)
+    key = lambda df: sorted((r["query"], r["rank"], r["id"]) for r in df.collect())
+    assert key(exact) == key(whole) and len(key(exact)) == 15
+    with pytest.raises(ValueError):
+        R.index("none", e)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100)] + [(500, 501), (501, 502), (7, 7)]
     got = {r["node"]: r["group"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
