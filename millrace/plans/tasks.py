@@ -8,6 +8,7 @@ from millrace.functions import answers as A
 from millrace.functions import text as T
 from millrace.operators import packing as K
 from millrace.operators import tasks as Q
+from millrace.operators import tokenizing as Z
 from millrace.plans.base import Tables, query
 from millrace.sources import benchmarks as B
 
@@ -101,3 +102,9 @@ def drop_normalize(t: Tables):
 @query("block_sample", "WITH b AS (SELECT DISTINCT CAST(floor(doc_id / 100) AS BIGINT) AS block FROM documents) SELECT block FROM (SELECT block, row_number() OVER (ORDER BY md5('7:' || block), block) AS r FROM b) WHERE r <= (SELECT ceil(0.25 * count(*)) FROM b)")
 def block_sample(t: Tables):
     return K.sample_blocks(t.documents.select(F.floor(F.col("doc_id") / 100).alias("block")), "block", 0.25, 7)
+
+
+@query("encode_bytes", "SELECT doc_id, CAST(strlen(text) + 1 AS INT) AS n, 256 AS last, text FROM documents")
+def encode_bytes(t: Tables):
+    d = t.documents.select("doc_id", Z.encoded(F.col("text"), "bytes").alias("ids"))
+    return d.select("doc_id", F.size("ids").alias("n"), F.element_at("ids", -1).alias("last"), Z.decoded(F.col("ids"), "bytes").alias("text"))

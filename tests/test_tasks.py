@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import packing as K
 from millrace.operators import tasks as Q
+from millrace.operators import tokenizing as Z
 from millrace.sources import benchmarks as B
 from millrace.sources import catalog, files
 from millrace.streaming import resume
@@ -122,3 +123,16 @@ def test_small_things(spark):
     b = spark.range(40).select((F.col("id") % 10).alias("block"))
     got = [r["block"] for r in K.sample_blocks(b, "block", 0.25, 3).collect()]
     assert len(got) == len(set(got)) == 3 and got == [r["block"] for r in K.sample_blocks(b.repartition(7), "block", 0.25, 3).collect()]
+
+
+def test_tokenizers_by_name(spark):
+    public = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([("héllo wörld 日本",), ("",), (None,)], "t string")
+    for kind, name in (("bytes", None), ("json", "byte_bpe_50k.json"), ("pieces", "piece_bpe_32k.model")):
+        options = {"raw": open(public.path(name), "rb").read()} if name else {}
+        own = Z.TOKENIZERS[kind](**options)
+        rows = d.select("t", Z.encoded(F.col("t"), kind, **options).alias("ids"), Z.encoded(F.col("t"), kind, end=False, **options).alias("bare")).select("*", Z.decoded(F.col("bare"), kind, **options).alias("back")).collect()
+        for r in rows:
+            assert r["ids"] == [*own.tokenize(r["t"] or ""), own.eod] and r["bare"] == r["ids"][:-1] and r["back"] == (r["t"] or "") and max(r["ids"]) < own.vocab_size
+    with pytest.raises(NotImplementedError):
+        type("Own", (Z.Tokenizer,), {"vocab_size": 1, "tokenize": lambda s, t: []})().detokenize([])
