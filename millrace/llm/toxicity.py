@@ -260,34 +260,44 @@ def _listed(feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return feats[at], number.astype(np.int32)
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    """A block of labelled texts as one row: numbers of words, the distinct words, and how many texts and toxic ones have each bucket."""
-    rows = [table.column(c).to_pylist() for c in ("__h", "__v", "__y", "__lang")]
-    chosen: dict[tuple, int] = {}
-    for k, key in enumerate(zip(*rows, strict=True)):
-        if key[:3] not in chosen or (key[3] or "") < (rows[3][chosen[key[:3]]] or ""):
-            chosen[key[:3]] = k
-    own = [chosen[k] for k in sorted(chosen)]
-    table = table.take(pa.array(own, pa.int64()))
-    label = table.column("__y").to_numpy().astype(np.int64)
-    data, offsets = W.column(table, "__text")
-    counts, parts, sizes = np.zeros((2, 1 << BITS), np.int64), [], []
-    for lo, hi in W.pieces(offsets):
-        f, first = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        seen = np.unique(W.row_of(first)[:, None] * (1 << BITS) + f)
-        bucket, row = seen & ((1 << BITS) - 1), (seen >> BITS) + lo
-        counts[0] += np.bincount(bucket, minlength=1 << BITS)
-        counts[1] += np.bincount(bucket[label[row] == 1], minlength=1 << BITS)
-        parts.append(f)
-        sizes.append(np.diff(first))
-    listed, words = _listed(np.concatenate([*parts, np.zeros((0, 1 + len(PREFIXES)), np.int32)]))
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block of labelled texts as one row: numbers of words, the distinct words, and how many texts and toxic ones have each bucket. Copies are passed over as they come."""
+    number: dict[tuple, int] = {}
+    langs, sizes, parts, counts = [], [], [], np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        apart, block, new = batch.column("__apart")[0].as_py(), batch.column("__block")[0].as_py(), []
+        for k, (*key, lang) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__h", "__v", "__y", "__lang")), strict=True)):
+            own = number.setdefault(tuple(key), len(langs))
+            if own == len(langs):
+                langs.append(lang or "")
+                new.append(k)
+            else:
+                langs[own] = min(langs[own], lang or "")
+        batch = batch.take(pa.array(new, pa.int64()))
+        label = batch.column("__y").to_numpy()
+        data, offsets = W.column(batch, "__text")
+        for lo, hi in W.pieces(offsets):
+            f, first = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            seen = np.unique(W.row_of(first)[:, None] * (1 << BITS) + f)
+            bucket, row = seen & ((1 << BITS) - 1), (seen >> BITS) + lo
+            counts[0] += np.bincount(bucket, minlength=1 << BITS)
+            counts[1] += np.bincount(bucket[label[row] == 1], minlength=1 << BITS)
+            parts.append(f)
+            sizes.append(np.diff(first))
+    # by the hashes, so that the block is the same in whatever order its rows came
+    order = [number[k] for k in sorted(number)]
+    label, size = np.array([k[2] for k in sorted(number)]), np.concatenate(sizes)
+    start = np.cumsum(size) - size
+    listed, words = _listed(np.concatenate(parts))
+    parts.clear()
+    first = np.cumsum(size[order]) - size[order]
+    words = words[np.repeat(start[order] - first, size[order]) + np.arange(len(words))]
     at = np.flatnonzero(counts[0])
-    apart, block, langs = table.column("__apart")[0].as_py(), table.column("__block")[0].as_py(), table.column("__lang").to_pylist()
-    raw = [label.astype("<f4").tobytes(), np.concatenate(sizes).astype("<i8").tobytes(), langs, words.astype("<i4").tobytes(), listed.astype("<i4").tobytes(), at.astype("<i4").tobytes(), counts[:, at].T.astype("<f4").tobytes()]
-    del parts, listed, words, counts
+    raw = [label.astype("<f4").tobytes(), size[order].astype("<i8").tobytes(), [langs[k] for k in order], words.astype("<i4").tobytes(), listed.astype("<i4").tobytes(), at.astype("<i4").tobytes(), counts[:, at].T.astype("<f4").tobytes()]
+    del listed, words, counts
     give_back()
     types = [pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 4]
-    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip([apart, block, len(own), int(label.sum()), *raw], types, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([apart, block, len(order), int(label.sum()), *raw], types, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
 
 
 def _numbers(batch: pa.RecordBatch, name: str, k: int, kind: str = "<i4") -> np.ndarray:

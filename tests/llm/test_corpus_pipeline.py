@@ -58,6 +58,22 @@ def test_stages_keep_columns_and_bear_clashes(spark, made):
         assert empty.count() == 0, name
 
 
+def test_the_driver_collects_no_texts(spark, made, monkeypatch):
+    """The toxicity stage learns on the executors: no labelled text comes to the driver."""
+    frame, sizes = type(spark.range(1)), []
+    collect = frame.collect
+
+    def watched(self):
+        rows = collect(self)
+        sizes.extend(len(v) for r in rows for v in r if isinstance(v, str))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", watched)
+    docs = spark.read.parquet(f"{made[0]}/documents.parquet")
+    P.drop_toxic(spark, docs, made[0])
+    assert max(sizes, default=0) < 30
+
+
 def test_near_duplicates_keep_a_row_of_every_text(spark, made):
     """Texts that share an id are not taken for one another; of equal rows one stays, the same in every run."""
     x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
