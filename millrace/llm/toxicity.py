@@ -18,7 +18,8 @@ log-odds in steps of 1/STEPS. Scores never see a language.
 
 Defined cases: null and empty texts, and texts without words, have no place for a filter: their
 maxima are 0. Without labelled rows of both kinds every score is 0. Rows may repeat; rows alike in
-id, text and label are one to the training. An id that has both labels trains as either. Other columns are ignored or carried.
+id, text and label are one to the training, of the first language by name or of none if one has none. An id that
+has both labels trains as either. Other columns are ignored or carried.
 """
 
 from __future__ import annotations
