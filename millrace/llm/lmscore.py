@@ -275,7 +275,7 @@ def _ask(bits: int, pairs: bool):
         block = table.column("__block")[0].as_py()
         rows = []
         for kind in (WORDS, PAIRS) if pairs else (WORDS,):
-            keys = np.unique(tokens if kind == WORDS else _pairs(tokens))
+            keys, _ = _counted([tokens if kind == WORDS else _pairs(tokens)])  # sorts; np.unique without counts fills a hash table, far slower where most keys are distinct
             cuts, keys = _ranges(keys, bits), _short(keys, bits, kind)
             rows += [(block, kind, int(r), W.pack_sorted(keys[cuts[r] : cuts[r + 1]])) for r in np.flatnonzero(np.diff(cuts))]
         give_back()
