@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, neardup, pieces, substrings, toxicity
 from millrace.llm.queries import tokenizer_file
-from millrace.llm.runtime import ship, small_side, stored
+from millrace.llm.runtime import bound_batches, ship, small_side, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,9 +28,14 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), names
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    bound_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold of their language; the classifier learns from the labelled rows."""
-    ship(spark)
+    _ready(spark)
     rows, at = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lang = at.get("lang")
@@ -46,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are documents here: different texts under one id stay apart, so no text is lost; of rows alike in id
     and text one stays, chosen by a hash of its columns, so the same in every run.
     """
-    ship(spark)
+    _ready(spark)
     rows, at = _numbered(docs)
     key, text = at["doc_id"], F.xxhash64(F.col(at["text"]).cast("string"))
     found = stored(neardup.near_duplicates(rows, n=5, percent=80, id_col=key, text_col=at["text"], by_row=True).select(F.col(key).alias("id"), "version", "n_shingles", "kept"), "kept")
@@ -64,7 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that a 13-word window shares with an earlier document; other texts stay as they are."""
-    ship(spark)
+    _ready(spark)
     rows, at = _numbered(docs)
     carry = [c for c in rows.columns if c not in (at["doc_id"], at["text"])]
     out = substrings.remove_repeats(rows, id_col=at["doc_id"], text_col=at["text"], carry=carry, untouched=True)
@@ -75,7 +80,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window that is 0.8 similar to a benchmark item or more."""
-    ship(spark)
+    _ready(spark)
     rows, at = _numbered(docs)
     key = at["doc_id"]
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -85,7 +90,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the text that their pieces decode to, n_tokens and the piece ids."""
-    ship(spark)
+    _ready(spark)
     rows, at = _numbered(docs)
     carry = [c for c in rows.columns if c != at["text"]]
     out = pieces.encode(rows.withColumn("id", F.lit(0)), tokenizer_file("piece_bpe_32k.model"), id_col="id", text_col=at["text"], carry=carry)

@@ -32,11 +32,13 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.check, self.offset, self.count = np.zeros(0, W.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # ascending keys of the units, and where each one's numbers are
+        self.keys, self.slot = np.zeros(0, W.U64), np.zeros(0, np.int32)
+        self.check, self.offset, self.count = np.zeros(0, W.U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.n, self.used = np.zeros(0, np.int32), 0, 0
 
     def _learn(self, keys: np.ndarray, check: np.ndarray, units: list[bytes]) -> None:
+        """``keys`` ascend and are new."""
         ids, counts = self.encode(units)
         n, used = self.n + len(units), self.used + len(ids)
         if n > len(self.check):
@@ -46,7 +48,8 @@ class Units:
         self.check[self.n : n], self.count[self.n : n] = check, counts
         self.offset[self.n : n] = self.used + np.cumsum(counts) - counts
         self.ids[self.used : used] = ids
-        self.slot.update(zip(keys.tolist(), range(self.n, n), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, np.arange(self.n, n))
         self.n, self.used = n, used
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +70,12 @@ class Units:
             return self.encode([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
         if self.n + len(at) > self.remembered:
             self.forget()
-        get = self.slot.get
-        slots = np.fromiter((get(k, -1) for k in distinct.tolist()), np.int64, len(at))
-        if (known := slots >= 0).any() and (self.check[slots[known]] != check[at][known]).any():
+        near = np.searchsorted(self.keys, distinct)
+        known = near < len(self.keys)
+        known[known] = self.keys[near[known]] == distinct[known]
+        slots = np.full(len(at), -1, np.int64)
+        slots[known] = self.slot[near[known]]
+        if known.any() and (self.check[slots[known]] != check[at][known]).any():
             return self.encode([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
         lack = np.flatnonzero(~known)
         if len(lack):
