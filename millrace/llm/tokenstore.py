@@ -27,6 +27,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ RECORD = np.dtype([("print", "<u4"), ("count", "<u4"), ("first", "<u8")])
 STRETCH, STRETCH_IDS = 8192, 2 << 20
 #: Units that go to the tokenizer as one string.
 JOINED = 256
+#: Units that a worker remembers: to encode one again costs much more than to find it.
+REMEMBERED = 1 << 20
 
 
 class Encoder:
@@ -63,7 +66,7 @@ class Encoder:
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.length = np.array([len(added[i].encode()) if i in added else len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
         self.added = [t.encode() for t in added.values() if t]
-        self.units = Units(self._encode)
+        self.units = Units(self._encode, REMEMBERED)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # many units go as one string: those led by a space stand after one another, those of
@@ -80,7 +83,7 @@ class Encoder:
         texts += [b"".join(b"\n" + units[k] for k in lines[i : i + JOINED]) for i in range(0, len(lines), JOINED)]
         texts += [units[k] for k in alone]
         got = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        ids = np.fromiter((i for e in got for i in e.ids), np.int32)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.int32)
         order = np.array(led + lines + alone, np.int64)
         ends = np.array([len(units[k]) for k in order], np.int64)
         ends[len(led) : len(led) + len(lines)] += 1
@@ -99,7 +102,7 @@ class Encoder:
         if any(t in raw for t in self.added):
             # strings of added tokens are found before anything else; such texts aren't cut
             got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
-            ids, row = np.fromiter((i for e in got for i in e.ids), np.int32), np.arange(len(got))
+            ids, row = np.fromiter(chain.from_iterable(e.ids for e in got), np.int32), np.arange(len(got))
             counts = np.array([len(e.ids) for e in got], np.int64)
         else:
             starts, ends, row = pretoken_units(part, at) if len(part) else (np.zeros(0, np.int64),) * 3

@@ -126,6 +126,8 @@ _TAB = W.SPACE.copy()
 _TAB[32] = False
 #: Bytes that surely begin something that isn't white space.
 _FULL = ~W.SPACE & ~np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
+#: All of these as bits of a byte, so that a text is looked up once.
+_KIND = np.packbits(np.stack([_SHARP, W.SPACE, _LETTER, _MARK, _FULL, _TAB, np.arange(256) == 32, np.zeros(256, bool)]), axis=0, bitorder="little")[0]
 
 
 def pretoken_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,13 +136,14 @@ def pretoken_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     They begin with a text, at a space before what isn't white space, at white space after a visible
     ASCII byte, at a visible one after a single tab or line end, and at an ASCII mark after a letter.
     """
-    cut = np.zeros(len(data), bool)
+    cut = np.zeros(len(data), np.uint8)
     if len(data) > 1:
-        a, b = data[:-1], data[1:]
-        cut[:-1] |= (a == 32) & _FULL[b]
-        cut[1:] |= (_SHARP[a] & W.SPACE[b]) | (_LETTER[a] & _MARK[b])
-        cut[2:] |= _SHARP[a[:-1]] & _TAB[a[1:]] & _SHARP[b[1:]]
-    return _units(cut, data, offsets)
+        kind = _KIND[data]
+        sharp, space, letter, mark, full, tab, blank = (kind >> k for k in range(7))
+        cut[:-1] |= blank[:-1] & full[1:]
+        cut[1:] |= (sharp[:-1] & space[1:]) | (letter[:-1] & mark[1:])
+        cut[2:] |= sharp[:-2] & tab[1:-1] & sharp[2:]
+    return _units((cut & 1).view(bool), data, offsets)
 
 
 def _units(cut: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -239,6 +239,20 @@ def test_token_units_like_the_library(texts):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*_MODEL["tk"].encode(t, add_special_tokens=False).ids, 0] for t in own]
 
 
+def test_token_units_are_remembered(monkeypatch):
+    """A unit of a worker's earlier texts isn't encoded again, also after some hundred thousand others; its ids are the same."""
+    encoder = tokenstore.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    encode, asked = encoder.units.encode, []
+    monkeypatch.setattr(encoder.units, "encode", lambda units: asked.append(len(units)) or encode(units))
+    words = [f" x{k * 7919 % 1_000_003}" for k in range(320_000)]
+    texts = ["".join(words[k : k + 40_000]) for k in range(0, len(words), 40_000)]
+    got = [encoder.encode(*_bytes([t]), 0)[0] for t in texts]
+    assert sum(asked) == len(words)
+    for t, ids in zip(texts, got, strict=True):
+        assert (encoder.encode(*_bytes([t]), 0)[0] == ids).all()
+    assert sum(asked) == len(words)
+
+
 def test_perfect_hash():
     """Each key leads to its documents, one by one and many at once; absent ones to none; a lookup reads little."""
     rng = np.random.RandomState(1)
