@@ -31,6 +31,8 @@ OUTSIDE = 1 << 21
 NEVER = np.iinfo(np.int32).max
 #: Units of more characters (texts without spaces) have rounds of their own, with many merges each.
 LONG = 96
+#: Bytes of text that are encoded at once: what that takes besides is some hundred times as much.
+PIECE = 1 << 18
 
 
 class Pieces:
@@ -285,7 +287,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         pieces = model_of(model)
         for batch in batches:
             data, offsets = W.column(batch, "__text")
-            for lo, hi in W.pieces(offsets):
+            for lo, hi in W.pieces(offsets, PIECE):
                 ids, at = pieces.encode(data, offsets[lo : hi + 1])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 decoded = pa.array(pieces.decode(ids, at), pa.binary()).cast(pa.string())

@@ -264,7 +264,7 @@ def _listed(feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block of labelled texts as one row: numbers of words, the distinct words, and how many texts and toxic ones have each bucket. Copies are passed over as they come."""
     number: dict[tuple, int] = {}
-    langs, sizes, parts, counts = [], [], [], np.zeros((2, 1 << BITS), np.int64)
+    langs, sizes, parts, numbers, held, counts = [], [], [], [], 0, np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         apart, block, new = batch.column("__apart")[0].as_py(), batch.column("__block")[0].as_py(), []
         for k, (*key, lang) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__h", "__v", "__y", "__lang")), strict=True)):
@@ -283,14 +283,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, row = seen & ((1 << BITS) - 1), (seen >> BITS) + lo
             counts[0] += np.bincount(bucket, minlength=1 << BITS)
             counts[1] += np.bincount(bucket[label[row] == 1], minlength=1 << BITS)
-            parts.append(f)
-            sizes.append(np.diff(first))
+            # distinct words piece by piece, then those of all pieces: not all words of the block at once
+            own, words = _listed(f)
+            parts.append(own), numbers.append(words + np.int32(held)), sizes.append(np.diff(first))
+            held += len(own)
     # by the hashes, so that the block is the same in whatever order its rows came
     order = [number[k] for k in sorted(number)]
     label, size = np.array([k[2] for k in sorted(number)]), np.concatenate(sizes)
     start = np.cumsum(size) - size
-    listed, words = _listed(np.concatenate(parts))
-    parts.clear()
+    listed, number_of = _listed(np.concatenate(parts))
+    words = number_of[np.concatenate(numbers)]
+    del parts, numbers, number_of
     first = np.cumsum(size[order]) - size[order]
     words = words[np.repeat(start[order] - first, size[order]) + np.arange(len(words))]
     at = np.flatnonzero(counts[0])

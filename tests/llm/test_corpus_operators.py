@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -562,6 +563,23 @@ def test_toxicity(spark):
     assert {r["score"] < 0.01 for r in toxicity.with_scores(docs, none).collect()} == {True}
 
 
+def test_blocks_are_packed_in_little_memory():
+    """Packing a block of 6 MB holds the distinct words of its pieces, not a row of features of each of its words."""
+    rng = np.random.RandomState(3)
+    words = np.array([f"w{k}" for k in range(3000)])
+    texts = [" ".join(rng.choice(words, 20_000)) for _ in range(60)]
+    k = np.arange(len(texts))
+    columns = [k < 0, k.astype(np.int32) * 0, k, k, (k % 2).astype(np.int32), ["en"] * len(k), texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__apart", "__block", "__h", "__v", "__y", "__lang", "__text"])
+    (small,) = toxicity._packed(iter([batch.slice(0, 8)]))
+    tracemalloc.start()
+    (whole,) = toxicity._packed(iter([batch]))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(whole.column("listed")[0].as_py()) == len(small.column("listed")[0].as_py()) == 3000 * 16
+    assert peak < 90_000_000
+
+
 def test_toxicity_learns_from_every_row(spark):
     """A word that only the last of many labelled ids have, by hash, is learned, in one block and in many; rows dealt otherwise give the same model."""
     ids = [r[0] for r in spark.range(6000).orderBy(F.xxhash64("id")).collect()]
