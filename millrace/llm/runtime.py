@@ -9,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.batches import BATCH_BYTES, BATCH_SETTING, bound_batches
 from millrace.cluster import ship
 from millrace.operators.graph import BROADCAST_ROWS, shared_folder, small_side
 
-__all__ = ["BATCH_BYTES", "BLOCK_BYTES", "BROADCAST_ROWS", "block_of", "bound_batches", "give_back", "shared_dir", "ship", "small_side", "stored", "text_bytes"]
+__all__ = ["BATCH_BYTES", "BATCH_SETTING", "BLOCK_BYTES", "BROADCAST_ROWS", "block_of", "bound_batches", "give_back", "shared_dir", "ship", "small_side", "stored", "text_bytes"]
 
 #: Bytes of text in a block of documents that is worked on together.
 BLOCK_BYTES = 16 << 20
-#: Bytes of rows that go to a Python worker at once, and the setting for it.
-BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,15 +45,6 @@ def block_of(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the batches for Python workers in bytes, unless the session has a bound of its own.
-
-    Spark bounds their rows alone, so 10,000 long texts are one batch, which the JVM and the worker both hold whole.
-    """
-    if BATCH_SETTING not in spark.conf.getAll:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-
-
 def give_back() -> None:
     """Return memory that this worker has freed to the machine; Arrow and the C library keep it otherwise, for workers that may idle."""
     pa.default_memory_pool().release_unused()
