@@ -1,6 +1,7 @@
 """Work that grew faster than the input: pieces for Python are bounded, plans neither sort nor pair all rows."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from millrace.batches import BATCH_BYTES, BATCH_SETTING, PIECE_BYTES, cuts
 from millrace.functions import text as T
@@ -38,3 +39,8 @@ def test_split_indices_by_pieces(spark):
     assert parts[-1][-2].as_py() == [] and parts[-1][-1].as_py() == []
     plan = catalog.queries()["split_indices"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split_indices(") <= 2 and plan.count("ArrowEvalPython") == 1
+
+
+def test_general_cleaning_knows_ascii_words(spark):
+    df = spark.createDataFrame([("caf\u00e9\nis\n\n open  now.\n\u00e9_\n1\n",)], "t string")
+    assert df.select(T.general_cleaning(F.col("t"))).first()[0] == "caf\u00e9\nis open now.\n\u00e9_ 1 "
