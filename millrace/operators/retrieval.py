@@ -51,7 +51,40 @@ def _best(ids: np.ndarray, q: np.ndarray, batches: Iterator[tuple[np.ndarray, np
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])[keep], pa.int64()), pa.array(best_i.reshape(-1)[keep], pa.int64()), pa.array(best_d.reshape(-1)[keep], pa.float64())], names=["query", "id", "distance"])
 
 
+def _nearest(queries: pa.Table, rows: pa.Table, k: int, tile: tuple[int, int] = (256, 8192)) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows for each query by squared distance, ties (to nine places) by id, without the query's own id.
+
+    Products of matrices tell which rows may be among them; only their distances are summed place by place.
+    """
+    ids, q, own, x = queries.column("id").to_numpy(), _matrix(queries.column("v")), rows.column("id").to_numpy(), _matrix(rows.column("v"))
+    norms = (x * x).sum(1)
+    for a in range(0, len(ids) if len(own) else 0, tile[0]):
+        i, y = ids[a : a + tile[0]], q[a : a + tile[0]]
+        norm = (y * y).sum(1)
+        best_d, best_i = np.zeros((len(i), 0)), np.zeros((len(i), 0), np.int64)
+        for b in range(0, len(own), tile[1]):
+            o, z = own[b : b + tile[1]], x[b : b + tile[1]]
+            d = norm[:, None] + norms[b : b + tile[1]][None, :] - 2 * (y @ z.T)
+            d[i[:, None] == o[None, :]] = np.inf
+            # all rows within the k-th distance and what rounding may add, sums of products being that inexact
+            limit = (np.partition(d, k - 1, 1)[:, k - 1] if d.shape[1] > k else np.full(len(i), np.inf)) + 1e-8 + 1e-12 * (norm + norms.max())
+            n = min(int((d <= limit[:, None]).sum(1).max()), d.shape[1])
+            near = np.argpartition(d, n - 1, 1)[:, :n] if 0 < n < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            skip = np.isinf(np.take_along_axis(d, near, 1))
+            exact = np.zeros(near.shape)
+            for c in range(x.shape[1]):
+                step = y[:, c, None] - z[near, c]
+                exact += step * step
+            exact[skip] = np.inf
+            best_d, best_i = np.concatenate([best_d, exact], 1), np.concatenate([best_i, o[near]], 1)
+            order = np.lexsort((best_i, np.round(best_d, 9)))[:, :k]
+            best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+        keep = np.isfinite(best_d).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, best_d.shape[1])[keep], pa.int64()), pa.array(best_i.reshape(-1)[keep], pa.int64()), pa.array(best_d.reshape(-1)[keep], pa.float64())], names=["query", "id", "distance"])
+
+
 FOUND = "query bigint, id bigint, distance double"
+FOUND_KIND = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", same: bool = False, id_col: str = "id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -78,7 +111,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", same:
         out = rows.mapInArrow(run, FOUND)
     else:
         blocks, parts = -(-n // query_block), max(1, -(-rows.count() // ROW_PART))
-        deal = lambda df, own, m, other, count: df.select("*", F.pmod(F.xxhash64("id"), F.lit(m)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(other))
+        deal = lambda df, own, m, other, count: df.select("*", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(other))
         q, x = deal(wanted, "block", blocks, "part", parts), deal(rows, "part", parts, "block", blocks)
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -161,16 +194,36 @@ class CellIndex:
     def __init__(self, base: DataFrame, id_col: str = "id", vector: str = "embedding", cells: int = 16, probes: int = 12, sample: int = 20_000):
         self.id_col, self.vector, self.probes = id_col, vector, probes
         self.centres = train_cells(base, cells, sample, id_col=id_col, vector=vector)
-        self.cells = assign_cells(base, self.centres, id_col=id_col, vector=vector).join(base.select(F.col(id_col).alias("id"), F.col(vector).alias("x")), "id")
+        self.cells = self._placed(base, 1)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """query, id, distance and rank of the k nearest other vectors in these cells, ties (to nine places) by id."""
-        own = queries.select(F.col(self.id_col).alias("query"), F.col(self.vector).alias("q"))
-        asked = assign_cells(queries, self.centres, self.probes, self.id_col, self.vector).withColumnRenamed("id", "query").join(own, "query")
-        d = self.cells.join(asked, "cell").where("id <> query").select("query", "id", squared_distance(F.col("q"), F.col("x")).alias("distance"))
+        """query, id, distance and rank of the k nearest other vectors in these cells, ties (to nine places) by id.
+
+        Each block of a cell's queries meets each part of the cell's vectors in a task, which keeps k rows a query.
+        """
+        asked = self._placed(queries, self.probes)
+        few = lambda df, most: {r["cell"]: -(-r["n"] // most) for r in df.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        blocks, parts = few(asked, QUERY_BLOCK), few(self.cells, ROW_PART)
+
+        def dealt(df: DataFrame, own: str, of: dict[int, int], other: str, others: dict[int, int]) -> DataFrame:
+            both = df.sparkSession.createDataFrame([(c, of[c], others[c]) for c in of if c in others], "cell int, m int, o int")
+            return df.join(F.broadcast(both), "cell").select("cell", "id", "v", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias(other))
+
+        q, x = dealt(asked, "block", blocks, "part", parts), dealt(self.cells, "part", parts, "block", blocks)
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(_nearest(a, b, k), FOUND_KIND)
+
+        keys = ("cell", "block", "part")
+        d = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(meet, FOUND)
         r = d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "id")))
         return r.where(F.col("rank") <= k).select("query", "id", "distance", "rank")
 
+    def _placed(self, rows: DataFrame, probes: int) -> DataFrame:
+        """cell, id and vector: each row in its ``probes`` nearest cells."""
+        own = rows.select(F.col(self.id_col).cast("bigint").alias("id"), F.col(self.vector).alias("v"))
+        return assign_cells(rows, self.centres, probes, self.id_col, self.vector).join(own, "id").select("cell", "id", "v")
+
 
 #: Kinds of index by name; more may be added.
 INDEXES: dict[str, type] = {"exact": ExactIndex, "cells": CellIndex}

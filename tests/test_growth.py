@@ -1,10 +1,12 @@
 """Work that grew faster than the input: pieces for Python are bounded, plans neither sort nor pair all rows."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.batches import BATCH_BYTES, BATCH_SETTING, PIECE_BYTES, cuts
 from millrace.functions import text as T
+from millrace.operators import retrieval as R
 from millrace.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +46,37 @@ def test_split_indices_by_pieces(spark):
 def test_general_cleaning_knows_ascii_words(spark):
     df = spark.createDataFrame([("caf\u00e9\nis\n\n open  now.\n\u00e9_\n1\n",)], "t string")
     assert df.select(T.general_cleaning(F.col("t"))).first()[0] == "caf\u00e9\nis open now.\n\u00e9_ 1 "
+
+
+def test_blocks_of_queries_meet_all_parts(spark):
+    """Keys of both sides are of one type, so equal ones meet in one of many partitions."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = e.where("id % 5 = 0")
+    rows = lambda df: sorted(map(tuple, df.select("query", "id", "rank").collect()))
+    coalesce, n = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(coalesce, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        whole = rows(R.top_k(q, e, 5))
+        assert len(whole) == 5 * q.count() and rows(R.top_k(q, e, 5, query_block=7)) == whole
+        assert rows(R.index("cells", e, cells=4, probes=4).search(q, 5)) == whole
+    finally:
+        spark.conf.unset(coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_cells_search_is_done_by_blocks(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    plan = R.index("cells", e, cells=4, probes=2).search(e.where("id < 50"), 5)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_nearest_rows_with_ties():
+    x = np.vstack([np.zeros((30, 4)), np.eye(4), 2 * np.ones((5, 4))]).astype(np.float32)
+    ids = np.arange(len(x))[::-1].copy()
+    table = pa.table({"id": pa.array(ids), "v": pa.array(x.tolist(), pa.list_(pa.float32()))})
+    for tile in ((256, 8192), (3, 7)):
+        got = pa.Table.from_batches(R._nearest(table, table, 3, tile)).to_pylist()
+        for i, v in zip(ids, x, strict=True):
+            best = sorted((((v - w) ** 2).sum(), j) for j, w in zip(ids, x, strict=True) if j != i)[:3]
+            assert [(r["distance"], r["id"]) for r in got if r["query"] == i] == best
