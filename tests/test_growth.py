@@ -1,11 +1,14 @@
 """Work that grew faster than the input: pieces for Python are bounded, plans neither sort nor pair all rows."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.batches import BATCH_BYTES, BATCH_SETTING, PIECE_BYTES, cuts
 from millrace.functions import text as T
+from millrace.operators import grams as G
 from millrace.operators import retrieval as R
 from millrace.plans import catalog
 
@@ -80,3 +83,28 @@ def test_nearest_rows_with_ties():
         for i, v in zip(ids, x, strict=True):
             best = sorted((((v - w) ** 2).sum(), j) for j, w in zip(ids, x, strict=True) if j != i)[:3]
             assert [(r["distance"], r["id"]) for r in got if r["query"] == i] == best
+
+
+def _grams(texts: list[str], n: int) -> list[list[str]]:
+    return [[" ".join(w[k : k + n]) for k in range(len(w) - n + 1)] for w in (t.lower().split() for t in texts)]
+
+
+def test_bucket_ngrams_neither_sorts_nor_sends_ngrams(spark):
+    plan = catalog.queries()["bucket_ngrams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    texts = ["B a  C\nb a c", "x", "", "a b c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(G.plain(F.col("text")).alias("t"))
+    grams = sorted(g for t in _grams(texts, 3) for g in t)
+    assert [tuple(r) for r in G.bucket_least(df, 3, 1).collect()] == [(0, len(grams), grams[0])]
+
+
+def test_frequent_ngrams_of_few_cells(spark):
+    """Few cells, so that n-grams share them, and tasks that send early: the result stays exact. Repeats in a text count once."""
+    texts = [f"all of them say so {k} times and {k % 7} more and all of them say so ö" for k in range(60)]
+    want = Counter(g for t in _grams(texts, 4) for g in set(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(5)
+    for held in (G.HELD, 50):
+        got = G.frequent(df.select(F.col("k").alias("key"), G.plain(F.col("t")).alias("t")), 4, 8, 1, held).collect()
+        assert len(got) == len({r["ngram"] for r in got}) and {r["ngram"]: r["n_docs"] for r in got} == {g: n for g, n in want.items() if n > 8}
+    plan = catalog.queries()["frequent_13grams"](spark, SF)._jdf.queryExecution().toString()
+    assert "array_distinct" not in plan
