@@ -11,12 +11,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
+from millrace.batches import by_pieces, lists, rows_by_pieces
 from millrace.operators.ranking import ranked
 
 _CUT = re.compile(r"(?<=[.!?])\s+")
@@ -74,13 +74,13 @@ def spans(tokens: list[str], rng: np.random.Generator, share: float = 0.15, mean
 def _each(df: DataFrame, key: str, text: str, schema: str, make) -> DataFrame:
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        for b in batches:
-            out = [(k, *row) for k, t in zip(b["k"], b["t"], strict=True) for row in make(int(k), t)]
-            yield pd.DataFrame(out, columns=["k", *names])
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    return rows.mapInPandas(run, f"k bigint, {schema}").withColumnRenamed("k", key)
+    def run(b: pa.RecordBatch) -> dict:
+        out = [(k, *row) for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist(), strict=True) for row in make(k, t)]
+        return {c: [r[i] for r in out] for i, c in enumerate(["k", *names])}
+
+    return rows_by_pieces(rows, run, f"k bigint, {schema}").withColumnRenamed("k", key)
 
 
 def sentence_samples(df: DataFrame, key: str, text: str, length: int = 128, seed: int = 1) -> DataFrame:
@@ -174,8 +174,8 @@ def _mend(m: re.Match) -> str:
         return m.group()
 
 
-@F.pandas_udf(StringType())
-def fix_text(s: pd.Series) -> pd.Series:
+@by_pieces(StringType(), once=True)
+def fix_text(s: pa.Array) -> pa.Array:
     """UTF-8 that was read as a Western code page is read anew; then composed characters, line ends and control characters are put right."""
 
     def one(t: str | None) -> str | None:
@@ -184,7 +184,7 @@ def fix_text(s: pd.Series) -> pd.Series:
         t = unicodedata.normalize("NFC", _MOJIBAKE.sub(_mend, t)).replace("\r\n", "\n").replace("\r", "\n")
         return "".join(c for c in t if c in "\n\t" or unicodedata.category(c) != "Cc")
 
-    return s.map(one)
+    return pa.array([one(t) for t in s.to_pylist()], pa.string())
 
 
 def wordpieces(word: str, vocabulary: set[str], most: int = 100) -> list[str]:
@@ -205,18 +205,20 @@ def wordpiece(vocabulary: set[str]):
     """A column function for lists of pieces of a text's lower-case words."""
     split = re.compile(r"[^\W_]+|[^\w\s]|_")
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
-
-        def pieces(w: str) -> list[str]:
-            if w not in known:
-                if len(known) > 1 << 17:
-                    known.clear()
-                known[w] = wordpieces(w, vocabulary)
-            return known[w]
-
-        return s.map(lambda t: [p for w in split.findall((t or "").lower()) for p in pieces(w)])
+    number = {p: k for k, p in enumerate([*sorted(vocabulary), "[UNK]"])}
+
+    @by_pieces(ArrayType(StringType()), once=True)
+    def run(s: pa.Array) -> pa.Array:
+        known: dict[str, list[int]] = {}
+        out, sizes = [], []
+        for t in s.to_pylist():
+            before = len(out)
+            for w in split.findall((t or "").lower()):
+                if w not in known:
+                    known[w] = [number[p] for p in wordpieces(w, vocabulary)]
+                out += known[w]
+            sizes.append(len(out) - before)
+        return lists(pa.array(list(number), pa.string()).take(pa.array(out, pa.int32())), sizes)
 
     return run
 
@@ -250,11 +252,11 @@ def apply_diff(lines: list[str], diff: str) -> list[str] | None:
     return out + lines[at:]
 
 
-@F.pandas_udf(StringType())
-def patched(text: pd.Series, diff: pd.Series) -> pd.Series:
+@by_pieces(StringType(), once=True)
+def patched(text: pa.Array, diff: pa.Array) -> pa.Array:
     """The text after a unified diff, null where it doesn't fit."""
-    done = [apply_diff((t or "").split("\n"), d or "") for t, d in zip(text, diff, strict=True)]
-    return pd.Series(["\n".join(x) if x is not None else None for x in done], dtype="object")
+    done = [apply_diff((t or "").split("\n"), d or "") for t, d in zip(text.to_pylist(), diff.to_pylist(), strict=True)]
+    return pa.array(["\n".join(x) if x is not None else None for x in done], pa.string())
 
 
 def run_overlap(tokens: Column, known: Column, least: int = 10) -> Column:

@@ -1,15 +1,23 @@
 """Work that grew faster than the input: pieces for Python are bounded, plans neither sort nor pair all rows."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.util import PythonEvalType
 from pyspark.sql import functions as F
 
-from millrace.batches import BATCH_BYTES, BATCH_SETTING, PIECE_BYTES, cuts
+from millrace.batches import BATCH_BYTES, BATCH_SETTING, PIECE_BYTES, cuts, pieces_run
+from millrace.functions import metrics as M
 from millrace.functions import text as T
+from millrace.operators import duplicates as D
+from millrace.operators import evaluation as E
 from millrace.operators import grams as G
+from millrace.operators import graph
 from millrace.operators import retrieval as R
+from millrace.operators import samples as S
 from millrace.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +116,15 @@ def test_frequent_ngrams_of_few_cells(spark):
         assert len(got) == len({r["ngram"] for r in got}) and {r["ngram"]: r["n_docs"] for r in got} == {g: n for g, n in want.items() if n > 8}
     plan = catalog.queries()["frequent_13grams"](spark, SF)._jdf.queryExecution().toString()
     assert "array_distinct" not in plan
+
+
+def test_rows_by_pieces():
+    run = pieces_run(lambda b: {"n": [b.num_rows] * b.num_rows}, pa.schema([("n", pa.int64())]))
+    parts = list(run(iter([pa.RecordBatch.from_arrays([pa.array(TEXTS)], names=["t"])])))
+    assert len(parts) > 8 and sum(p.num_rows for p in parts) == 3000 and max(p.num_rows for p in parts) < 500
+
+
+@pytest.mark.parametrize("name", ["t5_samples", "bert_samples", "janitor_clean", "model_generate"])
+def test_samples_go_by_pieces(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
