@@ -128,3 +128,8 @@ def test_rows_by_pieces():
 def test_samples_go_by_pieces(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_fix_text_by_pieces():
+    parts = of(S.fix_text, [*TEXTS, None, "a\r\nÃ©"])
+    assert len(parts) > 8 and max(map(len, parts)) < 500 and parts[-1].to_pylist()[-2:] == [None, "a\né"]
