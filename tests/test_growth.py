@@ -133,3 +133,8 @@ def test_samples_go_by_pieces(spark, name):
 def test_fix_text_by_pieces():
     parts = of(S.fix_text, [*TEXTS, None, "a\r\nÃ©"])
     assert len(parts) > 8 and max(map(len, parts)) < 500 and parts[-1].to_pylist()[-2:] == [None, "a\né"]
+
+
+def test_wordpiece_by_pieces():
+    parts = of(S.wordpiece({"the", "f", "##o"}), [*TEXTS, None, "The foo x"])
+    assert len(parts) > 8 and max(map(len, parts)) < 500 and parts[-1].to_pylist()[-2:] == [[], ["the", "f", "##o", "##o", "[UNK]"]]
