@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from millrace.batches import cuts
 from millrace.functions import metrics as M
 from millrace.functions import text as T
 
@@ -91,14 +93,38 @@ def bleu(df: DataFrame, pred: Column, gold: Column, order: int = 4) -> DataFrame
     return s.select((100 * F.exp(logs / order + brevity)).alias("bleu"))
 
 
+def char_counts(a: list[str], b: list[str], order: int) -> np.ndarray:
+    """For each n up to ``order``: character n-grams that pairs of texts share, and those of the first and second texts.
+
+    Places of all texts are numbered by what stands there, n characters long, from the numbers of the n - 1 and the next character; a number is of one pair alone.
+    """
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for both in (a, b) for t in both]
+    sizes = np.array([len(x) for x in points])
+    char, pair = np.concatenate(points).astype(np.int64), np.repeat(np.tile(np.arange(len(a)), 2), sizes)
+    second = np.repeat(np.repeat([False, True], len(a)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(char))
+    number, at, out = pair, np.arange(len(char)), np.zeros((order, 3))
+    for n in range(1, order + 1):
+        keep = left[at] >= n
+        at, number = at[keep], number[keep]
+        number = np.unique(number * 0x110000 + char[at + n - 1], return_inverse=True)[1]
+        own = [np.bincount(number[second[at] == side], minlength=len(number)) for side in (False, True)]
+        out[n - 1] = np.minimum(*own).sum(), own[0].sum(), own[1].sum()
+    return out
+
+
 def chrf(df: DataFrame, pred: Column, gold: Column, order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF in percent: F-beta of character n-grams (white space left out), averaged over orders."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
-    rows = df.select(F.monotonically_increasing_id().alias("row"), chars(pred).alias("a"), chars(gold).alias("b"))
-    rows = rows.select("row", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("c")), F.struct(F.lit(1).alias("side"), F.col("b").alias("c")))))
-    grams = rows.select("row", "side", F.posexplode(F.array(*(T.ngrams(F.col("c"), n) for n in range(1, order + 1)))).alias("n", "g")).select("row", "side", "n", F.explode("g").alias("g"))
-    own = grams.groupBy("row", "n", "g").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("p"), F.sum("side").alias("q"))
-    s = own.groupBy("n").agg(*(F.sum(c).cast("double").alias(k) for c, k in ((F.least("p", "q"), "m"), (F.col("p"), "p"), (F.col("q"), "q"))))
+    """Corpus chrF in percent: F-beta of character n-grams (white space left out), averaged over orders. A task sends one row an order."""
+    rows = df.select(*(F.coalesce(F.regexp_replace(c, r"\s+", ""), F.lit("")).alias(k) for c, k in ((pred, "a"), (gold, "b"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((order, 3))
+        for batch in batches:
+            for at, n in cuts(batch.columns) if batch.num_rows else ():
+                total += char_counts(*(batch.column(k).slice(at, n).to_pylist() for k in "ab"), order)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(order)), *(pa.array(total[:, k]) for k in range(3))], names=["n", "m", "p", "q"])
+
+    s = rows.mapInArrow(run, "n long, m double, p double, q double").groupBy("n").agg(*(F.sum(c).alias(c) for c in "mpq"))
     f = F.when(F.col("m") > 0, (1 + beta**2) * F.col("m") / (beta**2 * F.col("q") + F.col("p"))).otherwise(0.0)
     return s.where("p > 0 AND q > 0").agg(F.coalesce(100 * F.avg(f), F.lit(0.0)).alias("chrf"))
 

@@ -138,3 +138,15 @@ def test_fix_text_by_pieces():
 def test_wordpiece_by_pieces():
     parts = of(S.wordpiece({"the", "f", "##o"}), [*TEXTS, None, "The foo x"])
     assert len(parts) > 8 and max(map(len, parts)) < 500 and parts[-1].to_pylist()[-2:] == [[], ["the", "f", "##o", "##o", "[UNK]"]]
+
+
+def test_chrf_counts(spark):
+    words = ["the the hat", "", "ééa b", "abcabcabc"]
+    a, b = words, ["the hat", "x", "éa b", "cabcab"]
+    want = np.zeros((6, 3))
+    for x, y in zip(a, b, strict=True):
+        for n in range(1, 7):
+            p, q = (Counter(t[k : k + n] for k in range(len(t) - n + 1)) for t in (x, y))
+            want[n - 1] += (sum((p & q).values()), sum(p.values()), sum(q.values()))
+    assert (E.char_counts(a, b, 6) == want).all()
+    assert "Generate" not in catalog.queries()["agg_chrf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
