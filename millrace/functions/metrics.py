@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from millrace.batches import by_pieces
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -121,21 +125,23 @@ def first_index(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
-def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two lists, row by row of the table."""
-    zero = F.transform(b, lambda _: F.lit(0))
-
-    def next_row(row: Column, x: Column) -> Column:
-        step = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("out"))
-
-        def cell(acc: Column, j: Column) -> Column:
-            over, slant = F.get(row, j), F.coalesce(F.get(row, j - 1), F.lit(0))
-            v = F.when(F.get(b, j) == x, slant + 1).otherwise(F.greatest(over, acc["left"]))
-            return F.struct(v.alias("left"), F.concat(acc["out"], F.array(v)).alias("out"))
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence of two lists; a row of the table is the bits of one number, so a step adds whole rows."""
+    places: dict = {}
+    for k, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a:
+        at = row & places.get(x, 0)
+        row = (row + at | row - at) & whole
+    return len(b) - row.bit_count()
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), step, cell)["out"]
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.array_max(F.aggregate(a, zero, next_row)))
+@by_pieces(IntegerType())
+def longest_common(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two lists; null if one is."""
+    return pa.array([common_length(x, y) if x is not None and y is not None else None for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
 
 def z_score(a: Column, b: Column, err_a: Column, err_b: Column) -> Column:

@@ -150,3 +150,17 @@ def test_chrf_counts(spark):
             want[n - 1] += (sum((p & q).values()), sum(p.values()), sum(q.values()))
     assert (E.char_counts(a, b, 6) == want).all()
     assert "Generate" not in catalog.queries()["agg_chrf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_common_length(spark):
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(90))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert M.common_length(a, b) == row[-1]
+    assert "ArrowEvalPython" in catalog.queries()["rouge_l"](spark, SF)._jdf.queryExecution().executedPlan().toString()
