@@ -164,3 +164,8 @@ def test_common_length(spark):
             row = new
         assert M.common_length(a, b) == row[-1]
     assert "ArrowEvalPython" in catalog.queries()["rouge_l"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bytes_go_by_pieces(spark):
+    plan = catalog.queries()["encode_bytes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}") >= 2 and plan.count("ArrowEvalPython") == 2
