@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import importlib.util
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.batches import rows_by_pieces
 _PART = re.compile(r"\{\{(.*?)\}\}", re.S)
 _NAME = re.compile(r"\s*([A-Za-z_]\w*)")
 _STEP = re.compile(r"\s*(?:\.\s*(\w+)\s*(\(\s*\))?|\[\s*(?:(-?\d+)|'([^']*)'|\"([^\"]*)\"|([A-Za-z_]\w*))\s*\]|\|\s*(\w+)\s*(?:\(((?:'[^']*'|\"[^\"]*\"|[^()'\"])*)\))?)")
@@ -227,21 +228,24 @@ def answered(asked: DataFrame, model: str | Callable[[], LanguageModel], kind: s
     make = MODELS[model] if isinstance(model, str) else model
     more = {"loglikelihood": "score double, greedy boolean", "multiple_choice": "score double, greedy boolean", "loglikelihood_rolling": "score double", "generate_until": "answer string"}[kind]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made: list[LanguageModel] = []
+
+    def run(b: pa.RecordBatch) -> dict:
         import json
 
-        m = make()
-        for b in batches:
-            context, continuation = b["context"].fillna("").tolist(), b["continuation"].fillna("").tolist()
-            if kind == "generate_until":
-                yield b.assign(answer=m.generate_until([(c, json.loads(u)) for c, u in zip(context, continuation, strict=True)]))
-            elif kind == "loglikelihood_rolling":
-                yield b.assign(score=m.loglikelihood_rolling(continuation))
-            else:
-                got = m.loglikelihood(list(zip(context, continuation, strict=True)))
-                yield b.assign(score=[g[0] for g in got], greedy=[g[1] for g in got])
-
-    return asked.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in asked.dtypes), more]))
+        if not made:
+            made.append(make())
+        m = made[0]
+        context, continuation = ([x or "" for x in b.column(c).to_pylist()] for c in ("context", "continuation"))
+        own = dict(zip(b.schema.names, b.columns, strict=True))
+        if kind == "generate_until":
+            return own | {"answer": m.generate_until([(c, json.loads(u)) for c, u in zip(context, continuation, strict=True)])}
+        if kind == "loglikelihood_rolling":
+            return own | {"score": m.loglikelihood_rolling(continuation)}
+        got = m.loglikelihood(list(zip(context, continuation, strict=True)))
+        return own | {"score": [g[0] for g in got], "greedy": [g[1] for g in got]}
+
+    return rows_by_pieces(asked, run, ", ".join([*(f"`{c}` {t}" for c, t in asked.dtypes), more]))
 
 
 def scored(answers: DataFrame, key: str) -> DataFrame:
