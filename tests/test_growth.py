@@ -169,3 +169,10 @@ def test_common_length(spark):
 def test_bytes_go_by_pieces(spark):
     plan = catalog.queries()["encode_bytes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}") >= 2 and plan.count("ArrowEvalPython") == 2
+
+
+def test_shingles_by_pieces():
+    parts = of(D.shingle_set, [*TEXTS, None, "abcdefg"])
+    assert len(parts) > 8 and max(map(len, parts)) < 500 and [len(x) for x in parts[-1].to_pylist()[-2:]] == [0, 2]
+    parts = of(D._least_hashes, TEXTS[:600], [3] * 600)
+    assert len(parts) > 1 and sum(map(len, parts)) == 600
