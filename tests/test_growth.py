@@ -176,3 +176,10 @@ def test_shingles_by_pieces():
     assert len(parts) > 8 and max(map(len, parts)) < 500 and [len(x) for x in parts[-1].to_pylist()[-2:]] == [0, 2]
     parts = of(D._least_hashes, TEXTS[:600], [3] * 600)
     assert len(parts) > 1 and sum(map(len, parts)) == 600
+
+
+def test_forests_are_bounded():
+    n = 600_000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1, n + 1)), pa.array(np.arange(n))], names=["u", "v"])
+    parts = list(graph._local(iter([batch.slice(k, 50_000) for k in range(0, n, 50_000)])))
+    assert max(p.num_rows for p in parts) < 350_000 and sum(p.num_rows for p in parts) == n
