@@ -183,3 +183,8 @@ def test_forests_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1, n + 1)), pa.array(np.arange(n))], names=["u", "v"])
     parts = list(graph._local(iter([batch.slice(k, 50_000) for k in range(0, n, 50_000)])))
     assert max(p.num_rows for p in parts) < 350_000 and sum(p.num_rows for p in parts) == n
+
+
+def test_patched_by_pieces():
+    parts = of(S.patched, [*TEXTS, "a\nb"], [*("" for _ in TEXTS), "@@ -1,1 +1,1 @@\n-a\n+c"])
+    assert len(parts) > 8 and max(map(len, parts)) < 500 and parts[-1].to_pylist()[-1] == "c\nb"
