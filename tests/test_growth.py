@@ -188,3 +188,8 @@ def test_forests_are_bounded():
 def test_patched_by_pieces():
     parts = of(S.patched, [*TEXTS, "a\nb"], [*("" for _ in TEXTS), "@@ -1,1 +1,1 @@\n-a\n+c"])
     assert len(parts) > 8 and max(map(len, parts)) < 500 and parts[-1].to_pylist()[-1] == "c\nb"
+
+
+def test_decontamination_makes_no_strings_of_other_lengths(spark):
+    plan = catalog.queries()["decontaminate_ngrams"](spark, SF)._jdf.queryExecution().toString()
+    assert "flatten(" not in plan and "MapInPandas" not in plan
