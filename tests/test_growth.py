@@ -193,3 +193,11 @@ def test_patched_by_pieces():
 def test_decontamination_makes_no_strings_of_other_lengths(spark):
     plan = catalog.queries()["decontaminate_ngrams"](spark, SF)._jdf.queryExecution().toString()
     assert "flatten(" not in plan and "MapInPandas" not in plan
+
+
+def test_word_ngrams_are_cut_from_bytes(spark):
+    plan = catalog.queries()["word_ngrams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    texts = ["A b\t c  d", None, "", "x y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select(F.col("k").alias("key"), G.plain(F.col("t")).alias("t"))
+    assert [tuple(r) for r in G.listed(df, 3, hashed=False).orderBy("key", "pos").collect()] == [(0, 0, "a b c"), (0, 1, "b c d")]
